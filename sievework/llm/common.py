@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +38,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def column_texts(batch, name: str) -> list[str]:
     """The strings of a record batch's column, null as empty."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """The suffix array of a sequence of whole numbers, by prefix doubling."""
+    n = len(symbols)
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    step = 1
+    while True:
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:] + 1
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        step *= 2
+        if step >= n or rank[order[-1]] == n - 1:
+            return order

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import suffix_order
+
 WINDOW = 13
 #: UTF-8 bytes of benchmark text that are sent out at once.
 BLOCK_BYTES = 8 << 20
@@ -34,22 +36,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of a sequence of whole numbers, by prefix doubling."""
-    n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        step *= 2
-        if step >= n or rank[order[-1]] == n - 1:
-            return order
-
-
 class WaveletTree:
     """Counts of a symbol before a position, for arrays of both; one level for each bit."""
 

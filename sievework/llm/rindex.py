@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column_texts
+from .common import checkpointed, column_texts, suffix_order
 
 LENGTH = 100
 GRAM = 32
@@ -82,21 +82,6 @@ def stretches(data: bytes, length: int = LENGTH) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _suffix_array(symbols: np.ndarray) -> np.ndarray:
-    n = len(symbols)
-    rank, step = symbols.astype(np.int64), 1
-    while True:
-        key = rank * (n + 2)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        step *= 2
-        if step >= n or rank[order[-1]] == n - 1:
-            return order
-
-
 class RunIndex:
     """The run-compressed transform of some pieces, with the suffix positions at the runs' starts and ends."""
 
@@ -105,7 +90,7 @@ class RunIndex:
         ends = np.cumsum(sizes) - 1
         text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + len(pieces)
         text[ends] = np.arange(len(pieces))  # every end is a symbol of its own, so no match crosses one
-        order = _suffix_array(text)
+        order = suffix_order(text)
         last = text[order - 1]
         heads = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1])
         self.n, self.starts = len(text), np.concatenate([[0], ends[:-1] + 1])
