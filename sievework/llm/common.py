@@ -48,7 +48,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         step *= 2
