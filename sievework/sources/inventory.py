@@ -48,11 +48,14 @@ def read_hierarchy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     slug, the last the url, and the inner field of a-z, 0-9 and hyphens the department's slug. A line
     that has no or several such fields is set aside. Empty values are null.
     """
-    schema = ", ".join(f"{c} string" for c in HIERARCHY) + ", line string"
-    parsed = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="line")
-    good = parsed.where("line is null").select(*HIERARCHY)
-    fields = F.from_csv("line", ", ".join(f"f{i} string" for i in range(16)), {"mode": "PERMISSIVE"})
-    wide = parsed.where("line is not null").select("line", F.array_compact(F.array(*(fields[f"f{i}"] for i in range(16)))).alias("f"))
+    lines = spark.read.text(path).toDF("line").where(F.trim("line") != "")
+    width = 16
+    fields = F.from_csv("line", ", ".join(f"f{i} string" for i in range(width)))
+    stated = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ","))  # an empty field and none are both null
+    parsed = lines.select("line", F.slice(F.array(*(F.coalesce(fields[f"f{i}"], F.lit("")) for i in range(width))), 1, stated).alias("f"))
+    parsed = parsed.where(F.array_join("f", ",") != ",".join(HIERARCHY))
+    good = parsed.where(F.size("f") == len(HIERARCHY)).select(*(F.element_at("f", i + 1).alias(c) for i, c in enumerate(HIERARCHY)))
+    wide = parsed.where(F.size("f") != len(HIERARCHY))
     inner = F.filter(F.sequence(F.lit(2), F.size("f") - 2), lambda i: F.element_at("f", i + 1).rlike("^[a-z0-9-]+$"))
     wide = wide.select("line", "f", F.when(F.size("f") > len(HIERARCHY), inner).alias("at"))
     sound = F.coalesce(F.size("at") == 1, F.lit(False))
