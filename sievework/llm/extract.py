@@ -40,6 +40,8 @@ ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in a class or id, and roles, that mark what is no part of an article.
 ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "menu", "modal", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Such words that mark a page's frame, but may also stand for the head of an article within it.
+FRAME_WORDS = {"footer", "header", "masthead", "nav", "topbar"}
 ASIDE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 
 _TOKEN = re.compile(
@@ -60,13 +62,16 @@ def host_of(url: Column) -> Column:
 
 
 def _label(name: str, rest: str) -> str:
-    """A tag's token: its name, and an exclamation mark if its attributes put it aside."""
+    """A tag's token: its name, with "!" if its attributes put it aside, and "~" if they make it part of the frame."""
+    frame = False
     for m in _ATTRIBUTE.finditer(rest):
         value = (m[2] or m[3] or m[4] or "").lower()
         kind = m[1].lower()
-        if kind == "hidden" or (kind == "role" and value in ASIDE_ROLES) or (kind != "role" and ASIDE_WORDS & set(re.split(r"[^a-z0-9]+", value))):
+        words = set() if kind == "role" else set(re.split(r"[^a-z0-9]+", value))
+        if kind == "hidden" or (kind == "role" and value in ASIDE_ROLES) or ASIDE_WORDS & words:
             return f"{name}!"
-    return name
+        frame = frame or bool(FRAME_WORDS & words)
+    return f"{name}~" if frame else name
 
 
 def events(page: str | None):
@@ -86,7 +91,7 @@ def events(page: str | None):
             yield "#", m["text"]
         elif m["name"]:
             name = m["name"].lower()
-            names = [s.rstrip("!") for s in stack]
+            names = [s.rstrip("!~") for s in stack]
             if m["close"]:
                 if name in names:
                     yield from close(len(names) - 1 - names[::-1].index(name))
@@ -226,11 +231,11 @@ def _is_content(path: str) -> bool:
     parts = path.split("/")
     if any(p.endswith("!") or p in DROPPED for p in parts):
         return False
-    return _in_article(path) or "header" not in parts
+    return _in_article(path) or not any(p == "header" or p.endswith("~") for p in parts)
 
 
 def _in_article(path: str) -> bool:
-    return bool({"article", "main"} & set(path.split("/")))
+    return any(p.rstrip("~") in ("article", "main") for p in path.split("/"))
 
 
 def page_texts(page: str | None):
@@ -246,7 +251,7 @@ def page_texts(page: str | None):
             stack.append(value)
         else:
             stack.pop()
-        name = value.rstrip("!")
+        name = value.rstrip("!~")
         fresh = fresh or name not in INLINE
         if name == "br" and kind == "<":
             yield "/".join(stack[:-1]), " ", fresh

@@ -245,13 +245,13 @@ PAGE = """<!DOCTYPE html><html><head><title>{t}</title><style>p{{}}</style><scri
 def page_rows():
     bodies = ["<p>one  two<br>three</p><p><b>four<br><p>five &lt;x&gt; <i>six</i>seven</p>", "<p>a</p>\n<p>b</p>", "", "<ul><li>k<li>l</ul><p>m"]
     out = [(i, f"http://Host{i % 2}.example/{i}", PAGE.format(t=f"T{i}", body=b)) for i, b in enumerate(bodies)]
-    return out + [(90, None, "<p>free"), (91, "nonsense", None), (92, "http://host1.example/", "")]
+    return out + [(93, None, "<div class='site-header'><p>top</div><p>free</p><div id=footer>end</div>"), (90, None, "<p>free"), (91, "nonsense", None), (92, "http://host1.example/", "")]
 
 
 def test_op4(spark, tmp_path):
     spark.createDataFrame(page_rows(), "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as content", "3 as text").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in result(spark, str(tmp_path), "op4_extract")}
-    want = {0: "T0 & more\none two three\nfour\nfive <x> sixseven", 1: "T1 & more\na\nb", 2: "T2 & more", 3: "T3 & more\nk\nl\nm", 90: "free", 91: "", 92: ""}
+    want = {0: "T0 & more\none two three\nfour\nfive <x> sixseven", 1: "T1 & more\na\nb", 2: "T2 & more", 3: "T3 & more\nk\nl\nm", 90: "free", 93: "free", 91: "", 92: ""}
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
