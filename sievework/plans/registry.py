@@ -484,6 +484,12 @@ def g2_bookmarks(spark, d):
 # ---- Pages as tables.
 
 
+_DECODE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PIECES = "list_filter(list_transform(string_split_regex(regexp_replace({}, '<(script|style)>.*?</(script|style)>', '<x>', 'gs'), '<[^>]*>'), lambda x: trim(" + _DECODE.format("x") + ", ' ' || chr(10))), lambda x: x <> '')"
+_ANCHORS = f"""a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)<', 1)) AS said FROM pages),
+anchors AS (SELECT page_id, origin || {_DECODE.format('href')} AS url, trim({_DECODE.format('said')}) AS label FROM a)"""
+
+
 def _items(spark, d, drop=()):
     return checkpointed(html.explode_nodes(table(spark, d, "pages"), drop))
 
@@ -500,7 +506,7 @@ def h2_j7_selectors(spark, d):
     return found.where("rank = 0").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT page_id, array_to_string({_PIECES.format('html')}, chr(10)) AS page_text, array_to_string({_PIECES.format("regexp_extract(html, '<article>(.*)</article>', 1, 's')")}, ' ') AS article_text FROM pages")
 def h3_h4_texts(spark, d):
     items = _items(spark, d, html.DROP_FOR_TEXT)
     nodes, texts = html.nodes_of(items), html.texts_of(items)
@@ -516,7 +522,7 @@ def h5_j8_w4_headings(spark, d):
     return found.where("heading is not null").groupBy("page_id").agg(F.count("*").alias("after_heading"))
 
 
-@query()
+@query(f"SELECT page_id, trim({_DECODE.format("regexp_extract(html, '<h1>([^<]*)<', 1)")}) AS title, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {_DECODE.format("regexp_extract(html, '<a href=\"([^\"]*)\"', 1)")} AS offer_url FROM pages")
 def h6_h7_titles_and_links(spark, d):
     items = _items(spark, d)
     nodes, texts = html.nodes_of(items), html.texts_of(items)
@@ -526,13 +532,13 @@ def h6_h7_titles_and_links(spark, d):
     return html.first_inside(titled, html.anchors(nodes, texts, table(spark, d, "pages")), F.lit(True), "url", "offer_url").select("page_id", "title", "offer_url")
 
 
-@query()
+@query(f"WITH {_ANCHORS} SELECT * FROM anchors")
 def h8_u2_anchors(spark, d):
     items = _items(spark, d)
-    return html.anchors(html.nodes_of(items), html.texts_of(items), table(spark, d, "pages")).select("page_id", "start", "url", "label")
+    return html.anchors(html.nodes_of(items), html.texts_of(items), table(spark, d, "pages")).select("page_id", "url", "label")
 
 
-@query()
+@query(f"WITH {_ANCHORS}, s AS (SELECT *, {B.fold_sql("label || ' ' || url")} AS said FROM anchors) SELECT DISTINCT page_id, url FROM s WHERE (contains(said, 'the') OR contains(said, 'que') OR contains(said, 'der')) AND NOT ({' OR '.join(f"contains(said, '{m}')" for m in classify.DEFAULTS['excluded_markers'])})")
 def f7_o6_child_links(spark, d):
     items = _items(spark, d)
     found = html.anchors(html.nodes_of(items), html.texts_of(items), table(spark, d, "pages"))
@@ -547,7 +553,7 @@ def h9_discover(spark, d):
     return html.discover(pages, rule).select("page_id", "ordinal", "title", "source_url", "application_url", "stable_source_key")
 
 
-@query()
+@query(f"SELECT page_id, ['text/html', 'text/plain', 'image/png'][page_id % 3 + 1] AS media, CASE page_id % 3 WHEN 0 THEN array_to_string({_PIECES.format('html')}, chr(10)) WHEN 1 THEN html END AS text, CASE WHEN page_id % 3 = 2 THEN 'unsupported media type: image/png' END AS error FROM pages")
 def h10_extract_text(spark, d):
     pages = table(spark, d, "pages").withColumn("media_type", F.element_at(F.array(*map(F.lit, ("text/html; charset=utf-8", "text/plain", "image/png"))), (F.col("page_id") % 3 + 1).cast("int")))
     return html.extract_text(pages)
