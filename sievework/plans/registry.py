@@ -484,7 +484,7 @@ def g2_bookmarks(spark, d):
 # ---- Pages as tables.
 
 
-_DECODE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_DECODE = "replace(replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _PIECES = "list_filter(list_transform(string_split_regex(regexp_replace({}, '<(script|style)>.*?</(script|style)>', '<x>', 'gs'), '<[^>]*>'), lambda x: trim(" + _DECODE.format("x") + ", ' ' || chr(10))), lambda x: x <> '')"
 _ANCHORS = f"""a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)<', 1)) AS said FROM pages),
 anchors AS (SELECT page_id, origin || {_DECODE.format('href')} AS url, trim({_DECODE.format('said')}) AS label FROM a)"""
