@@ -24,6 +24,8 @@ WINDOW = 8
 #: Groups below so many documents borrow the sketch of the next level.
 LEAST_GROUP = 100
 SPREAD = 3
+#: Groups whose fences are sent to all tasks at most, some hundred bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 20_000
 #: The measures and the least width of the fence above (and for letters per word below) the quartile.
 WIDTHS = {"word_len": 500, "symbols": 1500, "dup_lines": 5000, "repeats": 2500}
 _KEPT_BITS = 6
@@ -118,6 +120,7 @@ def sketches(docs: DataFrame, lang: str, source: str, prefix: str = "") -> DataF
 def fences(found: DataFrame) -> DataFrame:
     """(lang, source, fence) of each group, from sketches(); fence maps a measure to struct(low, high)."""
     level = F.explode(F.array(*map(F.lit, (2, 1, 0)))).alias("level")
+    found = checkpointed(found)  # it is read for each level
     merged = found.select("*", level).select("level", F.expr("if(level > 0, lang, null)").alias("lang"), F.expr("if(level > 1, source, null)").alias("source"), "measure", "bucket", "n")
     merged = merged.groupBy("level", "lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
     listed = merged.groupBy("level", "lang", "source", "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("sketch"), F.sum("n").alias("size"))
@@ -136,14 +139,15 @@ def fences(found: DataFrame) -> DataFrame:
     return own.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).join(F.broadcast(of_all)).select("lang", "source", chosen.alias("fence"))
 
 
-def with_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
-    """docs, which hold with_counts(), with base_failed and kept (both with the prefix).
+def with_verdicts(docs: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
+    """docs, which hold with_counts(), with base_failed and kept (both with the prefix); limits: fences().
 
     kept is false if base_failed, or if a measure lies outside its group's fence. Null languages
     and sources are groups of their own. Documents without a word fail; repeated rows count each.
-    docs is read twice.
     """
-    limits = fences(sketches(docs, lang, source, prefix)).toDF("__of_lang", "__of_source", "__fence")
+    limits = checkpointed(limits.toDF("__of_lang", "__of_source", "__fence"))
+    if limits.count() <= MOST_BROADCAST:
+        limits = F.broadcast(limits)
     inside = F.lit(True)
     for name, value in _measures(prefix).items():
         inside &= value.between(F.col("__fence")[name]["low"], F.col("__fence")[name]["high"])
@@ -155,10 +159,15 @@ def with_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source", p
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(doc_id, lang, source, the counts, base_failed, kept) of each row of docs; null texts have no words."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    return with_verdicts(checkpointed(with_counts(narrow).drop("text")))
+    counted = checkpointed(with_counts(narrow).drop("text"))
+    return with_verdicts(counted, fences(sketches(counted, "lang", "source")))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with their columns as they were."""
-    counted = checkpointed(with_counts(docs, text, "__"))
-    return with_verdicts(counted, lang, source, "__").where("__kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with their columns as they were.
+
+    Texts are counted once for the sketches and once more where they are filtered, so that they are neither stored nor moved.
+    """
+    narrow = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    limits = fences(sketches(with_counts(narrow), "lang", "source"))
+    return with_verdicts(with_counts(docs, text, "__"), limits, lang, source, "__").where("__kept").select(*docs.columns)
