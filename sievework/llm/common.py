@@ -35,6 +35,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, made from the given one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column_texts(batch, name: str) -> list[str]:
     """The strings of a record batch's column, null as empty."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

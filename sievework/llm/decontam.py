@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import suffix_order
 
@@ -228,8 +229,8 @@ def _searched(docs: DataFrame, sent, text: str, first: bool, without: str | None
         if held:
             yield from judged(held, words)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    return docs.mapInArrow(batches, f"{kinds}, __n_words long, __spans array<struct<start: long, end: long>>, __items array<string>")
+    span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+    return docs.mapInArrow(batches, StructType([*carried, StructField("__n_words", LongType()), StructField("__spans", span), StructField("__items", ArrayType(StringType()))]))
 
 
 def n_hit(spans: str = "__spans"):

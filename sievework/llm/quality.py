@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpointed, column_texts
 
@@ -90,8 +91,7 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
             rows = np.array([measure(t) for t in column_texts(batch, text)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i]) for i in range(len(names)))], [*batch.schema.names, *names])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{c}` long" for c in names]
-    return docs.mapInArrow(batches, ", ".join(kinds))
+    return docs.mapInArrow(batches, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in names)]))
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -170,4 +170,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     """
     narrow = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     limits = fences(sketches(with_counts(narrow), "lang", "source"))
-    return with_verdicts(with_counts(docs, text, "__"), limits, lang, source, "__").where("__kept").select(*docs.columns)
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return with_verdicts(with_counts(docs, text, mark), limits, lang, source, mark).where(F.col(mark + "kept")).select(*docs.columns)

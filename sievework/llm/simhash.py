@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, column_texts
+from .common import checkpointed, column_texts, unused
 from .components import connected_components
 
 SEED = 42
@@ -48,8 +49,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", widt
             got = np.array([fingerprint(t, width) for t in column_texts(batch, text)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], [*batch.schema.names, out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(batches, f"{kinds}, `{out}` long")
+    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(out, LongType())]))
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -93,9 +93,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     them by fingerprint and then by its other columns stays.
     """
     names = docs.columns
-    marked = with_fingerprints(docs, text, "__fp")
-    prints = checkpointed(marked.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__fp").alias("fp")))
+    own, fp, ident = unused(docs, "fp"), unused(docs, "best_fp"), unused(docs, "best_id")
+    marked = with_fingerprints(docs, text, own)
+    prints = checkpointed(marked.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(own).alias("fp")))
     best = prints.join(components_of(prints, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__fp"))
-    kept = marked.join(best, [marked["__fp"] == best["__fp"], marked[doc_id].cast("long").eqNullSafe(best["__id"])]).select(*(marked[c] for c in names), best["__fp"], best["__id"])
-    return kept.groupBy("__fp", "__id").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    best = best.select(F.col("best.doc_id").alias(ident), F.col("best.fp").alias(fp))
+    kept = marked.join(best, [F.col(own) == F.col(fp), F.col(doc_id).cast("long").eqNullSafe(F.col(ident))]).select(*names, fp, ident)
+    return kept.groupBy(fp, ident).agg(F.min(F.struct(*names)).alias("row")).select("row.*")
