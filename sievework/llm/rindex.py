@@ -237,6 +237,7 @@ def _look_closer(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
     windows, place = found.where("single"), F.struct("doc", "of", "low")
     firsts = windows.groupBy("data").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("data", "first")
+    firsts = checkpointed(firsts)  # read back, it is shuffled for the join, which Spark can then split at a window that is very common
     later = windows.join(firsts, "data").where(place != F.col("first")).select("doc", "of", "low", (F.col("low") + length).alias("high"))
 
     pieces = found.where("not single").select("hash", "doc", "of", "low", "data")
