@@ -48,17 +48,41 @@ def column_texts(batch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
+def _run_starts(values: np.ndarray) -> np.ndarray:
+    """For each of some sorted values the place at which its run of equal ones starts."""
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    return np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of a sequence of whole numbers, by prefix doubling."""
+    """The suffix array of a sequence of whole numbers, by prefix doubling.
+
+    A suffix's rank is the first place of those that agree with it so far. The first sort takes several
+    symbols at once, and each later one only the suffixes that still agree with another.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key)
-        ordered = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    key = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+    base, step = int(key.max()) + 1, 1
+    while base ** (2 * step) < 1 << 62 and step < n:
+        after = np.zeros(n, np.int64)
+        after[: n - step] = key[step:]
+        key = key * base**step + after
         step *= 2
-        if step >= n or rank[order[-1]] == n - 1:
+    order = np.argsort(key)
+    part, slots, first = order, np.arange(n), _run_starts(key[order])
+    rank = np.empty(n, np.int64)
+    while True:
+        order[slots], rank[part] = part, first
+        tied = np.concatenate([first[1:] == first[:-1], [False]]) | (first != slots)
+        part = part[tied]
+        if not len(part):
             return order
+        after = np.zeros(len(part), np.int64)
+        inside = part + step < n
+        after[inside] = rank[part[inside] + step] + 1
+        key = rank[part] * (n + 1) + after
+        by = np.argsort(key)
+        part, key = part[by], key[by]
+        slots = rank[part] + np.arange(len(part)) - _run_starts(rank[part])
+        first = slots[_run_starts(key)]
+        step *= 2
