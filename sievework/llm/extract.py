@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, column_texts
 
 LEAST_PAGES = 3
+#: Bytes of wrappers' slots that are sent to all tasks at most; more are joined by a shuffle of the pages.
+MOST_BROADCAST = 8 << 20
 SALTS = 8
 #: Tokens that a repeated group spans at most when a page's stream is folded.
 LONGEST_GROUP = 64
@@ -338,7 +340,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     the wrapper of the empty host. Repeated rows are extracted each. An empty table gives an empty one.
     """
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(page), F.lit("")).alias("html"))
-    rules = wrappers(named).select(F.col("host").alias("of_host"), "content")
+    rules = checkpointed(wrappers(named).select(F.col("host").alias("of_host"), "content"))
+    if (rules.agg(F.sum(F.octet_length(F.to_json("content")) + 100)).first()[0] or 0) <= MOST_BROADCAST:
+        rules = F.broadcast(rules)
     joined = named.join(rules, named["host"] == rules["of_host"], "left").select("page_id", "url", "html", F.map_entries("content").alias("content"))
 
     def batches(parts):
