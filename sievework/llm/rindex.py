@@ -69,16 +69,28 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 def stretches(data: bytes, length: int = LENGTH) -> np.ndarray:
     """Rows (window hash, content hash, first start, last start) of the runs of windows that share a hash."""
-    parts = [np.zeros((0, 4), np.int64)]
+    return _flagged_stretches(data, length)[:, :4]
+
+
+def _flagged_stretches(data: bytes, length: int) -> np.ndarray:
+    """stretches(), and 1 where the least gram stands more than once in a run: only there may windows of one run be equal."""
+    width = length - GRAM + 1
+    parts = [np.zeros((0, 5), np.int64)]
     view, digest = memoryview(data), xxhash.xxh3_64_intdigest
     for base in range(0, len(data) - length + 1, CHUNK):  # windows of one hash may stand in several runs
         part = view[base : base + CHUNK + length - 1]
-        least = window_minima(gram_hashes(np.frombuffer(part, np.uint8)), length - GRAM + 1).view(np.int64)
+        grams = gram_hashes(np.frombuffer(part, np.uint8))
+        least = window_minima(grams, width)
+        # A gram is a holder if it is the least of some window. Every run has holders; they follow each other, in the order of the runs.
+        held = ~window_minima(np.pad(~least, width - 1, constant_values=np.iinfo(np.uint64).max), width)
+        holders = grams[held == grams]
+        several = np.diff(np.flatnonzero(np.concatenate([[True], holders[1:] != holders[:-1], [True]]))) > 1
+        least = least.view(np.int64)
         cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
         first = np.concatenate([[0], cuts])
         last = np.concatenate([cuts, [len(least)]]) - 1
         content = np.array([digest(part[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64).view(np.int64)
-        parts.append(np.column_stack([least[first], content, first + base, last + base]))
+        parts.append(np.column_stack([least[first], content, first + base, last + base, several]))
     return np.concatenate(parts)
 
 
@@ -142,28 +154,27 @@ def _runs(flags: np.ndarray, base: int, length: int) -> list[tuple[int, int]]:
 
 
 def _cut_up(docs: DataFrame, length: int) -> DataFrame:
-    """(hash, content, doc, of, span) of the stretches of docs (doc, of, text); span holds the first start and the last."""
+    """(hash, content, doc, of, span) of the stretches of docs (doc, of, text); span holds the first start, the last and the flag."""
 
     def batches(parts):
         for batch in parts:
-            found = [stretches(text.encode(), length) for text in column_texts(batch, "text")]
+            found = [_flagged_stretches(text.encode(), length) for text in column_texts(batch, "text")]
             sizes = [len(f) for f in found]
-            rows = np.concatenate([np.zeros((0, 4), np.int64), *found])
+            rows = np.concatenate([np.zeros((0, 5), np.int64), *found])
             doc, of = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for c in ("doc", "of"))
-            columns = [rows[:, 0], rows[:, 1], doc, of, rows[:, 2] << 32 | rows[:, 3]]
+            columns = [rows[:, 0], rows[:, 1], doc, of, rows[:, 2] << 32 | rows[:, 3] << 1 | rows[:, 4]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "content", "doc", "of", "span"])
 
     return docs.select("doc", "of", "text").mapInArrow(batches, "hash long, content long, doc long, of long, span long")
 
 
-def _settle(length: int):
+def _settle():
     """Reads stretches in order of (hash, content, doc, of, span); writes those that need a mark or a closer look.
 
     look false: equal to an earlier stretch, so all of it repeats. look true: the first of its
-    content, where the hash has several contents or the stretch is so long that it may repeat
+    content, where the hash has several contents or the stretch is flagged, as it may repeat
     within itself. The task holds one batch, and one row of the hash it is in.
     """
-    longest = length - GRAM + 1
 
     def batches(parts):
         last, waiting = None, None  # the row before, and the first row of its hash while that has one content
@@ -181,8 +192,8 @@ def _settle(length: int):
             contents = np.bincount(group, weights=new_content, minlength=group[-1] + 1).astype(np.int64)
             several = contents > 1
             several[0] = contents[0] > 0  # the hash of the batch before has one content more
-            long = (rows[:, 4] & 0xFFFFFFFF) - (rows[:, 4] >> 32) >= longest
-            look = new_content & (several[group] | long)
+            flagged = (rows[:, 4] & 1).astype(bool)
+            look = new_content & (several[group] | flagged)
             again = ~new_content & ~same_row
             out, flags = [rows[look | again]], [look[look | again]]
             if waiting is not None and several[0]:
@@ -192,12 +203,12 @@ def _settle(length: int):
                 waiting = None
             if group[-1] > 0 and not several[group[-1]]:
                 at = np.flatnonzero(new_hash)[-1]
-                waiting = None if long[at] else rows[at]
+                waiting = None if flagged[at] else rows[at]
             last = rows[-1]
             yield written(np.concatenate(out), np.concatenate(flags))
 
     def written(rows, look):
-        low, high = rows[:, 4] >> 32, rows[:, 4] & 0xFFFFFFFF
+        low, high = rows[:, 4] >> 32, (rows[:, 4] & 0xFFFFFFFF) >> 1
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 0], rows[:, 2], rows[:, 3], low, high, look)], ["hash", "doc", "of", "low", "high", "look"])
 
     return batches
@@ -263,7 +274,7 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = source.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("of"))
     ordered = _cut_up(named, length).repartition("hash").sortWithinPartitions("hash", "content", "doc", "of", "span")
-    settled = checkpointed(ordered.mapInArrow(_settle(length), "hash long, doc long, of long, low long, high long, look boolean"))
+    settled = checkpointed(ordered.mapInArrow(_settle(), "hash long, doc long, of long, low long, high long, look boolean"))
     closer = _look_closer(settled.where("look"), named.select("doc", "of", "text"), length)
     whole = settled.where("not look").select("doc", "of", "low", (F.col("high") + length).alias("high"))
     ranges = whole.unionByName(closer).groupBy("doc", "of").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))

@@ -485,6 +485,17 @@ def test_repeated_rows_are_one_document(spark):
     assert got == [(5, 0), (5, 0), (6, len(text) - 3), (99, len(text))]
 
 
+def test_texts_that_repeat_within_one_stretch(spark):
+    rows = [(1, "a" * 101), (2, "ab" * 60), (3, f"Before the line.\n{'-' * 120}\nAfter it, all is new."), (4, "xyz" * 50), (5, "-" * 100), (6, "c" * 150), (7, "one word " * 14)]
+    found = rindex.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == plain_repeats(rows)
+    for length in (100, 64):
+        data = ("ab" * 50 + "-" * 130 + "".join(random.Random(3).choices("xy", k=900)) + "q" * 101).encode()
+        for h, _, low, high, flag in rindex._flagged_stretches(data, length).tolist():
+            grams = rindex.gram_hashes(np.frombuffer(data[low : high + length], np.uint8)).view(np.int64)
+            assert flag == ((grams == h).sum() > 1)
+
+
 def test_run_index_marks_windows_as_a_set_does(monkeypatch):
     rng = random.Random(9)
     for length in (3, 6):
