@@ -5,7 +5,8 @@ functions turn a partition's lengths into a number of bins that no packing can g
 partition that meets its bound is certified, and done. The others have a gap: they keep the bins
 that are full, give up the pieces of the rest, and these pieces are dealt out anew over fewer
 partitions, so that pieces from different partitions meet, and packed again. This is repeated until
-no partition has a gap, or one partition is left.
+no partition has a gap, or one partition is left. Only pieces that do not fit one task may end
+otherwise, when an exchange over the fewest partitions settles none of them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ END = 2
 CAPACITY = 1024
 #: Pieces that a task packs at once, about; its memory is bounded by them.
 PER_PARTITION = 25_000
+#: Pieces that a task packs at most, where exchanges settle few.
+MOST_PER_PARTITION = 1_000_000
 _CACHE = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,8 +41,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens() -> dict[str, int]:
+    """The added tokens of the vocabulary's tokenizer file, which are ids of their own wherever they stand in a text."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 class Encoder:
-    """The ids of texts as little-endian unsigned 32-bit numbers.
+    """The ids of texts as little-endian unsigned 32-bit numbers. Added tokens are plain text unless they are given.
 
     The vocabulary splits a text before it merges, and never joins what a lone space or line break
     parts. So words are encoded on their own and remembered; a text with any other white space,
@@ -48,7 +61,7 @@ class Encoder:
 
     _unusual = re.compile(r"\s\s|[^\S \n]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import base64
 
         import public_tokenizers
@@ -58,11 +71,22 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._whole = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._known: dict[str, bytes] = {}
+        self._added = {k: v.to_bytes(4, "little") for k, v in (added or {}).items()}
+        self._split = re.compile("|".join(f"({re.escape(k)})" for k in sorted(self._added, key=len, reverse=True))) if self._added else None
 
     def _encode(self, text: str) -> bytes:
         return np.array(self._whole.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self._split is None:
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._split.finditer(text):
+            out += [self._plain(text[at : m.start()]), self._added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])]) if out else self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if self._unusual.search(text):
             return self._encode(text)
         if len(self._known) > _CACHE:
@@ -84,7 +108,7 @@ class Encoder:
 
 @cache
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, added_tokens())
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -164,14 +188,14 @@ def _pack(capacity: int, base: int, last: bool):
         lengths = pdf["length"].to_numpy()
         bins, offsets, left = best_fit_decreasing(lengths, capacity)
         opened = np.zeros(len(left), bool) if last or len(left) <= lower_bound(lengths, capacity) else left > 0
-        sequence = pd.array(base + (int(pdf["part"].iloc[0]) << 32) + bins, "Int64")
+        sequence = pd.array(base + (int(pdf["part"].iloc[0]) << 24) + bins, "Int64")
         sequence[opened[bins]] = pd.NA
         return pdf.drop(columns="part").assign(sequence_id=sequence, offset=offsets)
 
     return run
 
 
-def pack(cut_up: DataFrame, capacity: int = CAPACITY, rounds: int = 6) -> DataFrame:
+def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset.
 
     Any order of the rows gives a packing of the same kind; repeated rows are packed each. An
@@ -179,18 +203,21 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY, rounds: int = 6) -> DataFr
     """
     out = f"{PIECES}, sequence_id long, offset long"
     todo, done = checkpointed(cut_up), []
-    for turn in range(rounds):
+    before, turn = None, 0
+    while True:
         count = todo.count()
-        parts = -(-count // PER_PARTITION) if turn + 1 < rounds else -(-count // (4 * PER_PARTITION))
-        last = parts <= 1 or turn + 1 == rounds
-        parts = max(1, parts)
+        parts = max(1, -(-count // PER_PARTITION))
+        if before:  # fewer partitions each time, as long as they fit their tasks
+            parts = max(-(-count // MOST_PER_PARTITION), min(parts, before[1] // 2), 1)
+        last = parts == 1 or (count, parts) == before
         # Rows of a checkpoint have a fixed order, so this deals them out evenly and the same way again.
         dealt = todo.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("part"))
-        packed = checkpointed(dealt.groupBy("part").applyInPandas(_pack(capacity, turn << 56, last), out))
+        packed = checkpointed(dealt.groupBy("part").applyInPandas(_pack(capacity, turn << 48, last), out))
         done.append(packed.where("sequence_id is not null"))
         if last:
             break
         todo = checkpointed(packed.where("sequence_id is null").drop("sequence_id", "offset"))
+        before, turn = (count, parts), turn + 1
     first, *more = done
     for x in more:
         first = first.unionByName(x)

@@ -432,6 +432,39 @@ def test_partitions_with_a_gap_exchange_pieces(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in found) == list(range(400)) and max(sizes.values()) <= 1024 and len(sizes) <= 1.06 * alone
 
 
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    whole, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(packing.default_vocabulary())
+    rng = random.Random(5)
+    bits = ["a", "the", " ", "  ", "\n", "\t", "é", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", " x"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(2000)]
+    ids = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(50256 in x for x in ids) > 500
+    for t, want in zip(texts, ids, strict=True):
+        assert np.frombuffer(encode(t), "<u4").tolist() == want, repr(t)
+    found = packing.pieces(spark.createDataFrame(list(enumerate(texts[:100])), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in found} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(ids[:100])}
+
+
+def test_exchanges_go_on_until_one_partition_is_left(spark, monkeypatch):
+    calls, plain = [], packing._pack
+    monkeypatch.setattr(packing, "PER_PARTITION", 30)
+    monkeypatch.setattr(packing, "_pack", lambda capacity, base, last: calls.append((base, last)) or plain(capacity, base, last))
+    rng = random.Random(8)
+    pieces = spark.createDataFrame([(i, 0, 0, rng.choice((340, 345)), 0) for i in range(300)], packing.PIECES)  # no bin is full, and none of the bounds is met
+    found = packing.pack(pieces).collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r["sequence_id"]] += r["length"]
+    assert sorted(r["doc_id"] for r in found) == list(range(300)) and max(sizes.values()) <= 1024
+    assert [last for _, last in calls] == [False] * (len(calls) - 1) + [True]
+    assert len({(s - calls[-1][0]) >> 24 for s in sizes if s >= calls[-1][0]}) == 1
+    monkeypatch.setattr(packing, "MOST_PER_PARTITION", 100)  # where a task may not hold all, it ends nevertheless
+    assert packing.pack(pieces).count() == 300
+
+
 def test_lower_bound_never_exceeds_the_best_packing():
     rng = random.Random(6)
 
