@@ -54,7 +54,9 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Any attribute with its value, so that a name within another's quoted value is none.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -64,11 +66,16 @@ def host_of(url: Column) -> Column:
 
 
 def _label(name: str, rest: str) -> str:
-    """A tag's token: its name, with "!" if its attributes put it aside, and "~" if they make it part of the frame."""
+    """A tag's token: its name, with "!" if its attributes put it aside, and "~" if they make it part of the frame.
+
+    Ids of headings and inline elements are anchors, often made of the text's own words, and say nothing.
+    """
     frame = False
     for m in _ATTRIBUTE.finditer(rest):
-        value = (m[2] or m[3] or m[4] or "").lower()
         kind = m[1].lower()
+        if kind not in ("class", "id", "role", "hidden") or kind == "id" and (name in _HEADINGS or name in INLINE):
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
         words = set() if kind == "role" else set(re.split(r"[^a-z0-9]+", value))
         if kind == "hidden" or (kind == "role" and value in ASIDE_ROLES) or ASIDE_WORDS & words:
             return f"{name}!"

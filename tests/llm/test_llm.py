@@ -261,6 +261,13 @@ def test_op4_empty(spark, tmp_path):
     assert result(spark, str(tmp_path), "op4_extract") == []
 
 
+def test_ids_of_headings_and_words_in_quoted_values_drop_nothing(spark):
+    body = """<article><h2 id="related-work">Related work</h2><p><a title="A hidden gem" href='x'>a gem</a> and <a id=share-prices>prices</a></p>
+<h3 class=x id='social-history'>Social</h3><p data-note='its class="ad"'>kept</p><p title=" id=menu">too</p><p hidden>out</p><p CLASS = "ad">out</p><div id=comments>out</div><p data-x="1"class='promo'>out</p></article>"""
+    found = extract.extract(spark.createDataFrame([(1, "http://h.example/", body)], "page_id long, url string, html string")).first()["text"]
+    assert found == "Related work\na gem and prices\nSocial\nkept\ntoo"
+
+
 def test_a_hosts_constant_text_is_template_without_an_article(spark):
     pages = [(i, "http://h.example/", f"<body><div class='top'>Always here</div><div class='body'><p>text {i}</p></div></body>") for i in range(4)]
     got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
