@@ -48,7 +48,7 @@ def column_texts(batch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def _run_starts(values: np.ndarray) -> np.ndarray:
+def run_starts(values: np.ndarray) -> np.ndarray:
     """For each of some sorted values the place at which its run of equal ones starts."""
     new = np.concatenate([[True], values[1:] != values[:-1]])
     return np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
@@ -69,7 +69,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         key = key * base**step + after
         step *= 2
     order = np.argsort(key)
-    part, slots, first = order, np.arange(n), _run_starts(key[order])
+    part, slots, first = order, np.arange(n), run_starts(key[order])
     rank = np.empty(n, np.int64)
     while True:
         order[slots], rank[part] = part, first
@@ -83,6 +83,6 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         key = rank[part] * (n + 1) + after
         by = np.argsort(key)
         part, key = part[by], key[by]
-        slots = rank[part] + np.arange(len(part)) - _run_starts(rank[part])
-        first = slots[_run_starts(key)]
+        slots = rank[part] + np.arange(len(part)) - run_starts(rank[part])
+        first = slots[run_starts(key)]
         step *= 2

@@ -2,19 +2,21 @@
 
 Every window of `length` bytes is assigned to its least k-byte hash, so that equal windows meet
 under equal hashes wherever they stand. A text's windows fall into stretches of neighbours with one
-hash; a stretch is named by the hash of all its bytes. One shuffle by the window hash settles all
-stretches that are equal to an earlier one as a whole, however many copies there are. What is left
-are hashes under which different stretches meet: the edges of passages. Their bytes are gathered in
-bounded shards, and each shard gets a run-length index:
-
-the Burrows-Wheeler transform of the shard's stretches is kept as runs, with the suffix positions at
-the runs' ends as samples. Between two samples the longest match with the lexicographic neighbour
-falls by one a byte, so the matching statistics of the whole shard stream from the samples. Windows
-matched over their whole length are chained with their neighbours, and all but the first of a chain
-are marked.
-
-A hash under which more than `HOT` different stretches meet would not fit a shard: there single windows are
-compared, by 128-bit hashes and a grouped minimum.
+hash. Stretches that share their hash with another go to an index, in two steps: first with those
+of the documents that a task reads together, so that the copies of a hot text leave one stretch for
+each such lot; then, after a shuffle by hash, with those of all lots. A hash that stands in one lot
+only, once, is dropped before any bytes move. Every mark is made by an index:
+
+the pieces' Burrows-Wheeler transform is kept as runs, with the suffix positions at the runs' ends
+as samples. Equal pieces are one phrase of the index, as copies only lengthen its runs. Between two
+samples the longest match with the lexicographic neighbour falls by one a byte, so the matching
+statistics of all pieces stream from the samples. Windows matched over their whole length are
+chained with their neighbours, and all but the first place of a chain are marked.
+
+An index covers `SHARD_BYTES` of pieces, about. A hash that has more is indexed part by part, each
+together with the windows that the parts before have brought. A hash that more than `MANY` stretches
+share is split by content first: `BLOCK` neighbouring windows have 101 - BLOCK bytes in common, and
+are keyed by these.
 """
 
 from __future__ import annotations
@@ -22,19 +24,22 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column_texts, suffix_order
+from .common import checkpointed, column_texts, run_starts
 
 LENGTH = 100
 GRAM = 32
-HOT = 2000
-#: Bytes of stretches that one index covers, about.
-SHARD_BYTES = 2 << 20
+#: Stretches of a hash above which its windows are keyed by more of their content; the marks are the same.
+MANY = 2000
+BLOCK = 9
+#: Bytes of pieces that one index covers, about.
+SHARD_BYTES = 1 << 19
+#: Bytes of texts that a task looks at together before the shuffle; a longer text is looked at alone.
+LOT_BYTES = 8 << 20
 #: Windows that are hashed at once.
 CHUNK = 1 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -68,150 +73,302 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: bytes, length: int = LENGTH) -> np.ndarray:
-    """Rows (window hash, content hash, first start, last start) of the runs of windows that share a hash."""
-    return _flagged_stretches(data, length)[:, :4]
+    """Rows (window hash, first start, last start, flag) of the runs of windows that share a hash.
 
-
-def _flagged_stretches(data: bytes, length: int) -> np.ndarray:
-    """stretches(), and 1 where the least gram stands more than once in a run: only there may windows of one run be equal."""
+    flag is 1 where windows of the run may be equal. Two of them are equal only if all their grams are,
+    at one distance, so it is enough to compare one gram in `width` with those that follow it.
+    """
     width = length - GRAM + 1
-    parts = [np.zeros((0, 5), np.int64)]
-    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    parts = [np.zeros((0, 4), np.int64)]
     for base in range(0, len(data) - length + 1, CHUNK):  # windows of one hash may stand in several runs
-        part = view[base : base + CHUNK + length - 1]
-        grams = gram_hashes(np.frombuffer(part, np.uint8))
-        least = window_minima(grams, width)
-        # A gram is a holder if it is the least of some window. Every run has holders; they follow each other, in the order of the runs.
-        held = ~window_minima(np.pad(~least, width - 1, constant_values=np.iinfo(np.uint64).max), width)
-        holders = grams[held == grams]
-        several = np.diff(np.flatnonzero(np.concatenate([[True], holders[1:] != holders[:-1], [True]]))) > 1
-        least = least.view(np.int64)
+        grams = gram_hashes(np.frombuffer(data, np.uint8, min(CHUNK + length - 1, len(data) - base), base))
+        least = window_minima(grams, width).view(np.int64)
         cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
         first = np.concatenate([[0], cuts])
         last = np.concatenate([cuts, [len(least)]]) - 1
-        content = np.array([digest(part[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64).view(np.int64)
-        parts.append(np.column_stack([least[first], content, first + base, last + base, several]))
+        flags = np.zeros(len(first), np.int64)
+        near = np.lib.stride_tricks.sliding_window_view(np.concatenate([grams, np.zeros(width, np.uint64)]), width)[: len(grams) : width]
+        for at in np.flatnonzero((near[:, 1:] == near[:, :1]).any(1)).tolist():
+            at *= width
+            flags[np.searchsorted(last, at - width + 1) : np.searchsorted(first, at, side="right")] = 1
+        parts.append(np.column_stack([least[first], first + base, last + base, flags]))
     return np.concatenate(parts)
 
 
+def _piece_order(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The suffix array of pieces that each end in a symbol of their own, smaller than any byte and in the order of the pieces.
+
+    words holds the eight bytes from each position on, left how many are before its piece's end. The
+    first sort takes seven symbols; later ones double the length, and take only suffixes that still
+    agree with another.
+    Suffixes that agree up to their ends are in order of their positions.
+    """
+    n, step = len(left), 7
+    short = np.minimum(left, step)
+    # Seven bytes, zero beyond the end, and then how many they are.
+    kept = np.array([(1 << 56) - (1 << 8 * (step - k)) for k in range(step + 1)], np.uint64)
+    key = ((words.byteswap() >> np.uint64(8)) & kept[short]).view(np.int64) << 3 | short
+    order = np.argsort(key)
+    part, slots, first = order, np.arange(n), run_starts(key[order])
+    rank = np.empty(n, np.int64)
+    while True:
+        order[slots], rank[part] = part, first
+        tied = np.concatenate([first[1:] == first[:-1], [False]]) | (first != slots)
+        part = part[tied]
+        if not len(part):
+            return order
+        inside = left[part] >= step
+        after = np.where(inside, rank[np.where(inside, part + step, 0)], part)
+        key = rank[part] * (n + 1) + after
+        by = np.argsort(key)
+        part, key = part[by], key[by]
+        slots = rank[part] + np.arange(len(part)) - run_starts(rank[part])
+        first = slots[run_starts(key)]
+        step *= 2
+
+
 class RunIndex:
     """The run-compressed transform of some pieces, with the suffix positions at the runs' starts and ends."""
 
     def __init__(self, pieces: list[bytes]):
-        sizes = np.array([len(p) + 1 for p in pieces])
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
         ends = np.cumsum(sizes) - 1
-        text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + len(pieces)
-        text[ends] = np.arange(len(pieces))  # every end is a symbol of its own, so no match crosses one
-        order = suffix_order(text)
-        last = text[order - 1]
+        self.n, self.starts = int(sizes.sum()), np.concatenate([[0], ends[:-1] + 1])
+        data = np.frombuffer(b"\0".join(pieces) + bytes(9), np.uint8)
+        left = np.repeat(ends, sizes) - np.arange(self.n)
+        words = np.lib.stride_tricks.as_strided(data, (self.n, 8), (1, 1)).copy().view("<u8").ravel()
+        order = _piece_order(words, left)
+        last = np.where(left[order - 1] > 0, data[order - 1].astype(np.int64), -1 - order)  # ends differ from each other
         heads = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1])
-        self.n, self.starts = len(text), np.concatenate([[0], ends[:-1] + 1])
         self.symbols, self.heads = last[heads], heads
         self.at_head = order[heads]
         self.before = order[heads - 1]  # the sampled end of the run above; the first has none
-        # How far the suffixes at these samples agree, by comparing them step by step.
+        # How far the suffixes at these samples agree, eight bytes at a time, and not beyond an end.
+        least = np.minimum(left[self.at_head], left[self.before])
+        least[0] = 0
         agree = np.zeros(len(heads), np.int64)
-        going = np.arange(1, len(heads))
+        going = np.flatnonzero(least)
         while len(going):
             a, b = self.at_head[going] + agree[going], self.before[going] + agree[going]
-            same = text[np.minimum(a, self.n - 1)] == text[np.minimum(b, self.n - 1)]
-            going = going[same & (a < self.n) & (b < self.n)]
-            agree[going] += 1
-        self.agree = agree
+            other = words[a] ^ words[b]
+            same = np.bitwise_count((other - (other != 0)) & ~other).astype(np.int64) // 8
+            agree[going] += np.where(other == 0, 8, same)
+            going = going[(other == 0) & (agree[going] < least[going])]
+        self.agree = np.minimum(agree, least)
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For every position the longest match with its lexicographic neighbour above, and that neighbour."""
         order = np.argsort(self.at_head)
         at, agree, before = self.at_head[order], self.agree[order], self.before[order]
-        positions = np.arange(self.n)
         # The sample at or before a position: a match shortens by one for each byte that follows it.
-        of = np.searchsorted(at, positions, side="right") - 1
-        past = positions - at[of]
-        return np.maximum(agree[of] - past, 0), before[of] + past
+        sizes = np.diff(at, append=self.n)
+        past = np.arange(self.n) - np.repeat(at, sizes)
+        return np.maximum(np.repeat(agree, sizes) - past, 0), np.repeat(before, sizes) + past
+
 
+def repeated_windows(pieces: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the pieces start at an earlier place as well, one piece after another, and how many each piece has.
 
-def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece which of its windows start earlier as well, in an earlier piece or in itself."""
-    index = RunIndex(pieces)
+    places: where the pieces start. A window given twice with one place is no repeat of itself.
+    """
+    phrases: dict[bytes, int] = {}
+    of = np.array([phrases.setdefault(p, len(phrases)) for p in pieces], np.int64)
+    index = RunIndex(list(phrases))
     match, neighbour = index.matching_statistics()
-    own = np.arange(index.n)
-    head = np.where(match >= length, neighbour, own)
-    while True:  # to the head of each chain of neighbours, by doubling
-        further = head[head]
-        if np.array_equal(further, head):
-            break
-        head = further
-    first = np.full(index.n, index.n)
-    np.minimum.at(first, head, own)
-    marked = first[head] < own
-    return [marked[s : s + max(0, len(p) - length + 1)] for s, p in zip(index.starts.tolist(), pieces, strict=True)]
+    head = np.where(match >= length, neighbour, np.arange(index.n))
+    chained = np.flatnonzero(match >= length)
+    while len(chained):  # to the head of each chain of neighbours, by doubling
+        further = head[head[chained]]
+        moved = further != head[chained]
+        head[chained] = further
+        chained = chained[moved]
+    none = np.iinfo(np.int64).max
+    least = np.full(len(phrases), none)
+    np.minimum.at(least, of, places)
+    sizes = np.diff(index.starts, append=index.n) - 1
+    first = np.arange(index.n) - np.repeat(index.starts - least, sizes + 1)  # the first place of each position of the phrases
+    tail = np.flatnonzero(head != np.arange(index.n))
+    np.minimum.at(first, head[tail], first[tail])
+    first = first[head]
+    counts = np.maximum(sizes[of] - length + 1, 0)
+    before = np.cumsum(counts) - counts
+    inside = np.arange(int(counts.sum())) - np.repeat(before, counts)
+    return first[np.repeat(index.starts[of], counts) + inside] < np.repeat(places, counts) + inside, counts
+
+
+def _runs(flags: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rows (piece, first, last, flag) of the runs of windows with one flag within a piece."""
+    piece = np.repeat(np.arange(len(counts)), counts)
+    if not len(piece):
+        return np.zeros((0, 4), np.int64)
+    cuts = np.flatnonzero((flags[1:] != flags[:-1]) | (piece[1:] != piece[:-1])) + 1
+    a, b = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(flags)]]) - 1
+    base = (np.cumsum(counts) - counts)[piece[a]]
+    return np.column_stack([piece[a], a - base, b - base, flags[a]])
+
+
+class Marker:
+    """Marks the windows of pieces that come key by key, in order of their places within a key."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.key, self.size = None, 0
+        self.waiting: list[tuple] = []  # (key, document, low, data), not yet indexed
+        self.before: list[list[tuple]] = []  # parts of one key that are indexed, as far as they have a window of their own
+
+    def add(self, key, document, low: int, data: bytes):
+        """Takes a piece; gives (key, document, first, last, marked) of the windows that an index has been made for."""
+        out = ()
+        if self.size >= SHARD_BYTES:
+            if key != self.key:
+                out = self.finish()
+            elif self.waiting[0][0] == key:  # the key alone fills an index
+                out = self._part(keep=True)
+            else:
+                at = next(i for i, r in enumerate(self.waiting) if r[0] == key)
+                rest = self.waiting[at:]
+                self.waiting = self.waiting[:at]
+                out = self._part(keep=False)
+                self.waiting, self.size = rest, sum(len(r[3]) for r in rest)
+        elif key != self.key and self.before:
+            out = self.finish()
+        self.key = key
+        self.waiting.append((key, document, low, data))
+        self.size += len(data)
+        return out
+
+    def finish(self):
+        out = self._part(keep=False)
+        self.before = []
+        return out
+
+    def _part(self, keep: bool) -> list[tuple]:
+        rows, self.waiting, self.size = self.waiting, [], 0
+        if not rows:
+            return []
+        flags = None
+        for part in self.before or [[]]:
+            both = part + rows
+            number = {d: i for i, d in enumerate(sorted({r[1] for r in both}))}
+            places = np.array([(number[r[1]] << 32) + r[2] for r in both], np.int64)
+            found, counts = repeated_windows([r[3] for r in both], places, self.length)
+            found, counts = found[counts[: len(part)].sum() :], counts[len(part) :]
+            flags = found if flags is None else flags | found
+        out = [(*rows[i][:2], rows[i][2] + a, rows[i][2] + b, f) for i, a, b, f in _runs(flags, counts).tolist()]
+        if keep:
+            of = np.repeat(np.arange(len(rows)), counts)
+            new = [rows[i] for i in np.unique(of[~flags]).tolist()]
+            if self.before and sum(len(r[3]) for r in self.before[-1] + new) < SHARD_BYTES:
+                self.before[-1] += new
+            else:
+                self.before.append(new)
+        return out
+
+
+def _one_lot(lot: list[tuple], length: int) -> np.ndarray:
+    """Rows (hash, doc, of, low, high, marked) of the windows of some documents (doc, of, data): what an index of these marks, and the others."""
+    lot = sorted({(doc, of): data for doc, of, data in lot}.items())
+    found = [stretches(data, length) for _, data in lot]
+    which = np.repeat(np.arange(len(lot)), [len(f) for f in found])
+    rows = np.concatenate([np.zeros((0, 4), np.int64), *found])
+    order = np.argsort(rows[:, 0], kind="stable")
+    same = np.zeros(len(rows), bool)
+    equal = rows[order[1:], 0] == rows[order[:-1], 0]
+    same[order[1:][equal]] = same[order[:-1][equal]] = True
+    look = same | (rows[:, 3] == 1)
+    marker, judged = Marker(length), []
+    order = order[look[order]]
+    for (h, low, high, _), i in zip(rows[order].tolist(), which[order].tolist(), strict=True):
+        judged += marker.add(h, i, low, lot[i][1][low : high + length])
+    judged = np.array([*judged, *marker.finish()], np.int64).reshape(-1, 5)
+    names = np.array([d for d, _ in lot], np.int64).reshape(-1, 2)
+    rest = np.column_stack([rows[~look, 0], which[~look], rows[~look, 1:3], np.zeros(int((~look).sum()), np.int64)])
+    rows = np.concatenate([rest, judged])
+    return np.column_stack([rows[:, 0], names[rows[:, 1]], rows[:, 2:]])
 
 
-def _runs(flags: np.ndarray, base: int, length: int) -> list[tuple[int, int]]:
-    """The byte ranges that marked windows cover, a range for each run of windows."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return [(base + a, base + b - 1 + length) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+def _cut_up(docs: DataFrame, length: int) -> DataFrame:
+    """(hash, doc, of, low, high, marked) of the windows of docs (doc, of, text), lot by lot.
 
+    Marked rows have a hash that only spreads them.
+    """
 
-def _cut_up(docs: DataFrame, length: int) -> DataFrame:
-    """(hash, content, doc, of, span) of the stretches of docs (doc, of, text); span holds the first start, the last and the flag."""
+    def written(lot):
+        rows = _one_lot(lot, length)
+        marked = rows[:, 5] == 1
+        with np.errstate(over="ignore"):
+            rows[marked, 0] = ((rows[marked, 1] + rows[marked, 3]).astype(np.uint64) * _A).view(np.int64)
+        columns = [pa.array(rows[:, i]) for i in range(3)] + [pa.array(rows[:, i].astype(np.int32)) for i in (3, 4)] + [pa.array(marked)]
+        return pa.RecordBatch.from_arrays(columns, ["hash", "doc", "of", "low", "high", "marked"])
 
     def batches(parts):
+        lot, size = [], 0
         for batch in parts:
-            found = [_flagged_stretches(text.encode(), length) for text in column_texts(batch, "text")]
-            sizes = [len(f) for f in found]
-            rows = np.concatenate([np.zeros((0, 5), np.int64), *found])
-            doc, of = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for c in ("doc", "of"))
-            columns = [rows[:, 0], rows[:, 1], doc, of, rows[:, 2] << 32 | rows[:, 3] << 1 | rows[:, 4]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "content", "doc", "of", "span"])
+            for doc, of, text in zip(batch.column("doc").to_pylist(), batch.column("of").to_pylist(), batch.column("text"), strict=True):
+                data = text.as_py().encode()
+                if lot and size + len(data) > LOT_BYTES:
+                    yield written(lot)
+                    lot, size = [], 0
+                lot.append((doc, of, data))
+                size += len(data)
+        if lot:
+            yield written(lot)
+
+    return docs.select("doc", "of", "text").mapInArrow(batches, "hash long, doc long, of long, low int, high int, marked boolean")
+
+
+def _blocks(data: bytes, low: int, high: int, length: int):
+    """(key, first start, last start) of blocks of windows low to high, which share their least gram; see BLOCK."""
+    grams = gram_hashes(np.frombuffer(data, np.uint8, high + length - low, low))
+    least = grams[: length - GRAM + 1].min()
+    at = np.flatnonzero(grams == least)
+    starts = np.arange(high - low + 1)
+    holder = at[np.searchsorted(at, starts)]  # the first place of the gram in each window
+    block = (holder - starts) // BLOCK
+    cuts = np.flatnonzero((holder[1:] != holder[:-1]) | (block[1:] != block[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)], strict=True):
+        common = low + int(holder[a]) - BLOCK * int(block[a])
+        yield xxhash.xxh3_64_intdigest(data[common : common + length - BLOCK + 1], int(block[a])), low + a, low + b - 1
+
+
+def _pieces(docs: DataFrame, length: int) -> DataFrame:
+    """(key, doc, of, low, data) of the stretches in column rows of docs (doc, of, text, rows)."""
 
-    return docs.select("doc", "of", "text").mapInArrow(batches, "hash long, content long, doc long, of long, span long")
+    def batches(parts):
+        for batch in parts:
+            out = []
+            for doc, of, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "of", "text", "rows")), strict=True):
+                data = text.encode()
+                for r in own:
+                    if r["many"]:
+                        out += [(key - (1 << 63), doc, of, a, data[a : b + length]) for key, a, b in _blocks(data, r["low"], r["high"], length)]
+                    else:
+                        out.append((r["hash"], doc, of, r["low"], data[r["low"] : r["high"] + length]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc", "of", "low", "data"])
 
+    return docs.mapInArrow(batches, "key long, doc long, of long, low int, data binary")
 
-def _settle():
-    """Reads stretches in order of (hash, content, doc, of, span); writes those that need a mark or a closer look.
 
-    look false: equal to an earlier stretch, so all of it repeats. look true: the first of its
-    content, where the hash has several contents or the stretch is flagged, as it may repeat
-    within itself. The task holds one batch, and one row of the hash it is in.
-    """
+def _marks(pieces: DataFrame, length: int) -> DataFrame:
+    """(doc, of, low, high) of the windows that start earlier as well, from pieces in order of (key, doc, of, low)."""
+
+    def written(done):
+        out = [(*document, a, b) for _, document, a, b, marked in done if marked]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "of", "low", "high"])
 
     def batches(parts):
-        last, waiting = None, None  # the row before, and the first row of its hash while that has one content
+        marker = Marker(length)
         for batch in parts:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.int64)
-            if not len(rows):
-                continue
-            before = np.concatenate([rows[:1] if last is None else last[None], rows[:-1]])
-            new_hash = rows[:, 0] != before[:, 0]
-            new_content = new_hash | (rows[:, 1] != before[:, 1])
-            if last is None:
-                new_hash[0] = new_content[0] = True
-            same_row = ~new_content & (rows == before).all(axis=1)  # a repeated row is no copy of itself
-            group = np.cumsum(new_hash)
-            contents = np.bincount(group, weights=new_content, minlength=group[-1] + 1).astype(np.int64)
-            several = contents > 1
-            several[0] = contents[0] > 0  # the hash of the batch before has one content more
-            flagged = (rows[:, 4] & 1).astype(bool)
-            look = new_content & (several[group] | flagged)
-            again = ~new_content & ~same_row
-            out, flags = [rows[look | again]], [look[look | again]]
-            if waiting is not None and several[0]:
-                out.append(waiting[None])
-                flags.append(np.array([True]))
-            if group[-1] > 0 or several[0]:
-                waiting = None
-            if group[-1] > 0 and not several[group[-1]]:
-                at = np.flatnonzero(new_hash)[-1]
-                waiting = None if flagged[at] else rows[at]
-            last = rows[-1]
-            yield written(np.concatenate(out), np.concatenate(flags))
-
-    def written(rows, look):
-        low, high = rows[:, 4] >> 32, (rows[:, 4] & 0xFFFFFFFF) >> 1
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 0], rows[:, 2], rows[:, 3], low, high, look)], ["hash", "doc", "of", "low", "high", "look"])
-
-    return batches
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "of", "low", "data")), strict=True)
+            yield written([x for key, doc, of, low, data in rows for x in marker.add(key, (doc, of), low, data)])
+        yield written(marker.finish())
+
+    ordered = pieces.repartition("key").sortWithinPartitions("key", "doc", "of", "low")
+    return ordered.mapInArrow(batches, "doc long, of long, low int, high int")
 
 
 def _merged(ranges) -> list[tuple[int, int]]:
@@ -224,46 +381,6 @@ def _merged(ranges) -> list[tuple[int, int]]:
     return out
 
 
-def _look_closer(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(doc, of, low, high) byte ranges that repeat, from the stretches to look at."""
-    hot = rows.groupBy("hash").count().where(F.col("count") > HOT).select("hash", F.lit(True).alias("hot"))
-    listed = rows.join(hot, "hash", "left").groupBy("doc", "of").agg(F.collect_list(F.struct("hash", "low", "high", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("rows"))
-
-    def batches(parts):
-        for batch in parts:
-            out = []
-            for doc, of, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "of", "text", "rows")), strict=True):
-                data = text.encode()
-                for r in own:
-                    if r["hot"]:
-                        out += [(r["hash"], True, doc, of, a, xxhash.xxh3_128_digest(data[a : a + length])) for a in range(r["low"], r["high"] + 1)]
-                    else:
-                        out.append((r["hash"], False, doc, of, r["low"], data[r["low"] : r["high"] + length]))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hash", "single", "doc", "of", "low", "data"])
-
-    joined = docs.join(listed, ["doc", "of"]).select("doc", "of", "text", "rows")
-    found = checkpointed(joined.mapInArrow(batches, "hash long, single boolean, doc long, of long, low long, data binary"))
-
-    windows, place = found.where("single"), F.struct("doc", "of", "low")
-    firsts = windows.groupBy("data").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("data", "first")
-    firsts = checkpointed(firsts)  # read back, it is shuffled for the join, which Spark can then split at a window that is very common
-    later = windows.join(firsts, "data").where(place != F.col("first")).select("doc", "of", "low", (F.col("low") + length).alias("high"))
-
-    pieces = found.where("not single").select("hash", "doc", "of", "low", "data")
-    shards = max(1, -(-(pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // SHARD_BYTES))
-
-    def marks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc", "of", "low"]).sort_values(["doc", "of", "low"], kind="stable")
-        flags = repeated_windows(pdf["data"].tolist(), length)
-        out = [(doc, of, a, b) for doc, of, low, f in zip(pdf["doc"], pdf["of"], pdf["low"], flags, strict=True) for a, b in _runs(f, int(low), length)]
-        return pd.DataFrame(out, columns=["doc", "of", "low", "high"])
-
-    closer = pieces.withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards))).groupBy("shard").applyInPandas(marks, "doc long, of long, low long, high long")
-    return closer.unionByName(later)
-
-
 def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, text, ranges) of each row of docs; ranges: byte ranges that cover what also starts earlier, or null.
 
@@ -273,11 +390,13 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = source.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("of"))
-    ordered = _cut_up(named, length).repartition("hash").sortWithinPartitions("hash", "content", "doc", "of", "span")
-    settled = checkpointed(ordered.mapInArrow(_settle(), "hash long, doc long, of long, low long, high long, look boolean"))
-    closer = _look_closer(settled.where("look"), named.select("doc", "of", "text"), length)
-    whole = settled.where("not look").select("doc", "of", "low", (F.col("high") + length).alias("high"))
-    ranges = whole.unionByName(closer).groupBy("doc", "of").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    counted = _cut_up(named, length).withColumn("n", F.count("*").over(Window.partitionBy("hash")))
+    found = checkpointed(counted.where("marked or n > 1").select("hash", "doc", "of", "low", "high", "marked", (F.col("n") > MANY).alias("many")))
+    shared = found.where("not marked").groupBy("doc", "of").agg(F.collect_list(F.struct("hash", "low", "high", "many")).alias("rows"))
+    # The texts are dealt out by document once: this join and the last one have the same exchange, which Spark reuses.
+    pieces = _pieces(named.join(shared, ["doc", "of"]).select("doc_id", "doc", "of", "text", "rows"), length)
+    marks = found.where("marked").select("doc", "of", "low", "high").unionByName(_marks(pieces, length))
+    ranges = marks.groupBy("doc", "of").agg(F.collect_list(F.struct("low", (F.col("high") + length).alias("high"))).alias("ranges"))
     return named.join(ranges, ["doc", "of"], "left").select("doc_id", "text", "ranges")
 
 
