@@ -6,9 +6,12 @@ grouped sum, which Spark combines before its shuffle, so a hot source costs no m
 and the same sums over fewer keys are the sketches of a language and of everything. A small
 (language, source) group has its sketch merged with its language's, and a small language with all.
 
-A document is compared with its group's fence: the upper quartile plus `SPREAD` times the
-distance between the quartiles. Distributions of good text have quartiles that are close or equal;
-the least widths below keep the fence off the ordinary variation of good documents then.
+A document is compared with its group's fences: the upper decile plus `SPREAD` times its distance
+from the median, and for letters per word the lower decile likewise. Where most documents of a
+group have the same value, as with repeated lines, that distance is zero; a single symbol or line
+then is the least that can be told apart, and what it makes up of the group's median document, a
+quantile of the same sketches, is the distance; or two buckets' width at the median, if that is more.
+So every fence comes from the group's own documents.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, column_texts
+from .common import checkpointed, column_texts, unused
 
 WINDOW = 8
 #: Groups below so many documents borrow the sketch of the next level.
@@ -27,8 +30,14 @@ LEAST_GROUP = 100
 SPREAD = 3
 #: Groups whose fences are sent to all tasks at most, some hundred bytes each; more are joined by a shuffle.
 MOST_BROADCAST = 20_000
-#: The measures and the least width of the fence above (and for letters per word below) the quartile.
-WIDTHS = {"word_len": 500, "symbols": 1500, "dup_lines": 5000, "repeats": 2500}
+#: The measures: what is counted, in proportion to what, the scale, and the scale times what one event adds (a repeated window covers all its words).
+MEASURES = {
+    "word_len": ("word_chars", "n_words", 100, 100),
+    "symbols": ("n_symbols", "n_words", 10_000, 10_000),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 10_000),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 10_000 * WINDOW),
+}
+SIZES = ("n_words", "n_lines")
 _KEPT_BITS = 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,8 +109,7 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def _measures(prefix: str) -> dict[str, Column]:
-    per = lambda top, below, scale: F.expr(f"({scale} * `{prefix}{top}`) div greatest(`{prefix}{below}`, 1)")
-    return {"word_len": per("word_chars", "n_words", 100), "symbols": per("n_symbols", "n_words", 10_000), "dup_lines": per("n_dup_lines", "n_lines", 10_000), "repeats": per("n_repeat_words", "n_words", 10_000)}
+    return {m: F.expr(f"({scale} * `{prefix}{top}`) div greatest(`{prefix}{below}`, 1)") for m, (top, below, scale, _) in MEASURES.items()}
 
 
 def bucket(value: Column) -> Column:
@@ -111,26 +119,38 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(docs: DataFrame, lang: str, source: str, prefix: str = "") -> DataFrame:
-    """(lang, source, measure, bucket, n): the sketch of each group and measure."""
-    pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, WIDTHS)), F.array(*_measures(prefix).values()))).alias("measure", "value")
+    """(lang, source, measure, bucket, n): the sketch of each group and measure, and of the documents' sizes."""
+    values = _measures(prefix) | {c: F.col(prefix + c) for c in SIZES}
+    pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))).alias("measure", "value")
     rows = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), pairs)
     return rows.groupBy("lang", "source", "measure", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _fence(measure: str) -> Column:
+    """struct(low, high) from column q, a map of measures and sizes to their quantiles."""
+    _, below, _, event = MEASURES[measure]
+    q = F.col("q")[measure]
+    least = F.expr(f"greatest({event} div greatest(q['{below}'].mid, 1L), q['{measure}'].mid div 16)")
+    high = q["top"] + SPREAD * F.greatest(q["top"] - q["mid"], least)
+    low = q["bottom"] - SPREAD * F.greatest(q["mid"] - q["bottom"], least) if measure == "word_len" else F.lit(0).cast("long")
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
 def fences(found: DataFrame) -> DataFrame:
-    """(lang, source, fence) of each group, from sketches(); fence maps a measure to struct(low, high)."""
+    """(lang, source, fence) of each group, from sketches(); fence maps a measure to struct(low, high).
+
+    Null languages and sources are groups of their own. No sketch gives no fence.
+    """
     level = F.explode(F.array(*map(F.lit, (2, 1, 0)))).alias("level")
     found = checkpointed(found)  # it is read for each level
     merged = found.select("*", level).select("level", F.expr("if(level > 0, lang, null)").alias("lang"), F.expr("if(level > 1, source, null)").alias("source"), "measure", "bucket", "n")
     merged = merged.groupBy("level", "lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
     listed = merged.groupBy("level", "lang", "source", "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("sketch"), F.sum("n").alias("size"))
-    # The bucket in which the running count first reaches a quarter and three quarters of all.
-    walk = "aggregate(sketch, struct(0L as n, -1L as q), (s, b) -> struct(s.n + b.n as n, if(s.q < 0 and 4 * (s.n + b.n) >= {} * size, b.bucket, s.q) as q)).q"
-    quartiles = listed.select("level", "lang", "source", "measure", "size", F.expr(walk.format(1)).alias("q1"), F.expr(walk.format(3)).alias("q3"))
-    width = F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.create_map(*(F.lit(x) for pair in WIDTHS.items() for x in pair))[F.col("measure")])
-    low = F.when(F.col("measure") == "word_len", F.col("q1") - width).otherwise(F.lit(0).cast("long"))
-    fence = F.struct(low.alias("low"), (F.col("q3") + width).alias("high"))
-    whole = quartiles.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("measure", fence))).alias("fence"))
+    # The bucket in which the running count first reaches so many tenths of all.
+    walk = "aggregate(sketch, struct(0L as n, -1L as q), (s, b) -> struct(s.n + b.n as n, if(s.q < 0 and 10 * (s.n + b.n) >= {} * size, b.bucket, s.q) as q)).q"
+    quantiles = F.struct(*(F.expr(walk.format(tenths)).alias(name) for name, tenths in (("bottom", 1), ("mid", 5), ("top", 9))))
+    whole = listed.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("measure", quantiles))).alias("q"))
+    whole = whole.select("level", "lang", "source", "size", F.create_map(*(x for m in MEASURES for x in (F.lit(m), _fence(m)))).alias("fence"))
     own = whole.where("level = 2").drop("level").toDF("lang", "source", "size", "own")
     by_lang = whole.where("level = 1").drop("level", "source").toDF("of_lang", "lang_size", "by_lang")
     of_all = whole.where("level = 0").select(F.col("fence").alias("of_all"))
@@ -144,20 +164,26 @@ def with_verdicts(docs: DataFrame, limits: DataFrame, lang: str = "lang", source
 
     kept is false if base_failed, or if a measure lies outside its group's fence. Null languages
     and sources are groups of their own. Documents without a word fail; repeated rows count each.
+    An empty table stays empty.
     """
-    limits = checkpointed(limits.toDF("__of_lang", "__of_source", "__fence"))
+    of_lang, of_source, fence = (unused(docs, c) for c in ("__of_lang", "__of_source", "__fence"))
+    limits = checkpointed(limits.toDF(of_lang, of_source, fence))
     if limits.count() <= MOST_BROADCAST:
         limits = F.broadcast(limits)
     inside = F.lit(True)
     for name, value in _measures(prefix).items():
-        inside &= value.between(F.col("__fence")[name]["low"], F.col("__fence")[name]["high"])
-    joined = docs.join(limits, F.col(lang).eqNullSafe(F.col("__of_lang")) & F.col(source).eqNullSafe(F.col("__of_source")), "left")
+        inside &= value.between(F.col(fence)[name]["low"], F.col(fence)[name]["high"])
+    joined = docs.join(limits, F.col(lang).eqNullSafe(F.col(of_lang)) & F.col(source).eqNullSafe(F.col(of_source)), "left")
     failed = base_failed(prefix)
-    return joined.select(*(docs[c] for c in docs.columns), failed.alias(prefix + "base_failed"), (~failed & inside).alias(prefix + "kept"))
+    return joined.select(*docs.columns, failed.alias(prefix + "base_failed"), (~failed & inside).alias(prefix + "kept"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(doc_id, lang, source, the counts, base_failed, kept) of each row of docs; null texts have no words."""
+    """(doc_id, lang, source, the counts, base_failed, kept) of each row of docs.
+
+    Null and empty texts have no words and fail. Null ids are carried; null languages and sources
+    are groups of their own; repeated rows are judged each. An empty table gives an empty one.
+    """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     counted = checkpointed(with_counts(narrow).drop("text"))
     return with_verdicts(counted, fences(sketches(counted, "lang", "source")))
@@ -171,6 +197,6 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     narrow = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     limits = fences(sketches(with_counts(narrow), "lang", "source"))
     mark = "__"
-    while any(c.startswith(mark) for c in docs.columns):
+    while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
     return with_verdicts(with_counts(docs, text, mark), limits, lang, source, mark).where(F.col(mark + "kept")).select(*docs.columns)
