@@ -71,6 +71,11 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_ex
 _BLANK = r"[\x20\x09-\x0D]"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The references that the given pages hold; some have lost their semicolon.
+_DECODE = "{}"
+for _name, _char in (("quot", "chr(34)"), ("lt", "'<'"), ("gt", "'>'"), ("copy", "'©'"), ("middot", "'·'"), ("amp", "'&'")):
+    _DECODE = f"regexp_replace({_DECODE}, '&{_name};?', {_char}, 'g')"
+
 ORACLES = {
     "op6_line_dedup": rf"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -105,20 +110,30 @@ lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS n_distinct FROM
 counts AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '{_BLANK}+', '', 'g')) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_lines, coalesce(l.n - n_distinct, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
-measures AS (SELECT doc_id, lang, source, unnest(['word_len', 'symbols', 'dup_lines', 'repeats']) AS measure, unnest([{", ".join(f"{k} * {a} // greatest({b}, 1)" for k, a, b in ((100, "word_chars", "n_words"), (10000, "n_symbols", "n_words"), (10000, "n_dup_lines", "n_lines"), (10000, "n_repeat_words", "n_words")))}]) AS value FROM counts),
+measures AS (SELECT doc_id, lang, source, unnest([{", ".join(f"'{m}'" for m in (*quality.MEASURES, *quality.SIZES))}]) AS measure,
+  unnest([{", ".join(f"{scale} * {a} // greatest({b}, 1)" for a, b, scale, _ in quality.MEASURES.values())}, {", ".join(quality.SIZES)}]) AS value FROM counts),
 levels AS (SELECT level, CASE WHEN level > 0 THEN lang END AS lang, CASE WHEN level > 1 THEN source END AS source, measure,
   value >> greatest(length(bin(value)) - 6, 0) << greatest(length(bin(value)) - 6, 0) AS bucket FROM measures, (VALUES (0), (1), (2)) AS x(level)),
 sketches AS (SELECT level, lang, source, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),
 running AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS size FROM sketches),
-quartiles AS (SELECT level, lang, source, measure, size, min(bucket) FILTER (WHERE 4 * upto >= size) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * size) AS q3 FROM running GROUP BY ALL),
-fences AS (SELECT level, lang, source, measure, size, CASE WHEN measure = 'word_len' THEN q1 - width ELSE 0 END AS low, q3 + width AS high
-  FROM (SELECT *, greatest({quality.SPREAD} * (q3 - q1), CASE measure {" ".join(f"WHEN '{m}' THEN {w}" for m, w in quality.WIDTHS.items())} END) AS width FROM quartiles)),
+quantiles AS (SELECT level, lang, source, measure, size, {", ".join(f"min(bucket) FILTER (WHERE 10 * upto >= {n} * size) AS {q}" for q, n in (("bottom", 1), ("mid", 5), ("top", 9)))} FROM running GROUP BY ALL),
+events AS (SELECT q.*, greatest(CASE q.measure {" ".join(f"WHEN '{m}' THEN {event}" for m, (_, _, _, event) in quality.MEASURES.items())} END // greatest(s.mid, 1), q.mid // 16) AS least
+  FROM quantiles q JOIN quantiles s ON s.level = q.level AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source
+  AND s.measure = CASE q.measure {" ".join(f"WHEN '{m}' THEN '{below}'" for m, (_, below, _, _) in quality.MEASURES.items())} END),
+fences AS (SELECT level, lang, source, measure, size, CASE WHEN measure = 'word_len' THEN bottom - {quality.SPREAD} * greatest(mid - bottom, least) ELSE 0 END AS low,
+  top + {quality.SPREAD} * greatest(top - mid, least) AS high FROM events),
 chosen AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.size >= {quality.LEAST_GROUP} THEN o.low WHEN l.size >= {quality.LEAST_GROUP} THEN l.low ELSE a.low END AS low,
   CASE WHEN o.size >= {quality.LEAST_GROUP} THEN o.high WHEN l.size >= {quality.LEAST_GROUP} THEN l.high ELSE a.high END AS high
   FROM fences o JOIN fences l ON o.level = 2 AND l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN fences a ON a.level = 0 AND a.measure = o.measure),
 inside AS (SELECT doc_id, bool_and(value BETWEEN low AND high) AS fits FROM measures m JOIN chosen c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source AND m.measure = c.measure GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND fits AS kept FROM counts JOIN inside USING (doc_id)""",
+    # The given pages are of one template: the article is named, and its blocks are h1 and p.
+    "op4_extract": rf"""
+WITH parts AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(h1|p)>') AS blocks FROM pages),
+plain AS (SELECT page_id, url, list_transform(blocks, lambda b: {_DECODE.format("regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')")}) AS blocks FROM parts),
+lines AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> '') AS blocks FROM plain)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM lines""",
     # CRC-32 of the text's bytes, with its table made from the polynomial.
     "op10_shards": f"""
 WITH poly AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) AS r(b)),
