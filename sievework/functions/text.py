@@ -13,9 +13,14 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def case_folded(text: Column) -> Column:
+    """Lower case, with sharp s as ss and final sigma as sigma."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def fold(text: Column) -> Column:
-    """White space collapsed and letters case-folded: lower case, with sharp s as ss and final sigma as sigma."""
-    return F.replace(F.replace(F.lower(collapse(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """White space collapsed and letters case-folded."""
+    return case_folded(collapse(text))
 
 
 def slugify(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql.types import StringType
 # Media types by the ending of a path.
 BY_ENDING = {".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".html": "text/html", ".htm": "text/html", "/": "text/html"}
 UNKNOWN_TYPES = ("", "application/octet-stream")
+# Hosts whose pages another parser family reads; all others are typo3.
+LEGACY_HOSTS = ("www.bwl.wi.tum.de",)
+SQUARESPACE_HOSTS = ("www.tumcso.com",)
 
 
 def path_of(url: Column) -> Column:
@@ -46,7 +50,7 @@ def storage_key(digest: Column) -> Column:
     return F.concat(F.lit("sha256/"), F.substring(digest, 1, 2), F.lit("/"), F.substring(digest, 3, 2), F.lit("/"), digest, F.lit(".pdf"))
 
 
-def parser_family(url: Column, legacy: tuple[str, ...] = (), squarespace: tuple[str, ...] = ()) -> Column:
+def parser_family(url: Column, legacy: Sequence[str] = LEGACY_HOSTS, squarespace: Sequence[str] = SQUARESPACE_HOSTS) -> Column:
     host = host_of(url)
     return F.when(host.isin(*legacy), "legacy_html").when(host.isin(*squarespace), "squarespace").otherwise("typo3")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import freshness
+from ..sources.storage import checkpointed
 
 PAGE_SIZES = (1, 100)
 
@@ -41,6 +42,20 @@ def filter_selected(df: DataFrame, column: str, selected: DataFrame) -> DataFram
     return df.join(selected.toDF(column), column, "left_semi")
 
 
+def unknown_names(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct names of the first that the second lacks; both have one column."""
+    return asked.subtract(known.toDF(*asked.columns))
+
+
+def select_named(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """Rows whose column is one of the names; a name that no row has is an error."""
+    asked = df.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
+    unknown = sorted(r[0] for r in unknown_names(asked, df.select(F.col(column).cast("string"))).collect())  # of the few names given
+    if unknown:
+        raise ValueError(f"unknown {column}: {', '.join(unknown)}")
+    return filter_selected(df, column, asked)
+
+
 def filter_topics(df: DataFrame, topics: Sequence[str]) -> DataFrame:
     return df.where(F.arrays_overlap("topics", F.array(*map(F.lit, topics)))) if topics else df
 
@@ -65,6 +80,11 @@ def page(df: DataFrame, sort: str, number: int = 1, size: int = 20) -> DataFrame
     return sorted_by(df, sort).offset((number - 1) * size).limit(size)
 
 
+def page_or_last(df: DataFrame, sort: str, number: int = 1, size: int = 20) -> DataFrame:
+    """page(), or the last page where the asked one lies beyond it."""
+    return page(df, sort, clamped_page(number, df.count(), size), size)
+
+
 def clamped_page(number: int, total: int, size: int) -> int:
     """A page beyond the last one is the last one; there is always a first."""
     return max(1, min(number, -(-total // size)))
@@ -95,11 +115,27 @@ def lookup(df: DataFrame, slug: str) -> DataFrame:
     return df.where(F.col("slug") == slug)
 
 
+def numbered(df: DataFrame, prefix: str, order: Sequence[str], name: str = "number") -> DataFrame:
+    """df with each row's number, from 1, among those of its prefix in the given order, which must be total.
+
+    Rows are range-partitioned by prefix and order, so that a prefix with most of the rows spreads over many
+    partitions; a row's number is its place in its partition after the prefix's rows in the partitions before.
+    """
+    placed = checkpointed(df.repartitionByRange(prefix, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(prefix).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each prefix and partition
+    sizes = placed.groupBy(prefix, "__part").agg(F.count("*").alias("__n"))
+    starts = sizes.select(F.col(prefix).alias("__prefix"), F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(prefix, "__part").orderBy(*order))
+    local = placed.withColumn(name, within)
+    known = local.join(starts, F.col(prefix).eqNullSafe(F.col("__prefix")) & (F.col("__part") == F.col("__of")))
+    return known.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__prefix", "__of", "__before")
+
+
 def reference_codes(df: DataFrame, prefix: str, order: Sequence[str], existing: DataFrame | None = None) -> DataFrame:
     """df with a `number` in its prefix's series: after the largest existing code whose tail is digits, in the given order."""
-    nth = F.row_number().over(Window.partitionBy(prefix).orderBy(*order))
+    found = numbered(df, prefix, order)
     if existing is None:
-        return df.withColumn("number", nth)
+        return found
     tail = F.regexp_extract("reference_code", r"-([0-9]+)$", 1)
     most = existing.where(tail != "").groupBy(F.regexp_extract("reference_code", r"^(.*)-[0-9]+$", 1).alias(prefix)).agg(F.max(tail.cast("int")).alias("__most"))
-    return df.withColumn("number", nth).join(most, prefix, "left").withColumn("number", F.col("number") + F.coalesce("__most", F.lit(0))).drop("__most")
+    return found.join(most, prefix, "left").withColumn("number", F.col("number") + F.coalesce("__most", F.lit(0))).drop("__most")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, normal_title, stable_key
+from ..functions.text import case_folded, contains_any, normal_title, stable_key
 from ..functions.urls import media_type, resolve
 from ..sources.storage import checkpointed
 from .classify import DETAIL_MARKERS, classification, is_noise_title
@@ -151,6 +151,12 @@ def block_text(blocks: DataFrame, texts: DataFrame, separator: str = " ") -> Dat
     return inside.groupBy("page_id", "start").agg(F.array_join(pieces, separator).alias("text"))
 
 
+def with_text(blocks: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """blocks with their text as a column, empty for those without any."""
+    said = block_text(blocks, texts).withColumnRenamed("text", name)
+    return blocks.join(said, ["page_id", "start"], "left").withColumn(name, F.coalesce(name, F.lit("")))
+
+
 def page_text(texts: DataFrame) -> DataFrame:
     """(page_id, text): a page's pieces, a line each."""
     pieces = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
@@ -158,9 +164,8 @@ def page_text(texts: DataFrame) -> DataFrame:
 
 
 def previous_heading(blocks: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """blocks with `heading`: the text of the nearest h1 to h4 that starts before the block, or null."""
-    said = nodes.where(F.col("tag").isin(*HEADINGS))
-    said = said.join(block_text(said, texts), ["page_id", "start"]).select("page_id", "start", F.col("text").alias("heading"))
+    """blocks with `heading`: the text of the nearest h1 to h4 that starts before the block, empty if it has none; null without one."""
+    said = with_text(nodes.where(F.col("tag").isin(*HEADINGS)), texts, "heading").select("page_id", "start", "heading")
     marks = said.withColumn("block", F.lit(False)).unionByName(blocks.select("page_id", "start", F.lit(None).cast("string").alias("heading"), F.lit(True).alias("block")))
     before = Window.partitionBy("page_id").orderBy("start", "block").rowsBetween(Window.unboundedPreceding, -1)
     known = marks.withColumn("heading", F.last("heading", ignorenulls=True).over(before)).where("block").select("page_id", "start", "heading")
@@ -184,42 +189,72 @@ def anchors(nodes: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFrame:
     return named.select("page_id", "start", "href", resolve("__base", "href").alias("url"), F.coalesce("label", F.lit("")).alias("label"))
 
 
-def discover(pages: DataFrame, rule: dict, slug: str = "slug") -> DataFrame:
-    """Candidates of pages (page_id, url, slug, html) under one rule; rules of several sources run as a union.
+def rank_blocks(nodes: DataFrame, of_page: DataFrame, selectors: Sequence[str], wanted: str) -> DataFrame:
+    """Nodes (page_id, start, end, rank) that a selector matches which their page asks for.
+
+    of_page holds page_id and the array column `wanted`; rank is the least index of such a selector in it. selectors: all that are asked for.
+    """
+    found = None
+    for selector in selectors:
+        part = select(nodes, selector).select("page_id", "start", "end", F.lit(selector).alias("__selector"))
+        found = part if found is None else found.unionByName(part)
+    ranked = found.join(of_page.select("page_id", wanted), "page_id").withColumn("rank", F.array_position(wanted, F.col("__selector")) - 1)
+    return ranked.where("rank >= 0").groupBy("page_id", "start").agg(F.first("end").alias("end"), F.min("rank").alias("rank"))
+
+
+_RULE = ("candidate_selectors", "active_markers", "archive_markers", "excluded_markers", "excluded_titles", "opportunity_type", "source_implies_active_type", "classify_link_targets", "title_selector", "offer_link_selector")
+
 
-    rule: candidate_selectors, active_markers, archive_markers, excluded_markers, excluded_titles,
-    opportunity_type, source_implies_active_type, classify_link_targets.
+def discover(pages: DataFrame, rules: DataFrame, slug: str = "slug") -> DataFrame:
+    """Candidates of pages (page_id, url, slug, html) by the rule of each page's source; rules: as build_rules() makes them, one for each slug.
+
+    The heading of a block is the first node of its title selector, or its first h1 to h5; with a title selector the
+    markers are looked for in the whole block instead of the title. The offer's link is the first node of its link
+    selector, or the first link with an active marker, or any if the source implies them. Pages without a rule have no candidate.
     """
-    array = lambda k: F.array(*map(F.lit, rule[k])).cast("array<string>")
-    implied, kind = F.lit(rule["source_implies_active_type"]), F.lit(rule["opportunity_type"])
-    items = checkpointed(explode_nodes(pages, DROP_FOR_DISCOVERY))  # many joins read it
+    asked = rules.select(F.col(slug).alias("__slug"), *_RULE)
+    # The distinct selectors of the rule table, a few for each source.
+    known = asked.select(F.explode(F.concat("candidate_selectors", F.array_compact(F.array("title_selector", "offer_link_selector")))).alias("s")).distinct()
+    selectors = sorted(r["s"] for r in known.collect())
+    ruled = pages.select("page_id", "url", F.col(slug).alias("slug"), "html").join(asked, F.col("slug") == F.col("__slug")).drop("__slug")
+    of_page = ruled.select("page_id", "url", "slug", *_RULE, F.array_compact(F.array("title_selector")).alias("__title"), F.array_compact(F.array("offer_link_selector")).alias("__link"))
+    items = checkpointed(explode_nodes(ruled, DROP_FOR_DISCOVERY))  # many joins read it
     nodes, texts = nodes_of(items), texts_of(items)
-    blocks = select_blocks(nodes, rule["candidate_selectors"])
-    blocks = blocks.join(block_text(blocks, texts), ["page_id", "start"])
-    blocks = previous_heading(blocks.select("page_id", "start", "end", "rank", "text"), nodes, texts)
-    links = anchors(nodes, texts, pages)
-    inside = blocks.select("page_id", "start", "end").join(links.withColumnRenamed("start", "__at"), "page_id").where((F.col("__at") > F.col("start")) & (F.col("__at") < F.col("end")))
-    marked = implied | contains_any(F.lower(F.concat_ws(" ", "label", "href")), array("active_markers"))
-    detail = contains_any(F.lower("url"), DETAIL_MARKERS)
+    blocks = rank_blocks(nodes, of_page, selectors, "candidate_selectors")
+    blocks = previous_heading(with_text(blocks, texts, "text"), nodes, texts).join(of_page, "page_id")
+    has_title, has_link = F.col("title_selector").isNotNull(), F.col("offer_link_selector").isNotNull()
+
+    links = anchors(nodes, texts, ruled)
+    chosen = rank_blocks(nodes, of_page, selectors, "__link").join(nodes.select("page_id", "start", F.col("attrs")["href"].alias("href")), ["page_id", "start"])
+    chosen = with_text(chosen.select("page_id", "start", "end", "href"), texts, "label").join(of_page.select("page_id", F.col("url").alias("__base")), "page_id")
+    chosen = chosen.select("page_id", "start", F.lit(None).cast("string").alias("href"), F.coalesce(resolve("__base", "href"), "__base").alias("url"), "label", F.lit(True).alias("chosen"))
+    inside = links.withColumn("chosen", F.lit(False)).unionByName(chosen).withColumnRenamed("start", "__at").withColumnRenamed("url", "__url")
+    inside = blocks.select("page_id", "start", "end", "active_markers", "source_implies_active_type", has_link.alias("__has_link")).join(inside, "page_id").where((F.col("__at") > F.col("start")) & (F.col("__at") < F.col("end")))
+    marked = F.when(F.col("__has_link"), F.col("chosen")).otherwise(~F.col("chosen") & (F.col("source_implies_active_type") | contains_any(case_folded(F.concat_ws(" ", "label", "href")), F.col("active_markers"))))
+    detail = ~F.col("chosen") & contains_any(case_folded(F.col("__url")), DETAIL_MARKERS)
     of_block = inside.groupBy("page_id", "start").agg(
-        F.min_by(F.when(marked, F.struct("url", "label")), F.when(marked, F.col("__at"))).alias("offer"),
-        F.min_by(F.when(detail, F.col("url")), F.when(detail, F.col("__at"))).alias("detail"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", "href"))), lambda x: x["href"]), " ").alias("targets"),
+        F.min_by(F.when(marked, F.struct(F.col("__url").alias("url"), "label")), F.when(marked, F.col("__at"))).alias("offer"),
+        F.min_by(F.when(detail, F.col("__url")), F.when(detail, F.col("__at"))).alias("detail"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("chosen"), F.struct("__at", "href")))), lambda x: x["href"]), " ").alias("targets"),
     )
     blocks = blocks.join(of_block, ["page_id", "start"], "left")
-    said = nodes.where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5"))
-    said = said.join(block_text(said, texts).withColumnRenamed("text", "said"), ["page_id", "start"])
-    blocks = first_inside(blocks, said, F.lit(True), "said", "own_heading")
-    text = F.concat_ws(" ", "text", "targets") if rule["classify_link_targets"] else F.col("text")
-    in_archive = contains_any(F.lower("heading"), array("archive_markers"))
-    accepted = classification(text, in_archive, array("active_markers"), array("archive_markers"), array("excluded_markers"), implied, kind)["accepted"]
+
+    titled = with_text(rank_blocks(nodes, of_page, selectors, "__title"), texts, "said").select("page_id", "start", "said", F.lit(True).alias("chosen"))
+    said = with_text(nodes.where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5")), texts, "said").select("page_id", "start", "said", F.lit(False).alias("chosen"))
+    headings = said.unionByName(titled).withColumnRenamed("start", "__at")
+    first = blocks.select("page_id", "start", "end", has_title.alias("__has_title")).join(headings, "page_id").where((F.col("__at") > F.col("start")) & (F.col("__at") < F.col("end")) & (F.col("chosen") == F.col("__has_title")))
+    blocks = blocks.join(first.groupBy("page_id", "start").agg(F.min_by("said", "__at").alias("own_heading")), ["page_id", "start"], "left")
+
+    whole = F.when(F.col("classify_link_targets"), F.concat_ws(" ", "text", F.coalesce("targets", F.lit("")))).otherwise(F.col("text"))
+    in_archive = contains_any(case_folded(F.col("heading")), F.col("archive_markers"))
+    accepted = classification(whole, in_archive, F.col("active_markers"), F.col("archive_markers"), F.col("excluded_markers"), F.col("source_implies_active_type"), F.col("opportunity_type"))["accepted"]
     title = F.coalesce("own_heading", "offer.label")
-    noise = is_noise_title(title, array("excluded_titles"), normal_title(title), array("active_markers"), implied)
+    marker_text = F.when(has_title, case_folded(whole)).otherwise(normal_title(title))
+    noise = is_noise_title(title, F.col("excluded_titles"), marker_text, F.col("active_markers"), F.col("source_implies_active_type"))
     blocks = blocks.where(accepted & title.isNotNull() & ~noise)
-    url = F.coalesce("offer.url", "detail")
-    found = blocks.join(pages.select("page_id", F.col("url").alias("page_url"), F.col(slug).alias("slug")), "page_id")
+    target = F.coalesce("offer.url", "detail")
     ordinal = F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "start"))
-    found = found.select("page_id", "slug", ordinal.alias("ordinal"), title.alias("title"), F.coalesce(url, "page_url").alias("source_url"), url.alias("application_url"), F.col("text").alias("source_text"))
+    found = blocks.select("page_id", "slug", ordinal.alias("ordinal"), title.alias("title"), F.coalesce(target, "url").alias("source_url"), target.alias("application_url"), F.col("text").alias("source_text"))
     return dedup_titles(found).withColumn("stable_source_key", stable_key(F.col("slug"), F.col("source_url"), F.col("title")))
 
 

@@ -15,18 +15,21 @@ FREQUENCIES = ("immediate", "daily", "weekly")
 EXTRACTED = "is_project_study boolean, title string, summary string, topics array<string>, team_size_min int, team_size_max int, application_url string, application_email string, confidence map<string, struct<value: double, evidence: string>>"
 
 
-def inventory_report(df: DataFrame, slug: str, url: str, department: str, required: Sequence[str]) -> DataFrame:
-    """One row of what an inventory must satisfy."""
+def inventory_report(df: DataFrame, slug: str, url: str, department: str, required: Sequence[str], departments: Sequence[str] | None = None) -> DataFrame:
+    """One row of what an inventory must satisfy; departments_ok tells whether its departments are exactly the given ones."""
     extra, lacking = set(df.columns) - set(required), set(required) - set(df.columns)
+    found = F.collect_set(department)  # an inventory has few
+    wanted = F.array(*map(F.lit, departments or ())).cast("array<string>")
+    same = F.lit(True) if departments is None else (F.size(F.array_except(found, wanted)) == 0) & (F.size(F.array_except(wanted, found)) == 0)
     return df.agg(
         F.count("*").alias("n_rows"), F.count_distinct(slug).alias("n_slugs"), F.count_distinct(url).alias("n_urls"), F.count_distinct(department).alias("n_departments"),
-        F.lit(not extra and not lacking).alias("columns_ok"),
+        F.lit(not extra and not lacking).alias("columns_ok"), same.alias("departments_ok"),
     )
 
 
 def require_inventory(report: DataFrame, n_rows: int) -> None:
     r = report.first()
-    if not r["columns_ok"] or not r["n_rows"] == r["n_slugs"] == r["n_urls"] == n_rows:
+    if not r["columns_ok"] or not r["departments_ok"] or not r["n_rows"] == r["n_slugs"] == r["n_urls"] == n_rows:
         raise ValueError(f"the inventory is not as it should be: {r.asDict()}")
 
 

@@ -92,7 +92,3 @@ def redirect_chains(hops: DataFrame, starts: DataFrame, most: int = MOST_REDIREC
     for _ in range(most + 1):
         at = at.join(step, at["url"] == step["__from"], "left").select("start", F.coalesce("target", "url").alias("url"), (F.col("hops") + F.col("target").isNotNull().cast("int")).alias("hops"))
     return at.withColumn("outcome", F.when(F.col("hops") > most, "too_many").otherwise("final"))
-
-
-def share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole)

@@ -59,15 +59,15 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as candidates; their first ten characters are the title, so that many share one."""
+    """Documents as candidates; their first line is the title."""
     key = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("slug"), (key % 50).alias("page_id"), key.alias("ordinal"), F.substring("text", 1, 10).alias("title"), F.concat(F.lit("https://x.example/"), F.lower("lang"), F.when(key % 2 == 0, "/").otherwise("")).alias("source_url"),
+        F.col("source").alias("slug"), (key % 50).alias("page_id"), key.alias("ordinal"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat(F.lit("https://x.example/"), F.lower("lang"), F.when(key % 2 == 0, "/").otherwise("")).alias("source_url"),
         F.when(key % 3 == 0, F.concat(F.lit("https://x.example/apply/"), key)).alias("application_url"), F.col("text").alias("source_text"),
     )
 
 
-CANDIDATES = """candidates AS (SELECT source AS slug, doc_id % 50 AS page_id, doc_id AS ordinal, substr(text, 1, 10) AS title,
+CANDIDATES = """candidates AS (SELECT source AS slug, doc_id % 50 AS page_id, doc_id AS ordinal, string_split(text, chr(10))[1] AS title,
   'https://x.example/' || lower(lang) || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END AS source_url, CASE WHEN doc_id % 3 = 0 THEN 'https://x.example/apply/' || doc_id END AS application_url, text AS source_text FROM documents)"""
 #: SQL of text.fold() and text.normal_title(), for texts whose white space is ASCII.
 FOLD = r"replace(replace(lower(trim(regexp_replace({}, '\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"

@@ -15,11 +15,13 @@ from ..operators.quality import inventory_report, require_inventory
 HIERARCHY = ("school_slug", "school", "department_slug", "department", "source_url")
 
 
-def read_inventory(spark: SparkSession, path: str, required: Sequence[str], n_rows: int | None = None, slug: str = "chair_name", url: str = "project_study_url", department: str = "department") -> DataFrame:
-    """A JSON array of records. With n_rows the records must be so many, with exactly the required keys and unique names and urls."""
+def read_inventory(
+    spark: SparkSession, path: str, required: Sequence[str], n_rows: int | None = None, slug: str = "chair_name", url: str = "project_study_url", department: str = "department", departments: Sequence[str] | None = None
+) -> DataFrame:
+    """A JSON array of records. With n_rows the records must be so many, with exactly the required keys and unique names and urls; with departments, of exactly these."""
     rows = spark.read.option("multiLine", True).json(path)
     if n_rows is not None:
-        require_inventory(inventory_report(rows, slug, url, department if department in rows.columns else slug, required), n_rows)
+        require_inventory(inventory_report(rows, slug, url, department if department in rows.columns else slug, required, departments), n_rows)
     return rows
 
 
@@ -49,10 +51,9 @@ def read_hierarchy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     that has no or several such fields is set aside. Empty values are null.
     """
     lines = spark.read.text(path).toDF("line").where(F.trim("line") != "")
-    width = 16
-    fields = F.from_csv("line", ", ".join(f"f{i} string" for i in range(width)))
-    stated = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ","))  # an empty field and none are both null
-    parsed = lines.select("line", F.slice(F.array(*(F.coalesce(fields[f"f{i}"], F.lit("")) for i in range(width))), 1, stated).alias("f"))
+    stated = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), F.lit(1))
+    bare = F.transform(stated, lambda x: F.when(F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"')) & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    parsed = lines.select("line", bare.alias("f"))
     parsed = parsed.where(F.array_join("f", ",") != ",".join(HIERARCHY))
     good = parsed.where(F.size("f") == len(HIERARCHY)).select(*(F.element_at("f", i + 1).alias(c) for i, c in enumerate(HIERARCHY)))
     wide = parsed.where(F.size("f") != len(HIERARCHY))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +46,39 @@ def write_manifest(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df from the cluster's shared checkpoint folder, so that what is costly to make is made once.
+def write_summary(report: DataFrame, path: str) -> None:
+    """audit()'s rows as Markdown: a table of the origins and the result, in one text file, as an audit has a row for each origin."""
+    line = F.format_string("| %s | %d | %d/%d |", "origin", "checked", "allowed", "checked")
+    rows = report.select(F.lit(1).alias("part"), "origin", line.alias("value"))
+    head = report.sparkSession.createDataFrame([(0, "", "# Robots policy audit\n\n| Origin | URLs checked | Allowed |\n|---|---:|---:|")], rows.schema)
+    good = "All configured crawl targets are allowed by the retrieved policies."
+    bad = "The crawler must not run against every configured target until the exceptions are resolved."
+    verdict = F.when(F.coalesce(F.bool_and("compliant"), F.lit(True)), good).otherwise(bad)
+    result = report.agg(F.concat(F.lit("\n## Result\n\n"), verdict).alias("value")).select(F.lit(2).alias("part"), F.lit("").alias("origin"), "value")
+    lines = head.unionByName(rows).unionByName(result).coalesce(1).sortWithinPartitions("part", "origin")
+    lines.select("value").write.mode("overwrite").text(path)
+
 
-    Where spark.checkpoint.dir is unset, as in tests, a temporary folder of this machine takes its place.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Only a session that runs in this one process may leave it unset, as tests do, and gets a temporary folder.
     """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or _own_folder()).rstrip("/")
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from the cluster's shared checkpoint folder, so that what is costly to make is made once."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

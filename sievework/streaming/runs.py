@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.reconcile import ARCHIVE_AFTER
+from ..operators.reconcile import ARCHIVE_AFTER, reconcile
 from ..operators.runs import CLEAN, FAULTY
 
 LISTINGS = "source_id string, key string, status string, consecutive_misses int"
@@ -89,8 +89,32 @@ def new_artifacts(events: DataFrame, watermark: str | None = None, ts: str = "ts
 
 def daily_outcomes(events: DataFrame, late: str = "1 day", ts: str = "ts") -> DataFrame:
     """(day, status, n) of runs by day; rows later than the watermark are dropped."""
-    counted = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), "status").agg(F.count("*").alias("n"))
-    return counted.select(F.to_date("window.start").alias("day"), "status", "n")
+    return _counted(events, "1 day", None, late, ts).withColumnRenamed("start", "day")
+
+
+def weekly_outcomes(events: DataFrame, late: str = "1 day", ts: str = "ts") -> DataFrame:
+    """(week, status, n) of runs by week, which its Monday names."""
+    return _counted(events, "7 days", "4 days", late, ts).withColumnRenamed("start", "week")  # 1970-01-01 was a Thursday
+
+
+def _counted(events: DataFrame, every: str, start: str | None, late: str, ts: str) -> DataFrame:
+    counted = events.withWatermark(ts, late).groupBy(F.window(ts, every, startTime=start), "status").agg(F.count("*").alias("n"))
+    return counted.select(F.to_date("window.start").alias("start"), "status", "n")
+
+
+def reconcile_onto(observed: Callable[[DataFrame], DataFrame], runs: Callable[[DataFrame], DataFrame], root: str, empty: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that reconciles the listings with what each batch observed and with the runs it tells of.
+
+    Batch n reads the listings that batch n - 1 wrote, so that a repeated batch starts from and writes the same version. empty: the listings' schema.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        before = f"{root.rstrip('/')}/version={batch_id - 1:012d}"
+        current = batch.sparkSession.read.schema(empty).parquet(before) if batch_id else batch.sparkSession.createDataFrame([], empty)
+        after = reconcile(current, observed(batch), runs(batch)).select(*current.columns)
+        after.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={batch_id:012d}")
+
+    return apply
 
 
 def reconcile_each(apply: Callable[[DataFrame], DataFrame], root: str) -> Callable[[DataFrame, int], None]:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import urls
 from sievework.operators import alerts, catalog, classify, html, policy, quality, reconcile, runs
 from sievework.sources import inventory, storage
 from sievework.streaming import runs as stream
@@ -94,6 +95,56 @@ def test_reference_codes_go_on_after_the_largest(spark):
     assert got == {("ps", 1): 42, ("ps", 2): 43, ("idp", 1): 3, ("new", 5): 1}
 
 
+def test_numbers_of_a_prefix_that_holds_most_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 9), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "prefix string, day int, id int").repartition(7)
+    got = {r["id"]: r["number"] for r in catalog.numbered(df, "prefix", ["day", "id"]).collect()}
+    want = {}
+    for prefix in ("a", "b", None):
+        want |= {i: n for n, (_, i) in enumerate(sorted((d, i) for p, d, i in rows if p == prefix), 1)}
+    assert got == want
+    assert catalog.numbered(df.where("false"), "prefix", ["id"]).count() == 0
+
+
+def test_pages_beyond_the_last_and_unknown_names(spark):
+    df = spark.createDataFrame([(f"s{i:02}", f"t{i}") for i in range(45)], "slug string, title string")
+    assert [r["slug"] for r in catalog.page_or_last(df, "none", 9).collect()] == [f"s{i}" for i in range(40, 45)]
+    assert [r["slug"] for r in catalog.page_or_last(df, "none", 2).collect()] == [f"s{i}" for i in range(20, 40)]
+    assert catalog.page_or_last(df.where("false"), "none", 3).count() == 0
+    assert catalog.select_named(df, "slug", ["s01", "s02"]).count() == 2
+    with pytest.raises(ValueError, match="x, y"):
+        catalog.select_named(df, "slug", ["y", "s01", "x"])
+
+
+def test_terms_of_a_table(spark):
+    docs = spark.createDataFrame([(1, "g", "a red ring"), (2, "h", "a red ring"), (3, None, "red"), (4, "g", None)], "id int, kind string, text string")
+    terms = spark.createDataFrame([("g", "ring"), ("g", "red"), ("g", "red"), ("h", "blue"), (None, "red")], "kind string, term string")
+    assert {r["id"]: r["terms"] for r in classify.with_terms(docs, "text", terms, group="kind").collect()} == {1: ["red", "ring"], 2: [], 3: ["red"], 4: []}  # null is a group
+    assert {r["id"]: r["terms"] for r in classify.with_terms(docs, "text", terms.select("term")).collect()} == {1: ["red", "ring"], 2: ["red", "ring"], 3: ["red"], 4: []}
+
+
+def test_listings_are_reconciled_batch_by_batch(spark, tmp_path):
+    """Each file is a batch; its state is what the batch before has written, also when a batch is repeated."""
+    schema = "key string, status string, at timestamp"
+    batches = [[("a", "success"), ("b", "success")], [("a", "success")], [("a", "success")], [(None, "failed")], [("b", "success")]]
+    for rows in batches:
+        spark.createDataFrame([(k, st, NOW) for k, st in rows], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    observed = lambda b: b.where("key is not null").select(F.lit(1).alias("chair_id"), F.col("key").alias("stable_source_key"), F.lit("t").alias("title"), F.lit("s").alias("summary"), F.lit("h").alias("content_hash"), F.lit(None).cast("date").alias("published_at"))
+    log = lambda b: b.groupBy(F.lit(1).alias("chair_id")).agg(F.max("status").alias("run_status"), F.max("at").alias("now"))
+    apply = stream.reconcile_onto(observed, log, f"{tmp_path}/out", CURRENT)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    events.writeStream.foreachBatch(lambda b, n: (apply(b, n), apply(b, n))[0]).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    state = lambda n: {r["stable_source_key"]: (r["status"], r["consecutive_misses"]) for r in spark.read.parquet(f"{tmp_path}/out/version={n:012d}").collect()}
+    assert state(1) == {"a": ("active", 0), "b": ("active", 1)} and state(2) == state(3) == {"a": ("active", 0), "b": ("archived", 2)}
+    assert state(4) == {"a": ("active", 1), "b": ("active", 0)}
+
+
+def test_weeks_start_on_monday(spark, tmp_path):
+    rows = spark.createDataFrame([("ok", dt.datetime(2024, 1, 7, 23)), ("ok", dt.datetime(2024, 1, 8)), ("ok", dt.datetime(2024, 1, 14))], "status string, ts timestamp")
+    assert {str(r["week"]): r["n"] for r in stream.weekly_outcomes(rows).collect()} == {"2024-01-01": 1, "2024-01-08": 2}
+
+
 def test_streaks_and_health(spark):
     rows = [(1, 1, "failed"), (2, 1, "success"), (3, 1, "failed"), (4, 1, "skipped"), (5, 1, "partial"), (6, 2, "not_modified"), (7, 3, "failed")]
     log = spark.createDataFrame([(i, s, st, i) for i, s, st in rows], "run_id int, source_id int, status string, started_at int")
@@ -182,9 +233,40 @@ def test_page_text_and_links(spark):
     assert [(r["url"], r["label"]) for r in links][:2] == [("https://a.example/x.pdf", "see"), ("https://a.example/d/y", "Project study two")]
 
 
+def rules(spark, slug="s", **stated):
+    inventory_rows = spark.createDataFrame([(slug, "https://a.example/d/")], "chair_name string, project_study_url string")
+    kinds = {"candidate_selectors": "array<string>", "active_markers": "array<string>", "archive_markers": "array<string>", "excluded_markers": "array<string>", "excluded_titles": "array<string>", "title_selector": "string", "offer_link_selector": "string", "source_implies_active_type": "boolean", "classify_link_targets": "boolean"}
+    overrides = spark.createDataFrame([(slug, *stated.values())], ", ".join(["chair_name string", *(f"{k} {kinds[k]}" for k in stated)]))
+    return inventory.build_rules(inventory_rows, overrides)
+
+
+NEWS = """<h2>Archive</h2><h3></h3><div class='article' data-testid='news-item'><h4>Other</h4><a href='/plain'>project study</a><span class='head'><a href='one'>Robots</a> at work</span> a project study</div>
+<div class='article' data-testid='news-item'><span class='head'>No link</span> Project Study about things <a href='/projects/7'>more</a></div>
+<div class='article' data-testid='news-item'><span class='head'><a>Bare</a></span> nothing of the kind</div><h2>Archive</h2><div class='article' data-testid='news-item'><span class='head'>Old</span>project study</div>"""
+
+
+def test_discovery_with_selectors_of_the_rule_table(spark):
+    two = pages(spark, NEWS).unionByName(spark.createDataFrame([(3, "https://c.example/", "other", NEWS)], pages(spark).schema)).unionByName(spark.createDataFrame([(4, "https://d.example/", "ruleless", NEWS)], pages(spark).schema))
+    table = rules(spark, candidate_selectors=["div.article[data-testid='news-item']"], title_selector=".head", offer_link_selector=".head a").unionByName(rules(spark, "other", candidate_selectors=["h2", "div.article"], source_implies_active_type=True, archive_markers=["never"]))
+    got = html.discover(two, table).orderBy("page_id", "ordinal").collect()
+    # The nearest heading counts, also an empty one. The marker is looked for in the whole block, and a selected link without a target is the page.
+    assert [(r["title"], r["application_url"]) for r in got if r["page_id"] == 1] == [("Robots at work", "https://a.example/d/one"), ("No link", "https://a.example/projects/7")]
+    assert [(r["title"], r["application_url"]) for r in got if r["page_id"] == 3] == [("Other", "https://c.example/plain"), ("more", "https://c.example/projects/7")]
+    assert not [r for r in got if r["page_id"] == 4]
+    implied = rules(spark, candidate_selectors=["div.article"], title_selector=".head", offer_link_selector=".head a", source_implies_active_type=True)
+    found = html.discover(pages(spark, NEWS), implied).where("title = 'Bare'").first()
+    assert (found["source_url"], found["application_url"]) == ("https://a.example/d/", "https://a.example/d/")
+
+
+def test_headings_without_text_count(spark):
+    items = html.explode_nodes(pages(spark, "<h2>Archive</h2><h3></h3><article>x</article><h1>A</h1><p>y</p>"))
+    nodes, texts = html.nodes_of(items), html.texts_of(items)
+    found = html.previous_heading(html.select_blocks(nodes, ["article", "p"]).select("page_id", "start", "end"), nodes, texts)
+    assert [r["heading"] for r in found.orderBy("start").collect()] == ["", "A"]
+
+
 def test_discovery_takes_offers_and_leaves_the_archive(spark):
-    rule = {k: list(v) for k, v in classify.DEFAULTS.items()} | {"opportunity_type": "project_study", "source_implies_active_type": False, "classify_link_targets": False}
-    got = html.discover(pages(spark), rule).orderBy("ordinal").collect()
+    got = html.discover(pages(spark), rules(spark)).orderBy("ordinal").collect()
     assert [(r["title"], r["source_url"]) for r in got] == [("First project study", "https://a.example/x.pdf"), ("Project study two", "https://a.example/d/y")]
 
 
@@ -209,11 +291,21 @@ def test_inventory_rules_and_hierarchy(spark, tmp_path):
     rows = inventory.read_inventory(spark, f"{tmp_path}/i.json", keys, 2)
     with pytest.raises(ValueError):
         inventory.read_inventory(spark, f"{tmp_path}/i.json", keys, 3)
+    assert inventory.read_inventory(spark, f"{tmp_path}/i.json", keys, 2, departments=["D"]).count() == 2
+    for departments in (["D", "E"], ["E"], []):
+        with pytest.raises(ValueError):
+            inventory.read_inventory(spark, f"{tmp_path}/i.json", keys, 2, departments=departments)
+    hosts = spark.createDataFrame([("https://www.tumcso.com/x",), ("http://WWW.bwl.wi.tum.de",), ("https://a.example/",)], "url string")
+    assert [r[0] for r in hosts.select(urls.parser_family(F.col("url"))).collect()] == ["squarespace", "legacy_html", "typo3"]
     overrides = spark.createDataFrame([("B", ["idp"], [".x"])], "chair_name string, drop_excluded array<string>, candidate_selectors array<string>")
     rules = {r["slug"]: r for r in inventory.build_rules(rows, overrides).collect()}
     assert set(rules) == {"law-and-co", "b"} and rules["b"]["candidate_selectors"] == [".x"] and "idp" not in rules["b"]["excluded_markers"] and "idp" in rules["law-and-co"]["excluded_markers"]
     (tmp_path / "h.csv").write_text('school_slug,school,department_slug,department,source_url\na,"S, one",d-1,D,u\na,S, two,d-2,Department of X,u2\na,S,x,y,z,u3\nb,T,d-3,,u4\n')
     good, aside = inventory.read_hierarchy(spark, f"{tmp_path}/h.csv")
+    wide = ", ".join(f"Part {i}" for i in range(40))
+    (tmp_path / "w.csv").write_text(f'a,S,d-9,{wide},u5\n"a ""b""",S,d-8,,u6\n,,,,\n')
+    got = {r["department_slug"]: (r["school_slug"], r["department"], r["source_url"]) for r in inventory.read_hierarchy(spark, f"{tmp_path}/w.csv")[0].collect()}
+    assert got == {"d-9": ("a", wide, "u5"), "d-8": ('a "b"', None, "u6"), None: (None, None, None)}
     assert {r["department_slug"]: (r["school"], r["department"]) for r in good.collect()} == {"d-1": ("S, one", "D"), "d-2": ("S, two", "Department of X"), "d-3": ("T", None)} and aside.count() == 1
 
 
@@ -226,6 +318,19 @@ def test_storage(spark, tmp_path):
     assert spark.read.parquet(storage.write_snapshot(df, f"{tmp_path}/s", 4)).count() == 3
     storage.write_bodies(spark.createDataFrame([(b"x",), (b"x",), (b"y",)], "content binary"), f"{tmp_path}/b")
     assert spark.read.parquet(f"{tmp_path}/b").count() == 2
+    report = spark.createDataFrame([("https://b", 2, 1, False), ("https://a", 3, 3, True)], "origin string, checked long, allowed long, compliant boolean")
+    storage.write_summary(report, f"{tmp_path}/summary")
+    text = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/summary", wholetext=True).collect())
+    assert text.startswith("# Robots policy audit") and text.index("| https://a | 3 | 3/3 |") < text.index("| https://b | 2 | 1/2 |") < text.index("must not run")
+    storage.write_summary(report.where("compliant"), f"{tmp_path}/summary")
+    assert "are allowed" in spark.read.text(f"{tmp_path}/summary", wholetext=True).first()[0]
+    (tmp_path / "captured").mkdir()
+    (tmp_path / "captured" / "p.html").write_text("<p>x</p>")
+    manifest = spark.createDataFrame([("p.html", "https://a/p"), ("gone.html", "https://a/g")], "file string, url string")
+    page = storage.read_pages(spark, f"{tmp_path}/captured", manifest).collect()
+    assert [(r["url"], bytes(r["content"])) for r in page] == [("https://a/p", b"<p>x</p>")]
+    (tmp_path / "u.csv").write_text("name,n\n a ,1\n,2\n")
+    assert [tuple(r) for r in inventory.read_units(spark, f"{tmp_path}/u.csv", "name string, n int").collect()] == [("a", 1), (None, 2)]
     storage.write_manifest(df, f"{tmp_path}/m")
     assert spark.read.json(f"{tmp_path}/m").count() == 3
 
