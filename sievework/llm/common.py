@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed, shared_folder
+
+__all__ = ["ascii_lower", "checkpointed", "column_texts", "run_starts", "shared_folder", "stored", "suffix_order", "table", "unused"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,17 +26,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and cuts its lineage there.
-
-    The folder is the one spark.checkpoint.dir names. Only where that is unset, as in tests,
-    a temporary folder of this machine takes its place.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet, which is smaller than a checkpoint, and read again, so that its lineage is cut."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:
