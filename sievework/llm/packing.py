@@ -2,10 +2,11 @@
 
 Pieces are dealt out evenly over partitions and packed there by best-fit decreasing. Dual-feasible
 functions turn a partition's lengths into a number of bins that no packing can go below. A
-partition that meets its bound is certified, and done. The others have a gap: they keep the bins
-that are full, give up the pieces of the rest, and these pieces are dealt out anew over fewer
-partitions, so that pieces from different partitions meet, and packed again. This is repeated until
-no partition has a gap, or one partition is left. Only pieces that do not fit one task may end
+partition that meets its bound is certified, and gives up the pieces of its emptiest bin alone, since
+a bound is rounded up. The others have a gap: they keep the bins that are full and give up the rest.
+The pieces given up are dealt out anew over fewer partitions, so that pieces from different partitions
+meet, and packed again. This is repeated until one partition is left. certificate() holds the whole
+against the bound of all pieces. Only pieces that do not fit one task may end
 otherwise, when an exchange over the fewest partitions settles none of them.
 """
 
@@ -137,7 +138,11 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """The best of two families of dual-feasible functions: bins that the lengths need at least."""
-    counts = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """lower_bound() from how many pieces there are of each length."""
     sizes = np.flatnonzero(counts)
     n = counts[sizes].astype(np.int64)
     best = -(-int((sizes * n).sum()) // capacity)
@@ -187,7 +192,11 @@ def _pack(capacity: int, base: int, last: bool):
         pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
         lengths = pdf["length"].to_numpy()
         bins, offsets, left = best_fit_decreasing(lengths, capacity)
-        opened = np.zeros(len(left), bool) if last or len(left) <= lower_bound(lengths, capacity) else left > 0
+        opened = left > 0
+        if last or not opened.any():
+            opened[:] = False
+        elif len(left) <= lower_bound(lengths, capacity):
+            opened = np.arange(len(left)) == left.argmax()
         sequence = pd.array(base + (int(pdf["part"].iloc[0]) << 24) + bins, "Int64")
         sequence[opened[bins]] = pd.NA
         return pdf.drop(columns="part").assign(sequence_id=sequence, offset=offsets)
@@ -224,6 +233,14 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return first
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences, the least number of them that any packing needs) of pack()'s rows."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():  # as many rows as there are lengths
+        counts[length] = n
+    return packed.agg(F.count_distinct("sequence_id")).first()[0], bound_of_counts(counts, capacity)
+
+
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Each document's pieces with their places in sequences of at most `capacity` tokens.
 
