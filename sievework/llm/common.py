@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.storage import checkpointed, shared_folder
 
-__all__ = ["ascii_lower", "checkpointed", "column_texts", "run_starts", "shared_folder", "stored", "suffix_order", "table", "unused"]
+__all__ = ["ascii_lower", "checkpointed", "column_texts", "columns_of", "map_whole_rows", "run_starts", "shared_folder", "stored", "suffix_order", "table", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters [\x20\x09-\x0D].
@@ -33,6 +35,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_whole_rows(df: DataFrame, batches, schema: StructType) -> DataFrame:
+    """df.mapInArrow() of all columns, also of those whose names are no plain words, which it cannot name itself."""
+    names = df.columns
+
+    def renamed(parts):
+        return batches(pa.RecordBatch.from_arrays(x.columns, names) for x in parts)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(renamed, schema)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have, made from the given one."""
     taken = {c.lower() for c in df.columns}

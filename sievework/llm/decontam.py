@@ -6,12 +6,12 @@ over it. The sequence's Burrows-Wheeler transform, held as a wavelet tree, is se
 for all phrases at once; occurrences are located by walking to the nearest sampled suffix position,
 and the spans they cover in a document are merged. Nothing is shuffled.
 
-The phrases travel to every task, so the benchmark is taken in blocks of bounded size.
+The phrases travel to every task, so the benchmark is taken in blocks of bounded size, as arrays of
+word numbers: a stated query set that all shards are searched for, block by block.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import suffix_order
+from .common import map_whole_rows, suffix_order
 
 WINDOW = 13
 #: UTF-8 bytes of benchmark text that are sent out at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: UTF-8 bytes of documents that an index covers, about; a longer document has one of its own.
 SHARD_BYTES = 16 << 20
 SAMPLE_EVERY = 8
@@ -97,24 +97,32 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items, as rows of word numbers by length."""
+    """The distinct windows of benchmark items, as rows of word numbers by length, and the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        self.names = sorted({name for name, _ in items}, key=lambda x: (x is None, x))
+        number = {name: i for i, name in enumerate(self.names)}
         self.numbers: dict[bytes, int] = {}
-        holders: dict[tuple, set] = defaultdict(set)
+        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for name, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                holders[tuple(ids[i : i + window])].add(name)
-        by_length = defaultdict(list)
-        for phrase, names in holders.items():
-            by_length[len(phrase)].append((phrase, sorted(names)))
-        self.groups = [(n, np.array([p for p, _ in rows], np.int64), [names for _, names in rows]) for n, rows in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                n = min(window, len(ids))
+                found[n].append((np.lib.stride_tricks.sliding_window_view(ids, n), number[name]))
+        self.groups = []
+        for n, parts in sorted(found.items()):
+            rows = np.concatenate([w for w, _ in parts])
+            holder = np.repeat([i for _, i in parts], [len(w) for w, _ in parts])
+            whole = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * n))).ravel()
+            _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+            pairs = np.unique(of * len(self.names) + holder)
+            starts = np.searchsorted(pairs, np.arange(len(first) + 1) * len(self.names))
+            self.groups.append((n, rows[first], starts, (pairs % len(self.names)).astype(np.int32)))
+        self.shortest = min(found, default=0)
 
     def hits(self, documents: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
         """For each document the merged spans of its words that phrases cover, and the items found."""
-        out: list = [([], set()) for _ in documents]
+        out: list = [([], set()) for _ in documents]  # items by their number
         if not self.groups:
             return out
         get = self.numbers.get
@@ -133,8 +141,8 @@ class Phrases:
         places = np.flatnonzero(keep)
         index = FMIndex(ids[places], len(self.numbers))
         found: dict[int, list] = defaultdict(list)
-        for n, phrases, names in self.groups:
-            low, high = index.search(phrases)
+        for n, phrases, starts, holders in self.groups:
+            low, high = index.search(phrases.astype(np.int64))
             count = np.maximum(high - low, 0)
             which = np.repeat(np.arange(len(phrases)), count)
             if not len(which):
@@ -144,7 +152,7 @@ class Phrases:
             of = np.searchsorted(ends, at, side="right")
             for d, word, p in zip(of.tolist(), (at - (ends[of] - 1 - lengths[of])).tolist(), which.tolist(), strict=True):
                 found[d].append((word, word + n))
-                out[d][1].update(names[p])
+                out[d][1].update(holders[starts[p] : starts[p + 1]].tolist())
         for d, spans in found.items():
             for a, b in sorted(spans):
                 if out[d][0] and a <= out[d][0][-1][1]:
@@ -174,41 +182,46 @@ def _merged(a: list, b: list) -> list:
     return out
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, drop_text: bool = False) -> DataFrame:
-    """docs with __n_words, __spans (merged, in words) and __items (names of the items found) added.
+def with_hits(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, without_text: bool = False, n_words: str = "n_words", spans: str = "spans", items: str = "items"
+) -> DataFrame:
+    """docs with the number of words, the hit spans (merged, in words) and the names of the items found, under the given names.
 
-    Null and empty texts have no words; null and wordless items have no window; a null item id is
-    written as null. Repeated rows are judged each, and repeated items count once. drop_text leaves
-    the texts out of the result.
+    Null and empty texts have no words; null and wordless items have no window; a null item id is an item of its own
+    that is written as null's name. Repeated rows are judged each, and repeated items count once. An empty table of documents
+    stays empty, and an empty benchmark hits nothing. without_text leaves the texts out of the result. docs must have no column of the given names.
     """
+    if taken := {n_words, spans, items} & set(docs.columns):
+        raise ValueError(f"docs has a column of that name: {', '.join(sorted(taken))}")
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     place = F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks))
     context = docs.sparkSession.sparkContext
-    out = docs.drop("__n_words", "__spans", "__items")
+    out, names = docs, (n_words, spans, items)
     for block in range(blocks):
-        items = benchmark.where(place == block).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), item_text).collect()  # BLOCK_BYTES, about
-        sent = context.broadcast(Phrases([tuple(r) for r in items], window))
-        out = _searched(out, sent, text, first=block == 0, without=text if drop_text and block == blocks - 1 else None)
+        rows = benchmark.where(place == block).select(F.col(item_id).cast("string"), item_text).collect()  # BLOCK_BYTES, about
+        sent = context.broadcast(Phrases([tuple(r) for r in rows], window))
+        out = _searched(out, sent, text, names, first=block == 0, without=text if without_text and block == blocks - 1 else None)
     return out
 
 
-def _searched(docs: DataFrame, sent, text: str, first: bool, without: str | None) -> DataFrame:
-    carried = [f for f in docs.schema.fields if f.name != without and f.name not in ("__n_words", "__spans", "__items")]
+def _searched(docs: DataFrame, sent, text: str, names: tuple[str, str, str], first: bool, without: str | None) -> DataFrame:
+    carried = [f for f in docs.schema.fields if f.name != without and f.name not in names]
 
     def judged(batches: list, words: list):
-        found = sent.value.hits(words)
+        phrases = sent.value
+        found = phrases.hits(words)
         at = 0
         for batch in batches:
             part = found[at : at + batch.num_rows]
-            spans, items = [s for s, _ in part], [i for _, i in part]
+            spans, items = [s for s, _ in part], [["null" if phrases.names[i] is None else phrases.names[i] for i in sorted(x)] for _, x in part]
             if not first:
-                before = [[(x["start"], x["end"]) for x in r] for r in batch.column("__spans").to_pylist()]
+                before = [[(x["start"], x["end"]) for x in r] for r in batch.column(names[1]).to_pylist()]
                 spans = [_merged(a, b) for a, b in zip(before, spans, strict=True)]
-                items = [i | set(b) for i, b in zip(items, batch.column("__items").to_pylist(), strict=True)]
+                items = [_joined(b, i) for i, b in zip(items, batch.column(names[2]).to_pylist(), strict=True)]
             sizes = pa.array([len(w) for w in words[at : at + batch.num_rows]], pa.int64())
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), sizes, _spans(spans), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], [*(f.name for f in carried), "__n_words", "__spans", "__items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), sizes, _spans(spans), pa.array(items, pa.list_(pa.string()))], [*(f.name for f in carried), *names])
 
     def batches(parts):
         held, words, size = [], [], 0
@@ -220,7 +233,7 @@ def _searched(docs: DataFrame, sent, text: str, first: bool, without: str | None
                 while at < whole.num_rows and size < SHARD_BYTES:
                     body = column[at].as_py()
                     words.append(words_of(body))
-                    size += len(body or "")
+                    size += len((body or "").encode())
                     at += 1
                 held.append(whole.slice(start, at - start))
                 if size >= SHARD_BYTES:
@@ -230,16 +243,17 @@ def _searched(docs: DataFrame, sent, text: str, first: bool, without: str | None
             yield from judged(held, words)
 
     span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
-    return docs.mapInArrow(batches, StructType([*carried, StructField("__n_words", LongType()), StructField("__spans", span), StructField("__items", ArrayType(StringType()))]))
+    return map_whole_rows(docs, batches, StructType([*carried, StructField(names[0], LongType()), StructField(names[1], span), StructField(names[2], ArrayType(StringType()))]))
 
 
-def n_hit(spans: str = "__spans"):
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+def _joined(a: list[str], b: list[str]) -> list[str]:
+    """The names of either; "null" twice, if there is an item of that name and one without any."""
+    return [x for x in sorted({*a, *b}) for _ in range(max(a.count(x), b.count(x)) if x == "null" else 1)]
 
 
-def contaminated(words: str = "__n_words", spans: str = "__spans"):
-    return (n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(words))
+def n_hit(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def contaminated(n_words: str = "n_words", spans: str = "spans"):
+    return (n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(n_words))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, column_texts, unused
+from .common import checkpointed, column_texts, columns_of, map_whole_rows, unused
 
 WINDOW = 8
 #: Groups below so many documents borrow the sketch of the next level.
@@ -100,7 +100,7 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
             rows = np.array([measure(t) for t in column_texts(batch, text)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i]) for i in range(len(names)))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(batches, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in names)]))
+    return map_whole_rows(docs, batches, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in names)]))
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -175,7 +175,7 @@ def with_verdicts(docs: DataFrame, limits: DataFrame, lang: str = "lang", source
         inside &= value.between(F.col(fence)[name]["low"], F.col(fence)[name]["high"])
     joined = docs.join(limits, F.col(lang).eqNullSafe(F.col(of_lang)) & F.col(source).eqNullSafe(F.col(of_source)), "left")
     failed = base_failed(prefix)
-    return joined.select(*docs.columns, failed.alias(prefix + "base_failed"), (~failed & inside).alias(prefix + "kept"))
+    return joined.select(*columns_of(docs), failed.alias(prefix + "base_failed"), (~failed & inside).alias(prefix + "kept"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -199,4 +199,4 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     mark = "__"
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
-    return with_verdicts(with_counts(docs, text, mark), limits, lang, source, mark).where(F.col(mark + "kept")).select(*docs.columns)
+    return with_verdicts(with_counts(docs, text, mark), limits, lang, source, mark).where(F.col(mark + "kept")).select(*columns_of(docs))

@@ -42,7 +42,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +56,9 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.with_hits(docs, table(spark, sf_dir, "benchmark"), drop_text=True)
-    items = F.sha2(F.array_join(F.sort_array("__items"), ","), 256)
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), decontam.n_hit().alias("n_hit"), F.size("__items").cast("long").alias("n_items"), items.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
+    found = decontam.with_hits(docs, table(spark, sf_dir, "benchmark"), without_text=True)
+    items = F.sha2(F.array_join(F.sort_array("items"), ","), 256)
+    return found.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +134,20 @@ WITH parts AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(h
 plain AS (SELECT page_id, url, list_transform(blocks, lambda b: {_DECODE.format("regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')")}) AS blocks FROM parts),
 lines AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> '') AS blocks FROM plain)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM lines""",
+    # All windows of 100 bytes by their MD5; starts count from 0, and neighbouring ranges of marked windows are one span.
+    "op8_repeats": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+windows AS (SELECT doc_id, i, md5_number(h[i + 1:i + 100]) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(0, octet_length(h) - 99))) AS i FROM d)),
+firsts AS (SELECT g, min(doc_id) AS doc_id FROM windows GROUP BY g HAVING count(*) > 1),
+places AS (SELECT w.g, w.doc_id, min(w.i) AS i FROM windows w JOIN firsts f ON w.g = f.g AND w.doc_id = f.doc_id GROUP BY ALL),
+marked AS (SELECT w.doc_id, w.i FROM windows w JOIN places p ON w.g = p.g WHERE (w.doc_id, w.i) <> (p.doc_id, p.i)),
+edges AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM marked),
+named AS (SELECT doc_id, i, count(*) FILTER (WHERE gap IS NULL OR gap > 100) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM edges),
+spans AS (SELECT doc_id, span, min(i) AS low, max(i) + 100 AS high FROM named GROUP BY ALL),
+gone AS (SELECT doc_id, list({'low': low, 'high': high} ORDER BY low) AS spans, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+rest AS (SELECT doc_id, octet_length(h) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, h, spans FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(CASE WHEN spans IS NULL THEN h ELSE
+  list_reduce(list_transform(range(len(spans) + 1), lambda k: h[CASE WHEN k = 0 THEN 1 ELSE spans[k].high + 1 END:CASE WHEN k = len(spans) THEN n_bytes ELSE spans[k + 1].low END]), lambda a, b: a || b) END) AS kept_sha256 FROM rest""",
     # CRC-32 of the text's bytes, with its table made from the polynomial.
     "op10_shards": f"""
 WITH poly AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) AS r(b)),

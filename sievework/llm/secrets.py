@@ -109,7 +109,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<start, end, kind>>) for each row; texts are scanned whole.
 
-    Null and empty texts have no spans; repeated rows and null ids stay as they are.
+    Null and empty texts have no spans; repeated rows and null ids stay as they are. An empty table gives an empty one.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
