@@ -1,23 +1,26 @@
 """Exact line de-duplication across documents with levelled sorted runs of line hashes.
 
-Documents are taken in batches of ascending doc_id. A run is a table of line hashes, sorted and
-free of repeats. Each batch anti-joins all runs so far: a line that a run holds has an owner in an
-earlier batch; the rest are new, and the new lines, each with the smallest doc_id that holds it,
-become a run of level 0. When `fan_in` runs of a level have come together, they are compacted into
-one run of the next level, so that a batch meets few runs however many batches came before.
-
-All of it is DataFrame operations. Texts are not moved with the lines: only hashes are, and a
-document's verdicts come back to it as one array of flags.
+Documents are taken in batches of ascending doc_id. A run is a table of line hashes without repeats,
+bucketed and sorted by the hash; all runs have the same number of buckets. Each batch merge-anti-joins
+all runs so far, which are neither shuffled nor sorted for it: a line that a run holds has an owner in
+an earlier batch; the rest are new, and the new lines, each with the smallest doc_id that holds it,
+become a run of level 0. When `fan_in` runs of a level have come together, they are merged into
+one run of the next level, bucket by bucket, so that a batch meets few runs however many batches came before.
+
+All of it is DataFrame operations. Hashes alone are compared; a document's verdicts come back to it as
+one array of flags, for which each text is shuffled once.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, checkpointed
+from ..sources.storage import remove
+from .common import BLANKS, ascii_lower, columns_of, shared_folder, stored, unused
 
 LEAST_CHARS = 10
 _LAST = (1 << 63) - 1
@@ -34,66 +37,92 @@ def _two_hashes(value: Column) -> tuple[Column, Column]:
 
 def _document(doc_id: str, text: str) -> tuple[Column, Column]:
     """What tells documents apart: the id, null as the largest, and the text's hash for rows that share it."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__of")
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 class Runs:
-    """The sorted runs, by level."""
+    """The sorted runs (k1, k2, owner), by level: names of tables."""
 
-    def __init__(self, fan_in: int = 4):
-        self.fan_in, self.levels = fan_in, []
+    def __init__(self, spark: SparkSession, fan_in: int = 4):
+        self.spark, self.fan_in, self.levels = spark, fan_in, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def add(self, run: DataFrame, level: int = 0) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(run)
+        name = f"line_run_{uuid.uuid4().hex}"
+        ordered = run.select("k1", "k2", "owner").write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2")
+        ordered.option("path", self._path(name)).saveAsTable(name)
+        self.levels[level].append(name)
         if len(self.levels[level]) == self.fan_in:
             full, self.levels[level] = self.levels[level], []
-            self.add(checkpointed(reduce(DataFrame.unionByName, full).repartition("k1", "k2").sortWithinPartitions("k1", "k2")), level + 1)
+            self.add(reduce(self._merged, map(self.spark.table, full)), level + 1)
+            for old in full:
+                self.spark.sql(f"DROP TABLE {old}")
+                remove(self.spark, self._path(old))
 
     def all(self) -> list[DataFrame]:
-        return [run for level in reversed(self.levels) for run in level]
+        return [self.spark.table(name) for level in reversed(self.levels) for name in level]
 
+    def _path(self, name: str) -> str:
+        return f"{shared_folder(self.spark)}/{name}"
 
-def owners(lines: DataFrame, n_batches: int = 3, fan_in: int = 2) -> DataFrame:
-    """(k1, k2, __id): every line hash with the smallest id that holds it, by batches of ascending id."""
-    cuts = lines.select(F.percentile_approx("__id", [i / n_batches for i in range(1, n_batches)], 1000)).first()[0] or []
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Both have no hash in common, so each row of the merge is one side's."""
+        return a.join(b.withColumnRenamed("owner", "other"), ["k1", "k2"], "full_outer").select("k1", "k2", F.coalesce("owner", "other").alias("owner"))
+
+
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+def owners(lines: DataFrame, n_batches: int = 3, fan_in: int = 2) -> list[DataFrame]:
+    """Runs (k1, k2, owner) that hold every hash of lines (k1, k2, id) once, with the smallest id that holds it."""
+    spark = lines.sparkSession
+    cuts = lines.select(F.percentile_approx("id", [i / n_batches for i in range(1, n_batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    runs = Runs(fan_in)
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("__id") > low)
-        if high is not None:
-            batch = batch.where(F.col("__id") <= high)
-        new = batch.groupBy("k1", "k2").agg(F.min("__id").alias("__id"))
-        for run in runs.all():
-            new = new.join(run, ["k1", "k2"], "left_anti")
-        runs.add(checkpointed(new.sortWithinPartitions("k1", "k2")))
-    return reduce(DataFrame.unionByName, runs.all())
-
-
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_batches: int = 3, fan_in: int = 2) -> DataFrame:
-    """docs with `__kept` (the text without repeated lines), `__n_lines` and `__n_dropped` added.
+    runs = Runs(spark, fan_in)
+    before = spark.conf.get(_SORTED)
+    spark.conf.set(_SORTED, "true")  # a bucket is one sorted file, which need not be sorted again
+    try:
+        for low, high in zip(edges, edges[1:], strict=False):
+            batch = lines
+            if low is not None:
+                batch = batch.where(F.col("id") > low)
+            if high is not None:
+                batch = batch.where(F.col("id") <= high)
+            new = batch.groupBy("k1", "k2").agg(F.min("id").alias("owner"))
+            for run in runs.all():
+                new = new.join(run, ["k1", "k2"], "left_anti")
+            runs.add(new)
+    finally:
+        spark.conf.set(_SORTED, before)
+    return runs.all()
+
+
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_batches: int = 3, fan_in: int = 2, kept: str = "kept", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """docs with the text without repeated lines, the number of its lines and of those dropped, under the given names.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. A key of `LEAST_CHARS` or
     more code points that several documents hold stays only in the one with the smallest id, there
     with all its lines. A null text counts as one empty line. A null id counts as the largest; rows
     that share an id are one document's, and each row keeps its own text. An empty table stays empty.
+    docs must have no column of the given names.
     """
+    if taken := {kept, n_lines, n_dropped} & set(docs.columns):
+        raise ValueError(f"docs has a column of that name: {', '.join(sorted(taken))}")
+    own_id, own_of, flag = (unused(docs, c) for c in ("__id", "__of", "__flags"))
     ident, of = _document(doc_id, text)
-    named = docs.select("*", ident, of)
-    line = F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "line")
-    keyed = named.select("__id", "__of", line).select("__id", "__of", "at", line_key(F.col("line")).alias("key"))
+    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    lines = docs.select(ident.alias("id"), of.alias("of"), F.posexplode(split).alias("at", "line"))
+    keyed = lines.select("id", "of", "at", line_key(F.col("line")).alias("key"))
     long = F.char_length("key") >= LEAST_CHARS
     k1, k2 = _two_hashes(F.col("key"))
     # Short lines have no second hash and so no owner; their first one only spreads them.
-    keyed = keyed.select("__id", "__of", "at", F.when(long, k1).otherwise(F.xxhash64("__id", "at")).alias("k1"), F.when(long, k2).alias("k2"))
-    keyed = checkpointed(keyed)
-    first = owners(keyed.where(F.col("k2").isNotNull()), n_batches, fan_in).withColumnRenamed("__id", "__owner")
-    judged = keyed.join(first, ["k1", "k2"], "left").select("__id", "__of", "at", F.coalesce(F.col("__owner") < F.col("__id"), F.lit(False)).alias("drop"))
-    flags = judged.groupBy("__id", "__of").agg(F.transform(F.sort_array(F.collect_set(F.struct("at", "drop"))), lambda x: x["drop"]).alias("__flags"))
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.col("__flags")[i])
-    out = named.join(flags, ["__id", "__of"]).select(*(named[c] for c in docs.columns), F.array_join(kept, "\n").alias("__kept"), F.size("__flags").cast("long").alias("__n_lines"), F.size(F.filter("__flags", lambda x: x)).cast("long").alias("__n_dropped"))
-    return out
+    keyed = stored(keyed.select("id", "of", "at", F.when(long, k1).otherwise(F.xxhash64("id", "at")).alias("k1"), F.when(long, k2).alias("k2")))
+    first = reduce(DataFrame.unionByName, owners(keyed.where(F.col("k2").isNotNull()), n_batches, fan_in))
+    judged = keyed.join(first, ["k1", "k2"], "left").select("id", "of", "at", F.coalesce(F.col("owner") < F.col("id"), F.lit(False)).alias("drop"))
+    flags = judged.groupBy(F.col("id").alias(own_id), F.col("of").alias(own_of)).agg(F.transform(F.sort_array(F.collect_set(F.struct("at", "drop"))), lambda x: x["drop"]).alias(flag))
+    named = docs.select("*", ident.alias(own_id), of.alias(own_of))
+    rest = F.filter(split, lambda x, i: ~F.col(flag)[i])
+    return named.join(flags, [own_id, own_of]).select(*columns_of(docs), F.array_join(rest, "\n").alias(kept), F.size(flag).cast("long").alias(n_lines), F.size(F.filter(flag, lambda x: x)).cast("long").alias(n_dropped))
