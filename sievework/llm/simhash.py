@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, column_texts, unused
+from .common import checkpointed, column_texts, columns_of, unused
 from .components import connected_components
 
 SEED = 42
 _CHUNK = 1 << 15
+_LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -90,13 +91,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     """The rows of docs that stay when each near-duplicate component keeps one: the smallest doc_id.
 
     Null ids count as the largest. Where several rows of the component bear that id, the least of
-    them by fingerprint and then by its other columns stays.
+    them by fingerprint, by a hash of the text and then by its other columns stays. Null and empty texts are
+    near-duplicates of each other. Columns may have any type and name; an empty table stays empty.
     """
-    names = docs.columns
-    own, fp, ident = unused(docs, "fp"), unused(docs, "best_fp"), unused(docs, "best_id")
-    marked = with_fingerprints(docs, text, own)
-    prints = checkpointed(marked.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(own).alias("fp")))
-    best = prints.join(components_of(prints, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias(ident), F.col("best.fp").alias(fp))
-    kept = marked.join(best, [F.col(own) == F.col(fp), F.col(doc_id).cast("long").eqNullSafe(F.col(ident))]).select(*names, fp, ident)
-    return kept.groupBy(fp, ident).agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
+    prints = checkpointed(with_fingerprints(source).select("doc_id", "of", "fp"))
+    best = prints.join(components_of(prints, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "of")).alias("best"))
+    # Rows are found again by id and text, and moved once for both the join and the choice among equals.
+    own_id, own_of = unused(docs, "own_id"), unused(docs, "own_of")
+    best = best.select(F.coalesce("best.doc_id", F.lit(_LAST)).alias(own_id), F.col("best.of").alias(own_of))
+    named = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias(own_id), F.xxhash64(text).alias(own_of))
+    sortable = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(columns_of(docs), docs.schema.fields, strict=True)]
+    row = F.min_by(F.struct(*columns_of(docs)), F.struct(*sortable))
+    return named.join(best, [own_id, own_of]).groupBy(own_id, own_of).agg(row.alias("row")).select("row.*")
