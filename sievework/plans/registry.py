@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import alerts, catalog, classify, html, policy, quality, reconcile, runs
 from ..sources import inventory, storage
-from ..sources.storage import checkpointed, shared_folder
+from ..sources.storage import checkpointed, remove, shared_folder
 from ..streaming import runs as stream
 from . import bindings as B
 from .bindings import table
@@ -624,6 +624,8 @@ def _stream(spark, d, make=None, each=None) -> DataFrame:
         stream_of.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(store, before)
+    for part in ("in", "state"):
+        remove(spark, f"{home}/{part}")
     return spark.read.parquet(f"{home}/out")
 
 

@@ -71,6 +71,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or _own_folder()).rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
