@@ -1,45 +1,44 @@
 """Language-model scores by a weighted backoff automaton.
 
-Training counts words over all training texts, then n-grams order by order among those whose
-beginning was kept. Counts are summed within a task before they are shuffled. An n-gram becomes an
-arc if it makes up at least `MIN_SHARE` of the training tokens and occurs twice, so there are at
-most 1 / MIN_SHARE of each order however large the corpus; that bound is what lets the
-automaton be broadcast. Words below it keep their exact counts in a table that is joined.
+Texts are dealt out into blocks of bounded size. A block counts the n-grams of its training texts and
+names those of all its texts, by hashes, packed by ranges of the hash; a range's task adds up what the
+blocks have counted and answers each block with the counts that differ from its own. So every n-gram of
+the corpus counts, whatever the corpus' size, each block has the exact counts of what its texts hold, and
+neither the driver nor any task holds a model of the whole.
 
-States are the contexts, the root being the empty one. A state has arcs for the words seen after it
-and a failure arc to its suffix, weighted with the probability mass that discounting freed:
+From these counts a block builds its part of the automaton. States are the contexts seen in training,
+the root being the empty one. A state has arcs for the words seen after it and a failure arc to its
+suffix, weighted with the probability mass that smoothing leaves to it:
 
-    p(w | h) = (c(h w) - D) / c(h) + b(h) p(w | h'),    b(h) = 1 - sum of the kept (c(h w) - D) / c(h)
+    p(w | h) = (c(h w) + M p(w | h')) / (c(h) + M),    weight of the failure arc M / (c(h) + M)
 
 and at the root p(w) = (c(w) + 1) / (N + V + 1). That sums to one over all words and one unknown
-one. A text is scored in one traversal from left to right.
+one. A text is scored in one traversal from left to right, which carries its state and adds up the
+arcs' logarithms; a block's texts go side by side.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from dataclasses import dataclass
-from itertools import repeat
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column_texts
-
-#: The end token's name; no word is empty.
-END = ""
-MIN_SHARE = 1e-6
-DISCOUNT = 0.75
-ORDER = 3
-_FLUSH = 300_000
+#: Order 3 works alike, but what blocks tell of their 3-grams takes more than four times the corpus.
+ORDER = 2
+#: M of the smoothing: how many occurrences of a context the shorter context weighs as much as.
+PRIOR = 200.0
+#: UTF-8 bytes of texts in a block, about; a longer text is a block of its own size. There are as many hash ranges as blocks.
+BLOCK_BYTES = 8 << 20
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased, and the end token."""
+    """The words of a text, A-Z lower-cased, and the end token, which is named by no bytes."""
     return [*(text or "").encode().lower().split(), b""]
 
 
@@ -48,200 +47,247 @@ def fold_of(doc_id: str, folds: int = 7) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over column text."""
-
-    def rows(counts):
-        return pa.RecordBatch.from_arrays([pa.array([k.decode() for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    def batches(parts):
-        counts: Counter = Counter()
-        for batch in parts:
-            for text in column_texts(batch, "text"):
-                counts.update(tokens(text))
-                if len(counts) > _FLUSH:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
-
-    return texts.select("text").mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Grams:
+    """The distinct n-grams of some texts. For each n from 1: at (their number at each position, or -1), keys, context and suffix (numbers of n - 1), last word."""
+
+    def __init__(self, texts: list[list[bytes]], order: int):
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.words = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(self.lengths.sum()))
+        self.width = len(number)
+        # 88 bits name a word, 56 a longer n-gram: of 10**12 of these, one in 70,000 has its hash with another.
+        digests = b"".join(map(xxhash.xxh3_128_digest, number))
+        names = np.frombuffer(digests, "<u8").reshape(-1, 2) >> np.array([8, 32], np.uint64)
+        place = np.arange(len(self.words)) - np.repeat(self.starts, self.lengths)
+        self.at, self.keys, self.context, self.suffix, self.last = [self.words], [names], [None], [None], [None]
+        for n in range(2, order + 1):
+            inside = np.flatnonzero(place >= n - 1)
+            before = self.at[-1]
+            found, first, own = np.unique(before[inside - 1] * self.width + self.words[inside], return_index=True, return_inverse=True)
+            at = np.full(len(self.words), -1)
+            at[inside] = own
+            context, word = found // self.width, found % self.width
+            with np.errstate(over="ignore"):
+                key = (self.keys[-1][:, 0][context] + np.uint64(n)) * _A
+                key ^= key >> np.uint64(29)
+                key = (key + names[:, 0][word]) * _B
+                key = (key ^ key >> np.uint64(32)) * _A >> np.uint64(8)
+            self.at.append(at)
+            self.keys.append(key.reshape(-1, 1))
+            self.context.append(context)
+            self.suffix.append(before[inside[first]])
+            self.last.append(word)
+
+    def counts(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram occurs in the chosen texts."""
+        places = np.repeat(chosen, self.lengths)
+        return [np.bincount(at[places & (at >= 0)], minlength=len(keys)) for at, keys in zip(self.at, self.keys, strict=True)]
 
 
-def _numbers(found, text: str) -> np.ndarray:
-    words = tokens(text)
-    return np.fromiter(map(found.get, words, repeat(-1)), np.int64, len(words))
-
-
-def _extend(ids: np.ndarray, words: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
-    """The number of the n-gram that ends at each word, -1 if it was not kept; ids: those one shorter that end there."""
-    out = np.full(len(words), -1, np.int64)
-    before = ids[:-1]
-    key = np.where((before >= 0) & (words[1:] >= 0), before * width + words[1:], -1)
-    at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-    if len(keys):
-        out[1:] = np.where(keys[at] == key, at, -1)
+class Automaton:
+    """Arcs by state * words + word in order, for states from 1 on; the root, state 0, has an arc for every word."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, prior: float = PRIOR):
+        p = (counts[0] + 1) / (total + distinct + 1)
+        self.width, self.base = grams.width, np.log10(p)
+        self.fail, self.backoff = np.zeros(1, np.int64), np.zeros(1)
+        keys, weights, targets = [], [], []
+        state = np.zeros(0, np.int64)  # of each n-gram as a context: its own, or if it was not seen its suffix's
+        for n, c in enumerate(counts):
+            suffix = np.zeros(len(c), np.int64) if n == 0 else state[grams.suffix[n]]
+            if n:
+                context = grams.context[n]
+                p = (c + prior * p[grams.suffix[n]]) / (counts[n - 1][context] + prior)
+            seen = np.flatnonzero(c > 0)
+            before, state = state, suffix.copy()
+            if n < len(counts) - 1:
+                state[seen] = len(self.fail) + np.arange(len(seen))
+                self.fail = np.concatenate([self.fail, suffix[seen]])
+                self.backoff = np.concatenate([self.backoff, np.log10(prior / (c[seen] + prior))])
+            if n == 0:
+                self.root = state
+            else:
+                keys.append(before[context[seen]] * self.width + grams.last[n][seen])
+                weights.append(np.log10(p[seen]))
+                targets.append(state[seen])
+        joined = np.concatenate([np.zeros(0, np.int64), *keys])
+        order = np.argsort(joined)
+        self.keys = joined[order]
+        self.weights, self.targets = (np.concatenate([np.zeros(0, kind), *x])[order] for kind, x in ((float, weights), (np.int64, targets)))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log10 weights on the way, and the states after a word each."""
+        weight, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        going, now = np.arange(len(state)), state
+        while len(going):
+            w = word[going]
+            key = now * self.width + w
+            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            root = now == 0
+            found = (self.keys[at] == key) & ~root if len(self.keys) else np.zeros(len(going), bool)
+            weight[going[found]] += self.weights[at[found]]
+            after[going[found]] = self.targets[at[found]]
+            weight[going[root]] += self.base[w[root]]
+            after[going[root]] = self.root[w[root]]
+            rest = ~found & ~root
+            going, now = going[rest], now[rest]
+            weight[going] += self.backoff[now]
+            now = self.fail[now]
+        return weight, after
+
+    def traverse(self, grams: Grams) -> np.ndarray:
+        """The log10 probability of each text."""
+        by_length = np.argsort(-grams.lengths, kind="stable")
+        starts, lengths = grams.starts[by_length], -grams.lengths[by_length]
+        state, total = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        for t in range(int(-lengths[0]) if len(lengths) else 0):
+            n = int(np.searchsorted(lengths, -t))  # so many texts have a word here
+            weight, state[:n] = self.step(state[:n], grams.words[starts[:n] + t])
+            total[:n] += weight
+        out = np.empty(len(total))
+        out[by_length] = total
+        return out
+
+
+_PACKED = "part long, block long, n int, keys binary, counts binary"
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys in order of their first column: how many and how wide, the first one, and the steps from each to the next; then the second column, if any."""
+    steps = np.diff(keys[:, 0])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    head = np.array([len(keys), width, *keys[:1, 0]], "<u8").tobytes()
+    return b"".join([head, np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes(), *(keys[:, i].astype("<u4").tobytes() for i in range(1, keys.shape[1]))])
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data, "<u8", 2).tolist()
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        steps[0] = np.frombuffer(data, np.uint8, 8, 16)
+        steps[1:, :width] = np.frombuffer(data, np.uint8, (n - 1) * width, 24).reshape(-1, width)
+    end = 16 + 8 * (n > 0) + max(0, n - 1) * width
+    first = np.cumsum(steps.view("<u8").ravel().astype(np.uint64))
+    return np.column_stack([first, *([np.frombuffer(data, "<u4", n, end).astype(np.uint64)] if len(data) > end else [])]) if n else np.zeros((0, 1), np.uint64)
+
+
+def _short(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those from 255 on follow in eight."""
+    head = np.array([len(counts)], "<u8").tobytes()
+    return b"".join([head, np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<i8").tobytes()])
+
+
+def _whole(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[8 + n :], "<i8")
     return out
 
 
-def gram_counts(texts: DataFrame, words, levels) -> DataFrame:
-    """(key, n) of the n-grams one longer than the last of levels; key: the beginning's number times the words, plus the last word's."""
-
-    def batches(parts):
-        found, kept = words.value, levels.value
-        width = len(found)
-        for batch in parts:
-            keys, held = [np.zeros(0, np.int64)], 0
-            for text in column_texts(batch, "text"):
-                nums = _numbers(found, text)
-                ids = nums
-                for level in kept:
-                    ids = _extend(ids, nums, level, width)
-                good = (ids[:-1] >= 0) & (nums[1:] >= 0)
-                keys.append(ids[:-1][good] * width + nums[1:][good])
-                held += len(keys[-1])
-                if held > 4_000_000:
-                    keys, held = [np.concatenate(keys)], 0
-                    yield counted(keys[0])
-                    keys = [np.zeros(0, np.int64)]
-            yield counted(np.concatenate(keys))
-
-    def counted(keys):
-        key, n = np.unique(keys, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return texts.select("text").mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Automaton:
-    """Arcs as parallel arrays, by the key state * width + word; state 0 is the root."""
-
-    words: list[bytes]
-    keys: np.ndarray
-    weights: np.ndarray
-    targets: np.ndarray
-    fail: np.ndarray
-    backoff: np.ndarray
-    base: np.ndarray
-
-    def ready(self) -> Automaton:
-        """With what traversals need, made once in each worker."""
-        if not hasattr(self, "arcs"):
-            self.number = {w: i for i, w in enumerate(self.words)}
-            self.arcs = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
-            self.weight, self.target, self.failing, self.falling = self.weights.tolist(), self.targets.tolist(), self.fail.tolist(), self.backoff.tolist()
-            down = [0.0]  # the weight of falling from a state to the root; suffixes have lower numbers
-            for s in range(1, len(self.failing)):
-                down.append(self.falling[s] + down[self.failing[s]])
-            self.down = down
-        return self
-
-    def traverse(self, words: list[bytes]) -> tuple[float, list[int]]:
-        """The log10 probability without that of words outside the automaton at the root, and each word's number."""
-        number, arcs, weight, target, failing, falling, down = self.number, self.arcs, self.weight, self.target, self.failing, self.falling, self.down
-        width, state, total = len(self.words), 0, 0.0
-        nums = list(map(number.get, words, repeat(-1)))
-        for w in nums:
-            if w < 0:
-                total += down[state]
-                state = 0
+def _counted(order: int, parts: int):
+    """Counts a block; a row for each hash range and n: the hashes in order, and how often each occurs in the block's training texts."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams = Grams([tokens(t) for t in pdf["text"]], order)
+        rows = []
+        for n, (keys, own) in enumerate(zip(grams.keys, grams.counts(~pdf["held_out"].to_numpy(bool)), strict=True)):
+            by = np.argsort(keys[:, 0])
+            keys, own = keys[by], own[by]
+            part = ((keys[:, 0] >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+            rows += [(int(part[a]), pdf["block"].iloc[0], n + 1, _packed(keys[a:b]), _short(own[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pd.DataFrame(rows, columns=["part", "block", "n", "keys", "counts"])
+
+    return run
+
+
+def _summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the entries of some rows of one n: their hashes, counts, the counts of all rows together, and whether an entry is its hash's first."""
+    keys = np.concatenate([_unpacked(k) for k in rows["keys"]])
+    own = np.concatenate([_whole(c) for c in rows["counts"]])
+    order = np.lexsort(keys.T[::-1])
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+    sums = np.add.reduceat(own[order], np.flatnonzero(new))
+    total, first = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+    total[order] = sums[np.cumsum(new) - 1]
+    first[order] = new
+    return keys, own, total, first
+
+
+def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each block and n the hashes whose count is not the block's own, with their counts; for words a row in any case."""
+    out = []
+    for n, rows in pdf.groupby("n", sort=False):
+        keys, own, total, _ = _summed(rows)
+        ends = np.cumsum([len(_whole(c)) for c in rows["counts"]])
+        for block, a, b in zip(rows["block"], [0, *ends[:-1]], ends, strict=True):
+            other = np.flatnonzero(total[a:b] != own[a:b]) + a
+            if len(other) or n == 1:
+                out.append((block, n, _packed(keys[other]), _short(total[other])))
+    return pd.DataFrame(out, columns=["block", "n", "keys", "counts"])
+
+
+def _sizes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(total, distinct) training tokens of a hash range."""
+    rows = pdf[pdf["n"] == 1]
+    if not len(rows):
+        return pd.DataFrame({"total": [0], "distinct": [0]})
+    _, own, total, first = _summed(rows)
+    return pd.DataFrame({"total": [own.sum()], "distinct": [(first & (total > 0)).sum()]})
+
+
+def _scored(order: int, prior: float):
+    def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        grams = Grams([tokens(t) for t in texts["text"]], order)
+        counts = grams.counts(~texts["held_out"].to_numpy(bool))
+        for n, rows in answers.groupby("n"):
+            told = [k for k in map(_unpacked, rows["keys"]) if len(k)]
+            if not told:
                 continue
-            arc = arcs.get(state * width + w)
-            while arc is None:
-                total += falling[state]
-                state = failing[state]
-                arc = arcs.get(state * width + w)
-            total += weight[arc]
-            state = target[arc]
-        return total, nums
-
-
-def build_automaton(words: list[bytes], counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], total: int, distinct: int, discount: float = DISCOUNT) -> Automaton:
-    """words are sorted and have counts; levels: the sorted keys and the counts of 2-grams, 3-grams and so on."""
-    width = len(words)
-    prob = (counts + 1) / (total + distinct + 1)
-    base = np.log10(prob)
-    state = 1 + np.arange(width)
-    keys, weights, targets = [np.arange(width)], [base], [state]
-    fail, backoff = np.zeros(1 + width, np.int64), np.zeros(1 + width)
-    # Of the order below: the n-grams' sorted keys, counts, probabilities, states, and their suffixes' numbers one order further down.
-    low_keys, low_counts, low_prob, low_suffix = keys[0], counts, prob, np.zeros(width, np.int64)
-    for n, (level, n_of) in enumerate(levels):
-        before, last = level // width, level % width
-        kept = (n_of - discount) / low_counts[before]
-        freed = 1 - np.bincount(before, weights=kept, minlength=len(low_counts))
-        suffix = np.searchsorted(low_keys, low_suffix[before] * width + last)  # kept, as it occurs at least as often
-        p = kept + freed[before] * low_prob[suffix]
-        backoff[state] = np.log10(np.maximum(freed, 1e-12))
-        keys.append(state[before] * width + last)
-        weights.append(np.log10(p))
-        if n == len(levels) - 1:  # n-grams of the top order are no contexts
-            targets.append(state[suffix])
-            break
-        fail = np.concatenate([fail, state[suffix]])
-        state = len(fail) - len(level) + np.arange(len(level))
-        backoff = np.concatenate([backoff, np.zeros(len(level))])
-        targets.append(state)
-        low_keys, low_counts, low_prob, low_suffix = level, n_of, p, suffix
-    joined = np.concatenate(keys)
-    order = np.argsort(joined, kind="stable")
-    return Automaton(words, joined[order], np.concatenate(weights)[order], np.concatenate(targets)[order], fail, backoff, base)
-
-
-def train(texts: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> tuple[Automaton, DataFrame, int, int]:
-    """(automaton, the counts of all words, N, V) from column text. An empty table gives an automaton without arcs."""
-    counts = checkpointed(word_counts(texts))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(total * min_share))
-    frequent = counts.where(F.col("n") >= least).orderBy("word").toPandas()  # at most 1 / min_share rows
-    words = [w.encode() for w in frequent["word"]]
-    context = texts.sparkSession.sparkContext
-    numbers = context.broadcast({w: i for i, w in enumerate(words)})
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(2, order + 1):
-        grams = gram_counts(texts, numbers, context.broadcast([k for k, _ in levels]))
-        found = grams.where(F.col("n") >= least).orderBy("key").toPandas()  # at most 1 / min_share rows
-        if not len(found):
-            break
-        levels.append((found["key"].to_numpy(), found["n"].to_numpy()))
-    return build_automaton(words, frequent["n"].to_numpy(dtype=np.int64), levels, total, distinct), counts, total, distinct
-
-
-def score(docs: DataFrame, automaton: Automaton, counts: DataFrame, total: int, distinct: int) -> DataFrame:
-    """docs (doc_id, text, held_out) as (doc_id, held_out, n_tokens, n_known, base_score, score)."""
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def batches(parts):
-        model, at = sent.value.ready(), TaskContext.get().partitionId() << 33
-        for batch in parts:
-            rows = []
-            for text in column_texts(batch, "text"):
-                words = tokens(text)
-                logp, nums = model.traverse(words)
-                known = [n for n in nums if n >= 0]
-                rest = [w.decode() for w, n in zip(words, nums, strict=True) if n < 0]
-                rows.append((at, len(words), len(known), float(model.base[known].sum()), logp, rest))
-                at += 1
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
-    passed = checkpointed(docs.select("doc_id", "held_out", "text").mapInArrow(batches, f"doc_id {id_kind}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rest array<string>"))
-    # Words outside the automaton have their counts joined; each is rare, so none is a hot key.
-    rest = passed.select("row", F.explode("rest").alias("word")).join(counts, "word", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
-    added = rest.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("more_known"), F.sum(F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))).alias("more"))
-    whole = passed.drop("rest").join(added, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
-
-
-def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, order: int = ORDER) -> DataFrame:
+            keys = np.concatenate(told)
+            own = grams.keys[n - 1]
+            by = np.lexsort(own.T[::-1])
+            # Every answered hash is one of the block's own; where words share the first half, the second tells.
+            at = np.searchsorted(own[by, 0], keys[:, 0])
+            if n == 1:
+                while (wrong := own[by[at], 1] != keys[:, 1]).any():
+                    at[wrong] += 1
+            counts[n - 1][by[at]] = np.concatenate([_whole(c) for c in rows["counts"]])
+        total, distinct = (int(answers[c].iloc[0]) for c in ("total", "distinct"))
+        automaton = Automaton(grams, counts, total, distinct, prior)
+        known = counts[0][grams.words] > 0
+        return pd.DataFrame(
+            {
+                "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": grams.lengths, "n_known": np.add.reduceat(known.astype(np.int64), grams.starts), "train_tokens": total,
+                "base_score": np.add.reduceat(automaton.base[grams.words], grams.starts), "score": automaton.traverse(grams),
+            }
+        )
+
+    return run
+
+
+def score(rows: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
+    """rows (doc_id, held_out, text) as (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), by what those that are not held out say."""
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    dealt = rows.select("doc_id", F.coalesce("held_out", F.lit(True)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    # Texts are shuffled once: counting and scoring read the same exchange, and so do the sums and the sizes.
+    counted = dealt.groupBy("block").applyInPandas(_counted(order, blocks), _PACKED)
+    answers = counted.groupBy("part").applyInPandas(_answered, "block long, n int, keys binary, counts binary")
+    sizes = counted.groupBy("part").applyInPandas(_sizes, "total long, distinct long").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"))
+    told = answers.join(F.broadcast(sizes))  # one row
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_scored(order, prior), out)
+
+
+def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """Scores every row of docs by what those outside the held-out fold say.
 
     Null and empty texts are an end token alone. Repeated rows train and are scored each; null ids
     are scored, and train if the fold of an empty text does. An empty table gives an empty one.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), (fold_of(doc_id, folds) == held_out).alias("held_out"), F.col(text).alias("text"))
-    automaton, counts, total, distinct = train(rows.where(~F.col("held_out")), order)
-    return score(rows, automaton, counts, total, distinct).withColumn("train_tokens", F.lit(total).cast("long"))
+    return score(rows, order, prior)
