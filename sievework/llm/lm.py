@@ -1,8 +1,8 @@
 """Language-model scores by a weighted backoff automaton.
 
 Texts are dealt out into blocks of bounded size. A block counts the n-grams of its training texts and
-names those of all its texts, by hashes, packed by ranges of the hash; a range's task adds up what the
-blocks have counted and answers each block with the counts that differ from its own. So every n-gram of
+names those of all its texts, by hashes in order, packed by ranges of the hash; a range's task adds up
+what the blocks have counted and answers each block with the sums, in the order of the block's hashes. So every n-gram of
 the corpus counts, whatever the corpus' size, each block has the exact counts of what its texts hold, and
 neither the driver nor any task holds a model of the whole.
 
@@ -172,6 +172,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.column_stack([first, *([np.frombuffer(data, "<u4", n, end).astype(np.uint64)] if len(data) > end else [])]) if n else np.zeros((0, 1), np.uint64)
 
 
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """The order of keys, which every pass over a block's texts makes alike; keys that are equal have equal sums."""
+    return np.lexsort(keys.T[::-1])
+
+
 def _short(counts: np.ndarray) -> bytes:
     """Counts in a byte each; those from 255 on follow in eight."""
     head = np.array([len(counts)], "<u8").tobytes()
@@ -192,7 +197,7 @@ def _counted(order: int, parts: int):
         grams = Grams([tokens(t) for t in pdf["text"]], order)
         rows = []
         for n, (keys, own) in enumerate(zip(grams.keys, grams.counts(~pdf["held_out"].to_numpy(bool)), strict=True)):
-            by = np.argsort(keys[:, 0])
+            by = in_order(keys)
             keys, own = keys[by], own[by]
             part = ((keys[:, 0] >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
@@ -217,16 +222,14 @@ def _summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block and n the hashes whose count is not the block's own, with their counts; for words a row in any case."""
+    """For each block and n the sums of the hashes that it has named, in their order."""
     out = []
     for n, rows in pdf.groupby("n", sort=False):
-        keys, own, total, _ = _summed(rows)
-        ends = np.cumsum([len(_whole(c)) for c in rows["counts"]])
-        for block, a, b in zip(rows["block"], [0, *ends[:-1]], ends, strict=True):
-            other = np.flatnonzero(total[a:b] != own[a:b]) + a
-            if len(other) or n == 1:
-                out.append((block, n, _packed(keys[other]), _short(total[other])))
-    return pd.DataFrame(out, columns=["block", "n", "keys", "counts"])
+        _, own, total, _ = _summed(rows)
+        sizes = [len(_whole(c)) for c in rows["counts"]]
+        cuts = np.cumsum([0, *sizes])
+        out += [(block, part, n, _short(total[a:b])) for block, part, a, b in zip(rows["block"], rows["part"], cuts, cuts[1:], strict=False)]
+    return pd.DataFrame(out, columns=["block", "part", "n", "counts"])
 
 
 def _sizes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,20 +244,13 @@ def _sizes(pdf: pd.DataFrame) -> pd.DataFrame:
 def _scored(order: int, prior: float):
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         grams = Grams([tokens(t) for t in texts["text"]], order)
-        counts = grams.counts(~texts["held_out"].to_numpy(bool))
-        for n, rows in answers.groupby("n"):
-            told = [k for k in map(_unpacked, rows["keys"]) if len(k)]
-            if not told:
-                continue
-            keys = np.concatenate(told)
-            own = grams.keys[n - 1]
-            by = np.lexsort(own.T[::-1])
-            # Every answered hash is one of the block's own; where words share the first half, the second tells.
-            at = np.searchsorted(own[by, 0], keys[:, 0])
-            if n == 1:
-                while (wrong := own[by[at], 1] != keys[:, 1]).any():
-                    at[wrong] += 1
-            counts[n - 1][by[at]] = np.concatenate([_whole(c) for c in rows["counts"]])
+        counts = []
+        for n, keys in enumerate(grams.keys):
+            rows = answers[answers["n"] == n + 1].sort_values("part")
+            sums = np.zeros(len(keys), np.int64)
+            if len(rows):
+                sums[in_order(keys)] = np.concatenate([_whole(c) for c in rows["counts"]])
+            counts.append(sums)
         total, distinct = (int(answers[c].iloc[0]) for c in ("total", "distinct"))
         automaton = Automaton(grams, counts, total, distinct, prior)
         known = counts[0][grams.words] > 0
@@ -275,7 +271,7 @@ def score(rows: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFram
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     # Texts are shuffled once: counting and scoring read the same exchange, and so do the sums and the sizes.
     counted = dealt.groupBy("block").applyInPandas(_counted(order, blocks), _PACKED)
-    answers = counted.groupBy("part").applyInPandas(_answered, "block long, n int, keys binary, counts binary")
+    answers = counted.groupBy("part").applyInPandas(_answered, "block long, part long, n int, counts binary")
     sizes = counted.groupBy("part").applyInPandas(_sizes, "total long, distinct long").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"))
     told = answers.join(F.broadcast(sizes))  # one row
     kind = rows.schema["doc_id"].dataType.simpleString()
