@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extract, linededup, lm, packing, quality, rindex, secrets, sharding, simhash
+from . import decontam, extract, linededup, lm, packing, quality, rindex, secrets, sharding, simhash, tokalign, toxicity, veccodes
 from .common import table
 
 
@@ -66,7 +66,20 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_extract, op5_lm_score, op6_line_dedup, op7_packing, op8_repeats, op9_decontaminate, op10_shards)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = veccodes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_extract, op5_lm_score, op6_line_dedup, op7_packing, op8_repeats, op9_decontaminate, op10_shards, op11_toxicity, op12_vector_codes, op13_alignment)}
 
 _BLANK = r"[\x20\x09-\x0D]"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
