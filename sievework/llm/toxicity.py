@@ -34,6 +34,8 @@ from .common import column_texts, stored
 MOST_CONFIRMED = 20_000
 #: A word's beginnings of so many letters are features beside it, as one stem may have many endings.
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: A word or beginning stands densely in a text if it stands twice or more, and once in so many words or more.
+DENSE = 128
 #: Different examples that a feature must stand in.
 LEAST_SUPPORT = 4
 #: Features that are counted over all texts at most: those in most examples.
@@ -44,10 +46,10 @@ VOCABULARY = 4096
 LEAST_EXCESS = 17.0
 #: So many features of an example are enough.
 COVERS = 4
-STEPS = 24
+STEPS = 32
 RATE = 0.15
 #: How far a feature's weight may start.
-LARGEST_START = 6.0
+LARGEST_START = 7.0
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose features a task remembers.
@@ -56,31 +58,54 @@ _CACHE = 300_000
 _BANDS = 6
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct runs of letters of a text, in lower case."""
-    return set(_WORD.findall(text.lower()))
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    return _WORD.findall(text.lower())
 
 
-def features_of(words: set[str]) -> set[str]:
-    """The words, and their beginnings with a hyphen."""
-    return words | {f"{w[:n]}-" for w in words for n in BEGINNINGS if len(w) > n}
+def bases_of(word: str) -> list[str]:
+    """A word, and its beginnings with a hyphen."""
+    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
+
+
+def is_dense(n: int, words: int) -> bool:
+    return n >= 2 and n * DENSE >= words
+
+
+def features_of(text: str) -> set[str]:
+    """The words and beginnings of a text; those that stand densely in it are there with a plus sign too."""
+    words = words_of(text)
+    counts: Counter = Counter()
+    for word, n in Counter(words).items():
+        for base in bases_of(word):
+            counts[base] += n
+    return counts.keys() | {f"{b}+" for b, n in counts.items() if is_dense(n, len(words))}
 
 
 class Finder:
-    """The numbers of a text's features in a list of them. What a word has is remembered."""
+    """The numbers of a text's features in a list of them, in order. What a word has is remembered."""
 
     def __init__(self, features: list[str]):
-        self._place = {f: i for i, f in enumerate(features)}
-        self._known: dict[str, tuple[int, ...]] = {}
+        place = {f: i for i, f in enumerate(features)}
+        bases = dict.fromkeys(f.removesuffix("+") for f in features)
+        self._base = {b: i for i, b in enumerate(bases)}
+        self._plain, self._dense = [place.get(b) for b in bases], [place.get(f"{b}+") for b in bases]
+        self._known: dict[str, list[int]] = {}
 
     def __call__(self, text: str) -> list[int]:
         words, known = words_of(text), self._known
         if len(known) > _CACHE:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = tuple(self._place[f] for f in features_of({w}) if f in self._place)
-        return sorted(set(chain.from_iterable(map(known.__getitem__, words))))
+        counts: dict[int, int] = {}
+        for w, n in Counter(words).items():
+            own = known.get(w)
+            if own is None:
+                own = known[w] = [self._base[b] for b in bases_of(w) if b in self._base]
+            for b in own:
+                counts[b] = counts.get(b, 0) + n
+        out = [self._plain[b] for b in counts]
+        out += [self._dense[b] for b, n in counts.items() if is_dense(n, len(words))]
+        return sorted(i for i in out if i is not None)
 
 
 def fold(doc_id: str = "doc_id", folds: int = 3) -> Column:
@@ -126,9 +151,9 @@ def confirmed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def batches(parts):
         for batch in parts:
-            words = [words_of(t) for t in column_texts(batch, "text")]
-            listed = pa.array([sorted(features_of(w)) for w in words], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), listed, pa.array([_bands(w) for w in words], pa.list_(pa.int64()))], ["key", "features", "bands"])
+            texts = column_texts(batch, "text")
+            listed = pa.array([sorted(features_of(t)) for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), listed, pa.array([_bands(set(words_of(t))) for t in texts], pa.list_(pa.int64()))], ["key", "features", "bands"])
 
     found = stored(rows.mapInArrow(batches, "key long, features array<string>, bands array<long>"))
     bands = found.select("key", F.explode("bands").alias("band"))
@@ -235,8 +260,9 @@ def _telling(features: list[str], counts: np.ndarray, of_all: np.ndarray, excess
     place = {f: i for i, f in enumerate(features)}
     implied = set()
     for i, f in enumerate(features):
+        base, dense = f.removesuffix("+").removesuffix("-"), "+" * f.endswith("+")
         for n in BEGINNINGS:
-            at = place.get(f"{f[:n]}-") if n < len(f.rstrip("-")) else None
+            at = place.get(f"{f[:n]}-{dense}") if n < len(base) else None
             if at is not None and counts[at] == counts[i] and of_all[at] == of_all[i]:
                 implied.add(at)
     return [i for i in np.argsort(-excess, kind="stable").tolist() if excess[i] >= LEAST_EXCESS and i not in implied][:VOCABULARY]
@@ -292,10 +318,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     examples = [[taken[f] for f in own if f in taken] for own in examples]
     chosen = [chosen[f] for f in taken]
     features = [features[i] for i in chosen]
-    # A feature's chance to mark a toxic text; what it adds to the prior's log odds is where its weight starts.
+    # A feature's chance to mark a toxic text; what it adds to the prior's log odds, as far as it can be relied on, is where its weight starts.
     chance = np.clip(prior * counts[chosen] / toxic / np.maximum(of_all[chosen] / total, 1e-12), 1e-3, 1 - 1e-3)
     bias = np.log(prior / (1 - prior))
-    weights = np.clip(np.log(chance / (1 - chance)) - bias, 0, LARGEST_START)
+    weights = np.clip(np.log(chance / (1 - chance)) - bias, 0, LARGEST_START) * chance
     return fit(stored(_sets(texts, features)), examples, features, weights, float(bias), prior, total)
 
 
