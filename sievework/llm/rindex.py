@@ -298,7 +298,7 @@ def _cut_up(docs: DataFrame, length: int) -> DataFrame:
         marked = rows[:, 5] == 1
         with np.errstate(over="ignore"):
             rows[marked, 0] = ((rows[marked, 1] + rows[marked, 3]).astype(np.uint64) * _A).view(np.int64)
-        columns = [pa.array(rows[:, i]) for i in range(2)] + [pa.array(rows[:, i].astype(np.int32)) for i in (2, 3, 4)] + [pa.array(marked)]
+        columns = [pa.array(rows[:, i]) for i in range(3)] + [pa.array(rows[:, i].astype(np.int32)) for i in (3, 4)] + [pa.array(marked)]
         return pa.RecordBatch.from_arrays(columns, ["hash", "doc", "of", "low", "high", "marked"])
 
     def batches(parts):
@@ -314,7 +314,7 @@ def _cut_up(docs: DataFrame, length: int) -> DataFrame:
         if lot:
             yield written(lot)
 
-    return docs.select("doc", "of", "text").mapInArrow(batches, "hash long, doc long, of int, low int, high int, marked boolean")
+    return docs.select("doc", "of", "text").mapInArrow(batches, "hash long, doc long, of long, low int, high int, marked boolean")
 
 
 def _blocks(data: bytes, low: int, high: int, length: int):
@@ -345,10 +345,10 @@ def _pieces(docs: DataFrame, length: int) -> DataFrame:
                     else:
                         out.append((r["hash"], doc, of, r["low"], data[r["low"] : r["high"] + length]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc", "of", "low", "data"])
 
-    return docs.mapInArrow(batches, "key long, doc long, of int, low int, data binary")
+    return docs.mapInArrow(batches, "key long, doc long, of long, low int, data binary")
 
 
 def _marks(pieces: DataFrame, length: int) -> DataFrame:
@@ -357,7 +357,7 @@ def _marks(pieces: DataFrame, length: int) -> DataFrame:
     def written(done):
         out = [(*document, a, b) for _, document, a, b, marked in done if marked]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "of", "low", "high"])
 
     def batches(parts):
@@ -368,7 +368,7 @@ def _marks(pieces: DataFrame, length: int) -> DataFrame:
         yield written(marker.finish())
 
     ordered = pieces.repartition("key").sortWithinPartitions("key", "doc", "of", "low")
-    return ordered.mapInArrow(batches, "doc long, of int, low int, high int")
+    return ordered.mapInArrow(batches, "doc long, of long, low int, high int")
 
 
 def _merged(ranges) -> list[tuple[int, int]]:
@@ -384,12 +384,12 @@ def _merged(ranges) -> list[tuple[int, int]]:
 def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, text, ranges) of each row of docs; ranges: byte ranges that cover what also starts earlier, or null.
 
-    Order is by doc_id, a null id being the largest, and among rows that share one by a 32-bit hash
+    Order is by doc_id, a null id being the largest, and among rows that share one by a 64-bit hash
     of their texts. Rows equal in both are one document, and each gets that document's result. Null
     texts are empty; texts below `length` bytes have no range. An empty table gives an empty one.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    named = source.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.hash("text").alias("of"))
+    named = source.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("of"))
     counted = _cut_up(named, length).withColumn("n", F.count("*").over(Window.partitionBy("hash")))
     found = stored(counted.where("marked or n > 1").select("hash", "doc", "of", "low", "high", "marked", (F.col("n") > MANY).alias("many")))
     shared = found.where("not marked").groupBy("doc", "of").agg(F.collect_list(F.struct("hash", "low", "high", "many")).alias("rows"))

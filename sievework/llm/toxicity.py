@@ -128,14 +128,17 @@ class Model:
 
 
 def _sigmoid(g: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+    return np.where(g == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(g, -500, 500))))
 
 
-def _bands(words: set[str]) -> list[int]:
-    """Keys that near copies are likely to share: the least hashes of their words under several seeds, two by two."""
-    names = [w.encode() for w in words]
-    least = [min((xxhash.xxh3_64_intdigest(w, seed) for w in names), default=0) for seed in range(2 * _BANDS)]
-    return [xxhash.xxh3_64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little"), i) - (1 << 63) for i, (a, b) in enumerate(zip(least[::2], least[1::2], strict=True))]
+def _bands(words: list[str]) -> list[int]:
+    """Keys that near copies are likely to share: the least hashes of their shingles of five words under several mixings, two by two."""
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles), np.uint64, len(shingles))
+    with np.errstate(over="ignore"):
+        mixed = [(hashes ^ (hashes >> np.uint64(29))) * np.uint64(2 * xxhash.xxh3_64_intdigest(b"band", i) % (1 << 64) | 1) for i in range(2 * _BANDS)]
+        least = [(x ^ (x >> np.uint64(32))).min() for x in mixed]
+    return [xxhash.xxh3_64_intdigest(a.tobytes() + b.tobytes(), i) - (1 << 63) for i, (a, b) in enumerate(zip(least[::2], least[1::2], strict=True))]
 
 
 def confirmed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def confirmed(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in parts:
             texts = column_texts(batch, "text")
             listed = pa.array([sorted(features_of(t)) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), listed, pa.array([_bands(set(words_of(t))) for t in texts], pa.list_(pa.int64()))], ["key", "features", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), listed, pa.array([_bands(words_of(t)) for t in texts], pa.list_(pa.int64()))], ["key", "features", "bands"])
 
     found = stored(rows.mapInArrow(batches, "key long, features array<string>, bands array<long>"))
     bands = found.select("key", F.explode("bands").alias("band"))
