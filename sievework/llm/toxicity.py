@@ -33,7 +33,7 @@ from .common import column_texts, stored
 #: Confirmed examples that are learned from at most.
 MOST_CONFIRMED = 20_000
 #: A word's beginnings of so many letters are features beside it, as one stem may have many endings.
-BEGINNINGS = (3, 4, 5, 6, 7)
+BEGINNINGS = (3, 5, 7)
 #: A word or beginning stands densely in a text if it stands twice or more, and once in so many words or more.
 DENSE = 128
 #: Different examples that a feature must stand in.
@@ -123,8 +123,11 @@ class Model:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """The chance that each text is labelled toxic."""
-        find = Finder(self.features)
-        return _sigmoid(np.array([self.weights[find(t)].sum() for t in texts], np.float64) + self.bias)
+        return self.of_features(list(map(Finder(self.features), texts)))
+
+    def of_features(self, numbers: list[list[int]]) -> np.ndarray:
+        row, feature = _flat(numbers)
+        return _sigmoid(np.bincount(row, self.weights[feature], minlength=len(numbers)) + self.bias)
 
 
 def _sigmoid(g: np.ndarray) -> np.ndarray:
@@ -183,23 +186,16 @@ def _held(docs: DataFrame, features: list[str]) -> tuple[int, np.ndarray]:
     return int(out[-1]), out[:-1]
 
 
-def _sets(docs: DataFrame, features: list[str]) -> DataFrame:
-    """(features, n): the different sets of features' numbers that texts hold, and how many texts hold each."""
+def with_features(docs: DataFrame, features: list[str]) -> DataFrame:
+    """(doc_id, features) of each row of docs (doc_id, text): the numbers of the features that its text has, mostly few."""
 
     def batches(parts):
-        def written(found):
-            keys = pa.array([list(k) for k in found], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([keys, pa.array(list(found.values()), pa.int64())], ["features", "n"])
-
-        find, found = Finder(features), Counter()
+        find = Finder(features)
         for batch in parts:
-            found.update(tuple(find(t)) for t in column_texts(batch, "text"))
-            if len(found) > 1 << 16:
-                yield written(found)
-                found.clear()
-        yield written(found)
+            own = [find(t) for t in column_texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "features"])
 
-    return docs.select("text").mapInArrow(batches, "features array<int>, n long").groupBy("features").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, features array<int>")
 
 
 def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
@@ -285,18 +281,19 @@ def _covering(examples: list[list[int]], n_features: int) -> list[int]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None) -> Model:
-    """A model from the labels (doc_id, toxic) for which `learn` holds, all of them if it is not given, and from all texts.
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None) -> tuple[Model, DataFrame]:
+    """A model, and the stored with_features() of docs, from the labels (doc_id, toxic) for which `learn` holds, all of them if it is not given, and from all texts.
 
     `learn` is over column doc_id. An id is confirmed if any of its labels is 1; null labels say nothing, null ids and labels of no
     document do not count as examples. Null and empty texts have no words. Without a confirmed example nothing is toxic.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    nothing = texts.select("doc_id", F.array().cast("array<int>").alias("features"))
     told = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null")
     told = told.where(F.lit(True) if learn is None else learn).groupBy("doc_id").agg(F.max(F.col("label") == 1).alias("is_toxic"))
     n, n_toxic = told.agg(F.count("*"), F.count_if("is_toxic")).first()
     if not n_toxic:
-        return Model()
+        return Model(), nothing
     prior = min(n_toxic / n, 0.5)
     ids = told.where("is_toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_CONFIRMED).select("doc_id")
     known = stored(confirmed(texts, ids))
@@ -306,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     features, counts = [f for f, _ in support], np.array([c for _, c in support], np.int64)
     total, of_all = _held(texts, features)
     if not toxic or not total:
-        return Model()
+        return Model(), nothing
     excess = _excess(counts, toxic, of_all, total)
     chosen = _telling(features, counts, of_all, excess)
     place = {features[c]: i for i, c in enumerate(chosen)}
@@ -325,18 +322,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chance = np.clip(prior * counts[chosen] / toxic / np.maximum(of_all[chosen] / total, 1e-12), 1e-3, 1 - 1e-3)
     bias = np.log(prior / (1 - prior))
     weights = np.clip(np.log(chance / (1 - chance)) - bias, 0, LARGEST_START) * chance
-    return fit(stored(_sets(texts, features)), examples, features, weights, float(bias), prior, total)
+    found = stored(with_features(texts, features))  # texts are read once for the fit and for the scores
+    sets = stored(found.groupBy("features").agg(F.count("*").alias("n")))
+    return fit(sets, examples, features, weights, float(bias), prior, total), found
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of each row of docs. Null and empty texts have the score of a text without telling words; null and repeated ids are carried."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _scored(with_features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model.features), model)
+
 
+def _scored(found: DataFrame, model: Model) -> DataFrame:
     def batches(parts):
         for batch in parts:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model(column_texts(batch, "text")), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.of_features(batch.column("features").to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return named.mapInArrow(batches, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, score double")
+    return found.mapInArrow(batches, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -344,6 +345,5 @@ def train_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
     predicted is 1 from a score of THRESHOLD on. An empty table gives an empty one; without labels all scores are 0.
     """
-    model = train(docs, labels, doc_id, text, label, fold() != 1)
-    found = score(docs, model, doc_id, text)
-    return found.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model, found = train(docs, labels, doc_id, text, label, fold() != 1)
+    return _scored(found, model).select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
