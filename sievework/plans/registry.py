@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import alerts, catalog, classify, html, policy, quality, reconcile, runs
-from ..sources import inventory, storage
+from ..sources import inventory, storage, textindex
+from ..sources.commits import CommittedTable
 from ..sources.storage import checkpointed, remove, shared_folder
 from ..streaming import runs as stream
 from . import bindings as B
@@ -609,24 +610,22 @@ def _stream(spark, d, make=None, each=None) -> DataFrame:
     log = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = log.select(F.percentile_approx("ts", [1 / 3, 2 / 3])).first()[0] or []
     third = sum((F.when(F.col("ts") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    for n in range(len(cuts) + 1):  # files of later writes are later batches
-        log.where(third == n).coalesce(1).write.mode("append").parquet(f"{home}/in")
-    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    own = spark.newSession()  # stateful processors need a state store that other queries need not have
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = own.readStream.schema(log.schema).parquet(f"{home}/in")
     if each:
         stream_of, mode, keep = events, "append", each(f"{home}/out")
     else:
         stream_of, mode = make(events)
         keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{home}/out/version={n:012d}")
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what stateful processors need
-    try:
+    for n in range(len(cuts) + 1):  # a batch takes up what has arrived since the one before
+        log.where(third == n).write.mode("append").parquet(f"{home}/in")
         stream_of.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(store, before)
     for part in ("in", "state"):
         remove(spark, f"{home}/{part}")
-    return spark.read.parquet(f"{home}/out")
+    return CommittedTable(spark, f"{home}/out").read() if each else spark.read.parquet(f"{home}/out")
 
 
 @query(_L1.replace("SELECT user_id, status, m::INTEGER", "SELECT user_id::VARCHAR AS source_id, 'k' AS key, status, m::INTEGER"))
@@ -654,7 +653,7 @@ def t4_reconcile_stream(spark, d):
     observed = lambda batch: batch.where("event_type <> 'error'").select(F.col("user_id").alias("chair_id"), F.col("event_type").alias("stable_source_key"), *(F.lit(x).cast("string").alias(c) for c, x in (("title", "t"), ("summary", None), ("content_hash", "h"))), F.lit(None).cast("date").alias("published_at")).distinct()
     runs_of = lambda batch: batch.groupBy(F.col("user_id").alias("chair_id")).agg(F.when(F.bool_or(F.col("event_type") == "error"), "failed").otherwise("success").alias("run_status"), F.max("ts").alias("now"))
     rows = _stream(spark, d, each=lambda root: stream.reconcile_onto(observed, runs_of, root, _LISTED))
-    return rows.where(F.col("version") == rows.agg(F.max("version")).first()[0]).select("chair_id", "stable_source_key", "status", "consecutive_misses")
+    return rows.select("chair_id", "stable_source_key", "status", "consecutive_misses")
 
 
 @query(f"WITH {B.RUNS}, {_STREAK} SELECT source_id::VARCHAR AS source_id, consecutive_failures FROM streaks")
@@ -716,10 +715,35 @@ def s8_appended(spark, d):
     home = f"{shared_folder(spark)}/appended-{uuid.uuid4().hex}"
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_id"), F.sha2("text", 256).alias("content_hash"))
     keys = ["source_id", "content_hash"]
-    storage.append_new(rows.where("doc_id % 2 = 0").select(*keys), f"{home}/log", keys)
-    storage.append_new(rows.select(*keys), f"{home}/log", keys, spark.read.parquet(f"{home}/log"))
-    found = spark.read.parquet(f"{home}/log")
-    return spark.read.parquet(storage.write_snapshot(found.withColumn("stored", F.lit(found.count()).cast("long")), f"{home}/snapshots", 1))
+    for n, part in enumerate(("doc_id % 2 = 0", "true", "true")):
+        storage.append_new(rows.where(part).select(*keys), f"{home}/log", keys, ("query", min(n, 1)))  # the last batch is a repeated one
+    found = CommittedTable(spark, f"{home}/log").read()
+    storage.write_snapshot(found.withColumn("stored", F.lit(found.count()).cast("long")), f"{home}/snapshots")
+    return CommittedTable(spark, f"{home}/snapshots").read()
+
+
+@query("WITH k AS (SELECT source AS source_id, sha256(text) AS content_hash, min(doc_id % 3) AS version FROM documents GROUP BY ALL) SELECT source_id, content_hash, version, (SELECT count(*) FROM k) AS newest, (SELECT count(*) FROM k WHERE version = 0) AS oldest FROM k WHERE version < 2")
+def s8_versions(spark, d):
+    """Three batches, each repeated; the version before the newest is read, with the other versions' sizes."""
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 3).alias("version"), F.col("source").alias("source_id"), F.sha2("text", 256).alias("content_hash"))
+    made = CommittedTable(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}")
+    for n in (0, 0, 1, 1, 2):
+        made.append_new(rows.where(F.col("version") == n), ["source_id", "content_hash"], ("query", n))
+    oldest, before, newest = made.versions()
+    sizes = [F.lit(made.read(v).count()).cast("long").alias(name) for v, name in ((newest, "newest"), (oldest, "oldest"))]
+    return made.read(before).select("source_id", "content_hash", "version", *sizes)
+
+
+_STORED = ("reference_code", "title", "summary", "chair")
+
+
+@query(f"WITH {B.CATALOG}, q AS (SELECT unnest(['total 12', 'ps-1002', 'customer#000000007']) AS query) SELECT query, id, title FROM catalog, q WHERE contains(lower(reference_code || ' ' || title || ' ' || coalesce(summary, '') || ' ' || chair), query)")
+def f3_stored_search(spark, d):
+    """The catalogue stored with its index, and what three searches find in it."""
+    made = CommittedTable(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    textindex.write_searchable(made, _catalog(spark, d).select("id", "slug", *_STORED), "slug", _STORED)
+    found = [textindex.search_stored(made, q, _STORED).select(F.lit(q.lower()).alias("query"), "id", "title") for q in ("Total 12", "PS-1002", "Customer#000000007")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(f"WITH {B.CATALOG}, n AS (SELECT count(*) AS total FROM catalog) SELECT slug, title FROM catalog ORDER BY lower(title), slug LIMIT 100 OFFSET (SELECT (greatest(1, (total + 99) // 100) - 1) * 100 FROM n)")
@@ -740,6 +764,14 @@ def j9_terms(spark, d):
     return classify.with_terms(docs, "said", words).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
+@query("WITH t AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) > 2), found AS (SELECT doc_id, list_sort(list(term)) AS terms FROM documents JOIN t ON contains(lower(text), term) GROUP BY doc_id) SELECT doc_id, coalesce(len(terms), 0) AS n_terms, sha256(coalesce(array_to_string(terms, ','), '')) AS terms FROM documents LEFT JOIN found USING (doc_id)")
+def j9_every_word(spark, d):
+    """Which of all words of all documents each document holds, also inside other words."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("said"))
+    words = docs.select(F.explode(F.regexp_extract_all("said", F.lit("[a-z]+"), F.lit(0))).alias("term")).where(F.length("term") > 2)
+    return classify.with_terms(docs, "said", words).select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", ","), 256).alias("terms"))
+
+
 @query(f"WITH {B.CATALOG} SELECT id, chair FROM catalog WHERE department IN (SELECT n_name FROM nation)")
 def f10_known_selection(spark, d):
     names = [r[0] for r in B.departments(spark, d).select("name").collect()]  # 25; an unknown one would be an error

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import storage_key
+from .commits import CommittedTable
 
 
 def read_pages(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
@@ -20,19 +21,14 @@ def read_pages(spark: SparkSession, path: str, manifest: DataFrame | None = None
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.sha2("content", 256).alias("content_hash")).join(manifest, "file")
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """Writes a whole table as a new version beside the ones before; readers keep theirs until they turn to the new path."""
-    path = f"{root.rstrip('/')}/version={version:012d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+def write_snapshot(df: DataFrame, root: str, batch: tuple[str, int] | None = None) -> int:
+    """Commits a whole table as the next version of a CommittedTable; readers keep theirs. A repeated (writer, batch) changes nothing."""
+    return CommittedTable(df.sparkSession, root).replace(df, batch)
 
 
-def append_new(df: DataFrame, path: str, keys: list[str], existing: DataFrame | None = None) -> None:
-    """Appends the rows whose keys are not stored yet, one for each."""
-    rows = df.dropDuplicates(keys)
-    if existing is not None:
-        rows = rows.join(existing.select(*keys), keys, "left_anti")
-    rows.write.mode("append").parquet(path)
+def append_new(df: DataFrame, root: str, keys: list[str], batch: tuple[str, int] | None = None) -> int:
+    """Commits the rows whose keys are not stored yet, one for each, whoever else writes or has written this batch before."""
+    return CommittedTable(df.sparkSession, root).append_new(df, keys, batch)
 
 
 def write_bodies(df: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.reconcile import ARCHIVE_AFTER, reconcile
 from ..operators.runs import CLEAN, FAULTY
+from ..sources.commits import CommittedTable
 
 LISTINGS = "source_id string, key string, status string, consecutive_misses int"
 STREAKS = "source_id string, consecutive_failures long"
@@ -102,25 +103,29 @@ def _counted(events: DataFrame, every: str, start: str | None, late: str, ts: st
     return counted.select(F.to_date("window.start").alias("start"), "status", "n")
 
 
-def reconcile_onto(observed: Callable[[DataFrame], DataFrame], runs: Callable[[DataFrame], DataFrame], root: str, empty: str) -> Callable[[DataFrame, int], None]:
+def reconcile_onto(observed: Callable[[DataFrame], DataFrame], runs: Callable[[DataFrame], DataFrame], root: str, empty: str, writer: str = "stream") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that reconciles the listings with what each batch observed and with the runs it tells of.
 
-    Batch n reads the listings that batch n - 1 wrote, so that a repeated batch starts from and writes the same version. empty: the listings' schema.
+    A batch is committed with its id: one that is repeated after that changes nothing, and one that was stopped before starts from the
+    same version again. If another writer was faster, the batch is reconciled with what that one left. empty: the listings' schema.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        before = f"{root.rstrip('/')}/version={batch_id - 1:012d}"
-        current = batch.sparkSession.read.schema(empty).parquet(before) if batch_id else batch.sparkSession.createDataFrame([], empty)
-        after = reconcile(current, observed(batch), runs(batch)).select(*current.columns)
-        after.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={batch_id:012d}")
+        spark = batch.sparkSession
+
+        def after(current: DataFrame | None) -> DataFrame:
+            current = spark.createDataFrame([], empty) if current is None else current
+            return reconcile(current, observed(batch), runs(batch)).select(*current.columns)
+
+        CommittedTable(spark, root).replace(after, (writer, batch_id))
 
     return apply
 
 
-def reconcile_each(apply: Callable[[DataFrame], DataFrame], root: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: applies a batch and writes the listings as the version of its id, so that a repeated batch writes the same version."""
+def reconcile_each(apply: Callable[[DataFrame], DataFrame], root: str, writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: commits what is made of a batch as the next version, with the batch's id, so that a repeated batch changes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply(batch).write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={batch_id:012d}")
+        CommittedTable(batch.sparkSession, root).replace(apply(batch), (writer, batch_id))
 
     return run

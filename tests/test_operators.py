@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import urls
 from sievework.operators import alerts, catalog, classify, html, policy, quality, reconcile, runs
 from sievework.sources import inventory, storage
+from sievework.sources.commits import CommittedTable
 from sievework.streaming import runs as stream
 
 
@@ -135,7 +136,8 @@ def test_listings_are_reconciled_batch_by_batch(spark, tmp_path):
     apply = stream.reconcile_onto(observed, log, f"{tmp_path}/out", CURRENT)
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     events.writeStream.foreachBatch(lambda b, n: (apply(b, n), apply(b, n))[0]).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    state = lambda n: {r["stable_source_key"]: (r["status"], r["consecutive_misses"]) for r in spark.read.parquet(f"{tmp_path}/out/version={n:012d}").collect()}
+    state = lambda n: {r["stable_source_key"]: (r["status"], r["consecutive_misses"]) for r in CommittedTable(spark, f"{tmp_path}/out").read(n).collect()}
+    assert CommittedTable(spark, f"{tmp_path}/out").versions() == [0, 1, 2, 3, 4]
     assert state(1) == {"a": ("active", 0), "b": ("active", 1)} and state(2) == state(3) == {"a": ("active", 0), "b": ("archived", 2)}
     assert state(4) == {"a": ("active", 1), "b": ("active", 0)}
 
@@ -312,10 +314,9 @@ def test_inventory_rules_and_hierarchy(spark, tmp_path):
 def test_storage(spark, tmp_path):
     df = spark.createDataFrame([(1, "h"), (1, "h"), (2, "h")], "source_id int, content_hash string")
     storage.append_new(df, f"{tmp_path}/a", ["source_id", "content_hash"])
-    stored = spark.read.parquet(f"{tmp_path}/a")
-    storage.append_new(df.union(spark.createDataFrame([(3, "h")], df.schema)), f"{tmp_path}/a", ["source_id", "content_hash"], stored)
-    assert spark.read.parquet(f"{tmp_path}/a").count() == 3
-    assert spark.read.parquet(storage.write_snapshot(df, f"{tmp_path}/s", 4)).count() == 3
+    storage.append_new(df.union(spark.createDataFrame([(3, "h")], df.schema)), f"{tmp_path}/a", ["source_id", "content_hash"])
+    assert CommittedTable(spark, f"{tmp_path}/a").read().count() == 3
+    assert storage.write_snapshot(df, f"{tmp_path}/s") == 0 and CommittedTable(spark, f"{tmp_path}/s").read().count() == 3
     storage.write_bodies(spark.createDataFrame([(b"x",), (b"x",), (b"y",)], "content binary"), f"{tmp_path}/b")
     assert spark.read.parquet(f"{tmp_path}/b").count() == 2
     report = spark.createDataFrame([("https://b", 2, 1, False), ("https://a", 3, 3, True)], "origin string, checked long, allowed long, compliant boolean")
@@ -348,4 +349,4 @@ def test_bounded_streaming_dedup(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     made = stream.new_artifacts(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "1 hour")
     made.writeStream.foreachBatch(stream.reconcile_each(lambda b: b.withColumn("n", F.lit(1)), f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    assert CommittedTable(spark, f"{tmp_path}/out").read(0).count() == 2
