@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,6 +21,7 @@ from ..functions.urls import media_type, resolve
 from ..sources.storage import checkpointed
 from .classify import DETAIL_MARKERS, classification, is_noise_title
 from .reconcile import dedup_titles
+from .sweep import gathered, matches, point
 
 # Elements that have no content, and those whose texts a use leaves out.
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
@@ -124,31 +126,23 @@ def simple_match(selector: str) -> Column:
 
 def select(nodes: DataFrame, selector: str) -> DataFrame:
     """Nodes that a selector of compounds, each a descendant of the one before, matches."""
-    *outer, last = selector.split()
-    found = nodes.where(simple_match(last))
-    for compound in reversed(outer):
-        around = nodes.where(simple_match(compound)).select(F.col("page_id").alias("__page"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-        inside = (F.col("page_id") == F.col("__page")) & F.col("start").between(F.col("__s") + 1, F.col("__e"))
-        found = found.join(around, inside, "left_semi")
-    return found
+    for compound in selector.split():
+        simple_match(compound)
+    asked = nodes.sparkSession.createDataFrame([(selector,)], "selector string")
+    return nodes.join(matches(nodes, asked).select("page_id", "start"), ["page_id", "start"], "left_semi")
 
 
 def select_blocks(nodes: DataFrame, selectors: Sequence[str]) -> DataFrame:
     """Nodes that any selector matches, each once, with the index of the first such selector as `rank`."""
-    found = None
-    for rank, selector in enumerate(selectors):
-        part = select(nodes, selector).withColumn("rank", F.lit(rank))
-        found = part if found is None else found.unionByName(part)
-    first = F.row_number().over(Window.partitionBy("page_id", "start").orderBy("rank"))
-    return found.withColumn("__nth", first).where("__nth = 1").drop("__nth")
+    asked = nodes.sparkSession.createDataFrame(list(enumerate(selectors)), "rank int, selector string")
+    found = matches(nodes, asked).join(asked, "selector").groupBy("page_id", "start").agg(F.min("rank").alias("rank"))
+    return nodes.join(found, ["page_id", "start"])
 
 
 def block_text(blocks: DataFrame, texts: DataFrame, separator: str = " ") -> DataFrame:
     """(page_id, start, text) of blocks that hold text: their pieces in order."""
-    b = blocks.select("page_id", "start", "end")
-    inside = b.join(texts, "page_id").where((F.col("pos") > F.col("start")) & (F.col("pos") < F.col("end")))
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
-    return inside.groupBy("page_id", "start").agg(F.array_join(pieces, separator).alias("text"))
+    found = gathered(blocks, texts.select("page_id", *point("text", "pos", F.col("text"), "join")), separator)
+    return found.select("page_id", "start", F.col("values")["text"].alias("text")).where("text is not null")
 
 
 def with_text(blocks: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -173,12 +167,9 @@ def previous_heading(blocks: DataFrame, nodes: DataFrame, texts: DataFrame) -> D
 
 
 def first_inside(blocks: DataFrame, nodes: DataFrame, condition: Column, value: str, name: str) -> DataFrame:
-    """blocks with the value of the first node inside that meets the condition, or null."""
-    n = nodes.where(condition).select("page_id", F.col("start").alias("__at"), F.col(value).alias("__value"))
-    b = blocks.select("page_id", "start", "end")
-    inside = b.join(n, "page_id").where((F.col("__at") > F.col("start")) & (F.col("__at") < F.col("end")))
-    found = inside.groupBy("page_id", "start").agg(F.min_by("__value", "__at").alias(name))
-    return blocks.join(found, ["page_id", "start"], "left")
+    """blocks with the value of the first node inside that meets the condition, or null; nodes whose value is null are passed over."""
+    found = gathered(blocks, nodes.where(condition).select("page_id", *point(name, "start", F.col(value), "first")))
+    return blocks.join(found.select("page_id", "start", F.col("values")[name].alias(name)), ["page_id", "start"], "left")
 
 
 def anchors(nodes: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -189,17 +180,13 @@ def anchors(nodes: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFrame:
     return named.select("page_id", "start", "href", resolve("__base", "href").alias("url"), F.coalesce("label", F.lit("")).alias("label"))
 
 
-def rank_blocks(nodes: DataFrame, of_page: DataFrame, selectors: Sequence[str], wanted: str) -> DataFrame:
-    """Nodes (page_id, start, end, rank) that a selector matches which their page asks for.
+def rank_blocks(matched: DataFrame, of_page: DataFrame, wanted: str) -> DataFrame:
+    """Nodes (page_id, start, end, rank) of matches() by a selector which their page asks for.
 
-    of_page holds page_id and the array column `wanted`; rank is the least index of such a selector in it. selectors: all that are asked for.
+    of_page holds page_id and the array column `wanted`; rank is the least index of such a selector in it.
     """
-    found = None
-    for selector in selectors:
-        part = select(nodes, selector).select("page_id", "start", "end", F.lit(selector).alias("__selector"))
-        found = part if found is None else found.unionByName(part)
-    ranked = found.join(of_page.select("page_id", wanted), "page_id").withColumn("rank", F.array_position(wanted, F.col("__selector")) - 1)
-    return ranked.where("rank >= 0").groupBy("page_id", "start").agg(F.first("end").alias("end"), F.min("rank").alias("rank"))
+    ranked = matched.join(of_page.select("page_id", wanted), "page_id").withColumn("rank", F.array_position(wanted, F.col("selector")) - 1)
+    return ranked.where("rank >= 0").groupBy("page_id", "start", "end").agg(F.min("rank").alias("rank"))
 
 
 _RULE = ("candidate_selectors", "active_markers", "archive_markers", "excluded_markers", "excluded_titles", "opportunity_type", "source_implies_active_type", "classify_link_targets", "title_selector", "offer_link_selector")
@@ -213,37 +200,44 @@ def discover(pages: DataFrame, rules: DataFrame, slug: str = "slug") -> DataFram
     selector, or the first link with an active marker, or any if the source implies them. Pages without a rule have no candidate.
     """
     asked = rules.select(F.col(slug).alias("__slug"), *_RULE)
-    # The distinct selectors of the rule table, a few for each source.
-    known = asked.select(F.explode(F.concat("candidate_selectors", F.array_compact(F.array("title_selector", "offer_link_selector")))).alias("s")).distinct()
-    selectors = sorted(r["s"] for r in known.collect())
+    known = asked.select(F.explode(F.concat("candidate_selectors", F.array_compact(F.array("title_selector", "offer_link_selector")))).alias("selector"))
     ruled = pages.select("page_id", "url", F.col(slug).alias("slug"), "html").join(asked, F.col("slug") == F.col("__slug")).drop("__slug")
     of_page = ruled.select("page_id", "url", "slug", *_RULE, F.array_compact(F.array("title_selector")).alias("__title"), F.array_compact(F.array("offer_link_selector")).alias("__link"))
-    items = checkpointed(explode_nodes(ruled, DROP_FOR_DISCOVERY))  # many joins read it
+    items = checkpointed(explode_nodes(ruled, DROP_FOR_DISCOVERY))  # pages are parsed once
     nodes, texts = nodes_of(items), texts_of(items)
-    blocks = rank_blocks(nodes, of_page, selectors, "candidate_selectors")
-    blocks = previous_heading(with_text(blocks, texts, "text"), nodes, texts).join(of_page, "page_id")
+    # What a page's rule makes of each node that it matches: a block of some rank, a chosen title, a chosen link.
+    index = lambda wanted: F.array_position(wanted, F.col("selector"))
+    roles = matches(nodes, known).join(of_page.select("page_id", "candidate_selectors", "__title", "__link"), "page_id")
+    roles = roles.select("page_id", "start", "end", F.nullif(index("candidate_selectors"), F.lit(0)).alias("rank"), (index("__title") > 0).alias("titles"), (index("__link") > 0).alias("links"))
+    plain = nodes.where(F.col("tag").isin("a", "h1", "h2", "h3", "h4", "h5")).select("page_id", "start", "end", "tag", F.col("attrs")["href"].alias("href"))
+    parts = roles.groupBy("page_id", "start", "end").agg(F.min("rank").alias("rank"), F.bool_or("titles").alias("titles"), F.bool_or("links").alias("links"))
+    parts = parts.where("rank is not null or titles or links").join(plain, ["page_id", "start", "end"], "full_outer")
+    # A chosen link may be any node with an address.
+    chosen = parts.where("links and href is null").select("page_id", "start").join(nodes.select("page_id", "start", F.col("attrs")["href"].alias("own_href")), ["page_id", "start"])
+    parts = parts.join(chosen, ["page_id", "start"], "left").withColumn("href", F.coalesce("href", "own_href")).drop("own_href")
+    said = gathered(parts.select("page_id", "start", "end"), texts.select("page_id", *point("text", "pos", F.col("text"), "join")))
+    said = said.select("page_id", "start", F.coalesce(F.col("values")["text"], F.lit("")).alias("text"))
+    parts = parts.join(said, ["page_id", "start"]).join(of_page, "page_id")
     has_title, has_link = F.col("title_selector").isNotNull(), F.col("offer_link_selector").isNotNull()
-
-    links = anchors(nodes, texts, ruled)
-    chosen = rank_blocks(nodes, of_page, selectors, "__link").join(nodes.select("page_id", "start", F.col("attrs")["href"].alias("href")), ["page_id", "start"])
-    chosen = with_text(chosen.select("page_id", "start", "end", "href"), texts, "label").join(of_page.select("page_id", F.col("url").alias("__base")), "page_id")
-    chosen = chosen.select("page_id", "start", F.lit(None).cast("string").alias("href"), F.coalesce(resolve("__base", "href"), "__base").alias("url"), "label", F.lit(True).alias("chosen"))
-    inside = links.withColumn("chosen", F.lit(False)).unionByName(chosen).withColumnRenamed("start", "__at").withColumnRenamed("url", "__url")
-    inside = blocks.select("page_id", "start", "end", "active_markers", "source_implies_active_type", has_link.alias("__has_link")).join(inside, "page_id").where((F.col("__at") > F.col("start")) & (F.col("__at") < F.col("end")))
-    marked = F.when(F.col("__has_link"), F.col("chosen")).otherwise(~F.col("chosen") & (F.col("source_implies_active_type") | contains_any(case_folded(F.concat_ws(" ", "label", "href")), F.col("active_markers"))))
-    detail = ~F.col("chosen") & contains_any(case_folded(F.col("__url")), DETAIL_MARKERS)
-    of_block = inside.groupBy("page_id", "start").agg(
-        F.min_by(F.when(marked, F.struct(F.col("__url").alias("url"), "label")), F.when(marked, F.col("__at"))).alias("offer"),
-        F.min_by(F.when(detail, F.col("__url")), F.when(detail, F.col("__at"))).alias("detail"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("chosen"), F.struct("__at", "href")))), lambda x: x["href"]), " ").alias("targets"),
-    )
-    blocks = blocks.join(of_block, ["page_id", "start"], "left")
-
-    titled = with_text(rank_blocks(nodes, of_page, selectors, "__title"), texts, "said").select("page_id", "start", "said", F.lit(True).alias("chosen"))
-    said = with_text(nodes.where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5")), texts, "said").select("page_id", "start", "said", F.lit(False).alias("chosen"))
-    headings = said.unionByName(titled).withColumnRenamed("start", "__at")
-    first = blocks.select("page_id", "start", "end", has_title.alias("__has_title")).join(headings, "page_id").where((F.col("__at") > F.col("start")) & (F.col("__at") < F.col("end")) & (F.col("chosen") == F.col("__has_title")))
-    blocks = blocks.join(first.groupBy("page_id", "start").agg(F.min_by("said", "__at").alias("own_heading")), ["page_id", "start"], "left")
+    parts = checkpointed(parts.withColumn("target", F.coalesce(resolve("url", "href"), F.when(F.col("links"), F.col("url")))))  # every kind of point comes from it
+
+    anchor, heading = F.col("tag") == "a", F.coalesce(F.col("tag") != "a", F.lit(False))
+    linked = parts.where(anchor & F.col("href").isNotNull())
+    marked = ~has_link & (F.col("source_implies_active_type") | contains_any(case_folded(F.concat_ws(" ", "text", "href")), F.col("active_markers")))
+    offer = F.to_json(F.struct(F.col("target").alias("url"), F.col("text").alias("label")))
+    points = [
+        linked.where(marked).select("page_id", *point("offer", "start", offer, "first")),
+        parts.where(has_link & F.col("links")).select("page_id", *point("offer", "start", offer, "first")),
+        linked.where(contains_any(case_folded(F.col("target")), DETAIL_MARKERS)).select("page_id", *point("detail", "start", F.col("target"), "first")),
+        linked.where("classify_link_targets").select("page_id", *point("targets", "start", F.col("href"), "join")),
+        parts.where(heading & ~has_title | has_title & F.col("titles")).select("page_id", *point("own_heading", "start", F.col("text"), "first")),
+        parts.where(heading & F.col("tag").isin(*HEADINGS)).select("page_id", *point("heading", "start", F.col("text"), "before")),
+    ]
+    blocks = parts.where("rank is not null").withColumn("rank", F.col("rank") - 1)
+    values = gathered(blocks.select("page_id", "start", "end"), reduce(DataFrame.unionByName, points)).select("page_id", "start", "values")
+    blocks = blocks.select("page_id", "start", "url", "slug", "rank", "text", *_RULE).join(values, ["page_id", "start"])
+    value = lambda name: F.col("values")[name].alias(name)
+    blocks = blocks.select("*", *map(value, ("detail", "targets", "own_heading", "heading")), F.from_json(F.col("values")["offer"], "url string, label string").alias("offer"))
 
     whole = F.when(F.col("classify_link_targets"), F.concat_ws(" ", "text", F.coalesce("targets", F.lit("")))).otherwise(F.col("text"))
     in_archive = contains_any(case_folded(F.col("heading")), F.col("archive_markers"))
