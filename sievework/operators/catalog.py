@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import freshness
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, shared_folder, unused
 
 PAGE_SIZES = (1, 100)
 
@@ -74,15 +75,69 @@ def sorted_by(df: DataFrame, sort: str) -> DataFrame:
     return df.orderBy(*SORTS.get(sort, list)(), "slug")
 
 
-def page(df: DataFrame, sort: str, number: int = 1, size: int = 20) -> DataFrame:
+def _checked(number: int, size: int) -> None:
     if number < 1 or not PAGE_SIZES[0] <= size <= PAGE_SIZES[1]:
         raise ValueError("pages count from 1 and hold 1 to 100 rows")
+
+
+def page(df: DataFrame, sort: str, number: int = 1, size: int = 20) -> DataFrame:
+    """One page. For pages far behind the first, and for many of one table, see Pages."""
+    _checked(number, size)
     return sorted_by(df, sort).offset((number - 1) * size).limit(size)
 
 
+class Pages:
+    """A sorted table of which any page is read from the one or two ranges that hold it.
+
+    Rows are dealt out once by ranges of the sort's keys and stored range by range; how many each holds tells where
+    a page is. To read one, only its ranges are read and sorted, wherever it stands. after() reads the page behind a row that
+    was seen, by the same ranges, and is not moved by rows that came or went before it.
+    """
+
+    def __init__(self, df: DataFrame, sort: str):
+        spark = df.sparkSession
+        self.sort, self._part = sort, unused(df, "page_range")
+        home = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+        ranged = df.repartitionByRange(*SORTS.get(sort, list)(), "slug").withColumn(self._part, F.spark_partition_id())
+        ranged.write.partitionBy(self._part).parquet(home)
+        self._stored = spark.read.schema(ranged.schema).parquet(home)
+        sizes = dict(self._stored.groupBy(self._part).count().collect())  # a row for each range
+        self._starts, self.total = {}, 0
+        for part in sorted(sizes):
+            self._starts[part] = self.total
+            self.total += sizes[part]
+        self._ends = {part: start + sizes[part] for part, start in self._starts.items()}
+
+    def rows(self, start: int, count: int) -> DataFrame:
+        """So many rows from a place on, counted from 0."""
+        within = [p for p in self._starts if self._starts[p] < start + count and self._ends[p] > start]
+        if not within:
+            return self._stored.drop(self._part).limit(0)
+        found = self._stored.where(F.col(self._part).isin(*within))
+        return sorted_by(found, self.sort).offset(start - self._starts[within[0]]).limit(count).drop(self._part)
+
+    def page(self, number: int = 1, size: int = 20) -> DataFrame:
+        _checked(number, size)
+        return self.rows((number - 1) * size, size)
+
+    def page_or_last(self, number: int = 1, size: int = 20) -> DataFrame:
+        """page(), or the last page where the asked one lies beyond it."""
+        return self.page(clamped_page(number, self.total, size), size)
+
+    def after(self, slug: str, size: int = 20) -> DataFrame:
+        """The page behind the row of a slug; an unknown slug is an error."""
+        _checked(1, size)
+        place = self._stored.where(F.col("slug") == slug).select(self._part).first()
+        if place is None:
+            raise ValueError(f"unknown slug: {slug}")
+        own = self._stored.where(F.col(self._part) == place[0])
+        nth = own.withColumn("nth", F.row_number().over(Window.partitionBy(self._part).orderBy(*SORTS.get(self.sort, list)(), "slug"))).where(F.col("slug") == slug).first()["nth"]
+        return self.rows(self._starts[place[0]] + nth, size)
+
+
 def page_or_last(df: DataFrame, sort: str, number: int = 1, size: int = 20) -> DataFrame:
-    """page(), or the last page where the asked one lies beyond it."""
-    return page(df, sort, clamped_page(number, df.count(), size), size)
+    """page(), or the last page where the asked one lies beyond it; both are found by ranges."""
+    return Pages(df, sort).page_or_last(number, size)
 
 
 def clamped_page(number: int, total: int, size: int) -> int:
@@ -121,14 +176,15 @@ def numbered(df: DataFrame, prefix: str, order: Sequence[str], name: str = "numb
     Rows are range-partitioned by prefix and order, so that a prefix with most of the rows spreads over many
     partitions; a row's number is its place in its partition after the prefix's rows in the partitions before.
     """
-    placed = checkpointed(df.repartitionByRange(prefix, *order).withColumn("__part", F.spark_partition_id()))
-    before = Window.partitionBy(prefix).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each prefix and partition
-    sizes = placed.groupBy(prefix, "__part").agg(F.count("*").alias("__n"))
-    starts = sizes.select(F.col(prefix).alias("__prefix"), F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(prefix, "__part").orderBy(*order))
+    part, of, own, n, behind = (unused(df, c) for c in ("part", "of_part", "own_prefix", "size_of_part", "rows_before"))
+    placed = checkpointed(df.repartitionByRange(prefix, *order).withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(prefix).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each prefix and partition
+    sizes = placed.groupBy(prefix, part).agg(F.count("*").alias(n))
+    starts = sizes.select(F.col(prefix).alias(own), F.col(part).alias(of), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(behind))
+    within = F.row_number().over(Window.partitionBy(prefix, part).orderBy(*order))
     local = placed.withColumn(name, within)
-    known = local.join(starts, F.col(prefix).eqNullSafe(F.col("__prefix")) & (F.col("__part") == F.col("__of")))
-    return known.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__prefix", "__of", "__before")
+    known = local.join(starts, F.col(prefix).eqNullSafe(F.col(own)) & (F.col(part) == F.col(of)))
+    return known.withColumn(name, (F.col(name) + F.col(behind)).cast("long")).drop(part, own, of, behind)
 
 
 def reference_codes(df: DataFrame, prefix: str, order: Sequence[str], existing: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ between start and end. Everything after that is relational.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from html.parser import HTMLParser
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import case_folded, contains_any, normal_title, stable_key
 from ..functions.urls import media_type, resolve
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, shared_folder
 from .classify import DETAIL_MARKERS, classification, is_noise_title
 from .reconcile import dedup_titles
 from .sweep import gathered, matches, point
@@ -266,17 +267,22 @@ def expand_links(starts: DataFrame, links: DataFrame, snapshot: DataFrame, max_d
     """(start, url, depth, found): pages reached from each start within max_depth links (from_url, url).
 
     A page is reached once, at its least depth. found tells whether snapshot (url) holds it; only
-    pages that it holds are gone through.
+    pages that it holds are gone through. Each hop reads what the one before has written and adds its own to one
+    folder, by depth: a hop's work is in proportion to its pages, and its plan is the same at any depth.
     """
-    held = snapshot.select(F.col("url").alias("__held")).distinct()
-    step = links.select("from_url", F.col("url").alias("__to")).distinct()
-    seen = starts.toDF("url").distinct().select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"))
-    edge = seen
+    spark = starts.sparkSession
+    home = f"{shared_folder(spark)}/reached-{uuid.uuid4().hex}"
+    held = snapshot.select(F.col("url").alias("held")).distinct()
+    # Only pages that the snapshot holds have links to follow; this is settled once for all hops.
+    step = links.select("from_url", F.col("url").alias("to")).distinct().join(held, F.col("from_url") == F.col("held"), "left_semi")
+    step = checkpointed(step.repartition("from_url"))
+    starts.toDF("url").distinct().select(F.col("url").alias("start"), "url").write.parquet(f"{home}/depth=0")
     for depth in range(1, max_depth + 1):
-        live = edge.join(held, edge["url"] == held["__held"], "left_semi")
-        reached = live.join(step, live["url"] == step["from_url"]).select("start", F.col("__to").alias("url")).distinct()
-        edge = reached.join(seen.select("start", "url"), ["start", "url"], "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(edge)
-    return seen.join(held, seen["url"] == held["__held"], "left").select("start", "url", "depth", F.col("__held").isNotNull().alias("found"))
-
-
+        seen = spark.read.parquet(home)
+        edge = seen.where(F.col("depth") == depth - 1)
+        reached = edge.join(step, edge["url"] == step["from_url"]).select("start", F.col("to").alias("url")).distinct()
+        reached.join(seen.select("start", "url"), ["start", "url"], "left_anti").write.parquet(f"{home}/depth={depth}")
+        if spark.read.parquet(f"{home}/depth={depth}").isEmpty():
+            break
+    seen = spark.read.parquet(home)
+    return seen.join(held, seen["url"] == held["held"], "left").select("start", "url", F.col("depth").cast("int").alias("depth"), F.col("held").isNotNull().alias("found"))

@@ -48,8 +48,13 @@ def admit(urls: DataFrame, origins: DataFrame, rules: DataFrame, agent: str) ->
     own = rules.where((F.col("agent") == "*") | F.contains(F.lit(agent.lower()), F.col("agent")))
     special = own.groupBy("origin").agg(F.bool_or(F.col("agent") != "*").alias("__special"))
     own = own.join(special, "origin").where(F.when(F.col("__special"), F.col("agent") != "*").otherwise(True)).select(F.col("origin").alias("__o"), "line_no", "allow", "prefix")
-    hit = named.select("url", "__origin", "__path").distinct().join(own, (F.col("__origin") == F.col("__o")) & F.startswith("__path", F.col("prefix")))
-    first = hit.groupBy("url").agg(F.min_by("allow", "line_no").alias("__allow"))
+    # The first rule of each prefix; URLs meet it by their own first letters, as many as the origin's prefixes have.
+    by_prefix = own.groupBy("__o", "prefix").agg(F.min_by("allow", "line_no").alias("allow"), F.min("line_no").alias("line_no"))
+    lengths = by_prefix.groupBy(F.col("__o").alias("__origin")).agg(F.collect_set(F.char_length("prefix")).alias("__lengths"))
+    cut = named.select("url", "__origin", "__path").distinct().join(lengths, "__origin")
+    cut = cut.select("url", "__origin", "__path", F.explode(F.filter("__lengths", lambda n: n <= F.char_length("__path"))).alias("__n"))
+    cut = cut.select("url", F.col("__origin").alias("__o"), F.substring("__path", F.lit(1), F.col("__n")).alias("prefix"))
+    first = cut.join(by_prefix, ["__o", "prefix"]).groupBy("url").agg(F.min_by("allow", "line_no").alias("__allow"))
     known = origins.select(F.col("origin").alias("__known"), "policy", "has_body")
     joined = named.join(known, F.col("__origin") == F.col("__known"), "left").join(first, "url", "left")
     verdict = (

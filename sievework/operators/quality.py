@@ -55,11 +55,13 @@ def needs_ocr(text: Column) -> Column:
 def pdf_intake(fetched: DataFrame, stored: DataFrame) -> DataFrame:
     """The artifact table after new bodies: (url, content_hash, byte_size, error).
 
-    fetched: (url, ts, media_type, content binary). The latest row of a url counts. Success clears an error; failure keeps the file before.
+    fetched: (url, ts, media_type, content binary). The latest row of a url counts, of several at one time the one with the larger digest. Success clears an error; failure keeps the file before.
     """
-    latest = fetched.groupBy("url").agg(F.max_by(F.struct("media_type", "content"), "ts").alias("f")).select("url", "f.*")
     good = F.coalesce((F.col("media_type") == "application/pdf") | F.startswith(F.col("content"), F.lit(b"%PDF-")), F.lit(False))
-    new = latest.select("url", F.when(good, F.sha2("content", 256)).alias("new_hash"), F.when(good, F.length("content").cast("long")).alias("new_size"), F.when(~good, "not a PDF").alias("new_error"), F.lit(True).alias("fresh"))
+    # A body is told by its digest, size and kind where it is read, so that none is moved.
+    told = fetched.select("url", "ts", F.struct(good.alias("good"), F.sha2("content", 256).alias("hash"), F.length("content").cast("long").alias("size")).alias("f"))
+    latest = told.groupBy("url").agg(F.max_by("f", F.struct("ts", "f")).alias("f")).select("url", "f.*")
+    new = latest.select("url", F.when(F.col("good"), F.col("hash")).alias("new_hash"), F.when(F.col("good"), F.col("size")).alias("new_size"), F.when(~F.col("good"), "not a PDF").alias("new_error"), F.lit(True).alias("fresh"))
     both = stored.join(new, "url", "full_outer")
     fresh = F.coalesce("fresh", F.lit(False))
     return both.select("url", F.coalesce("new_hash", "content_hash").alias("content_hash"), F.coalesce("new_size", "byte_size").alias("byte_size"), F.when(fresh, F.col("new_error")).otherwise(F.col("error")).alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -567,7 +567,16 @@ def _hosts(spark, d):
     return table(spark, d, "pages").withColumn("slug", U.host_of(F.col("url")))
 
 
-@query()
+_NOISY = " OR ".join(f"contains(t, '{x}')" for x in classify.NOISE)
+# The given pages' one block outside the menu is the article; its heading is h1, and it has no links.
+_H9 = f"""p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS slug, trim({_DECODE.format("regexp_extract(html, '<h1>([^<]*)<', 1)")}) AS title, array_to_string({_PIECES.format("regexp_extract(html, '<article>(.*)</article>', 1, 's')")}, ' ') AS source_text FROM pages),
+f AS (SELECT *, {B.fold_sql('source_text')} AS said, {B.title_sql('title')} AS t FROM p),
+found AS (SELECT page_id, slug, title, url AS source_url, source_text, substr(sha256(concat_ws('|', slug, url, {B.fold_sql('title')})), 1, 32) AS stable_source_key FROM f
+  WHERE NOT contains(said, 'garbage') AND NOT contains(said, 'disgusting') AND (contains(said, 'the') OR contains(said, 'de') OR contains(said, 'und'))
+  AND (contains(t, 'the') OR contains(t, 'de') OR contains(t, 'und')) AND NOT ({_NOISY}) AND t NOT IN {classify.GENERIC_TITLES})"""
+
+
+@query(f"WITH {_H9} SELECT page_id, 1 AS ordinal, title, source_url, NULL::VARCHAR AS application_url, stable_source_key FROM found")
 def h9_discover(spark, d):
     pages = _hosts(spark, d)
     rules = _rules(pages, candidate_selectors=["article", "li"], active_markers=["the", "de", "und"], archive_markers=["garbage"], excluded_markers=["disgusting"], excluded_titles=[])
@@ -772,6 +781,15 @@ def j9_every_word(spark, d):
     return classify.with_terms(docs, "said", words).select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", ","), 256).alias("terms"))
 
 
+@query(f"WITH {B.CATALOG}, n AS (SELECT (count(*) // 200) * 100 AS half FROM catalog), numbered AS (SELECT slug, title, row_number() OVER (ORDER BY lower(title), slug) AS place FROM catalog) SELECT slug, title, place - half AS place FROM numbered, n WHERE place > half AND place <= half + 200")
+def o3_deep_pages(spark, d):
+    """A page in the middle of all, and the page behind its last row."""
+    pages = catalog.Pages(_catalog(spark, d), "title")
+    first = [r["slug"] for r in (middle := pages.page(pages.total // 200 + 1, 100)).collect()]
+    both = middle.unionByName(pages.after(first[-1], 100))
+    return both.select("slug", "title", F.row_number().over(Window.orderBy(F.lower("title"), "slug")).cast("long").alias("place"))  # 200 rows
+
+
 @query(f"WITH {B.CATALOG} SELECT id, chair FROM catalog WHERE department IN (SELECT n_name FROM nation)")
 def f10_known_selection(spark, d):
     names = [r[0] for r in B.departments(spark, d).select("name").collect()]  # 25; an unknown one would be an error

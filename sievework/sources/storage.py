@@ -55,6 +55,14 @@ def write_summary(report: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, made from the given one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share.
 
