@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,17 +106,31 @@ def replay_lifecycle(history: DataFrame, key: str = "key", order: list[str] | No
     return h.select(key, F.when(gone, "archived").otherwise("active").alias("status"), F.when(gone, ARCHIVE_AFTER).otherwise(F.col("now.last.misses")).cast("int").alias("consecutive_misses"))
 
 
-def versions(reconciled: DataFrame, slug: str) -> DataFrame:
-    """A version row for each created or updated listing."""
+def versions(reconciled: DataFrame, slug: str, details: Sequence[str] = ()) -> DataFrame:
+    """(listing, content_hash, extracted, evidence) for each created or updated listing, from reconcile()'s rows with source_url and source_text.
+
+    extracted: title, summary and the columns of `details` as JSON, null ones too. evidence: where the text stands, and its start.
+    """
     kept = reconciled.where(F.col("action").isin("created", "updated"))
     evidence = F.to_json(F.struct(F.col("source_url"), limited(F.col("source_text"), "evidence").alias("excerpt")))
-    return kept.select(listing_slug(F.col(slug), F.col("stable_source_key")).alias("listing"), "content_hash", evidence.alias("evidence"))
+    extracted = F.to_json(F.struct("title", "summary", *details), {"ignoreNullFields": "false"})
+    return kept.select(listing_slug(F.col(slug), F.col("stable_source_key")).alias("listing"), "content_hash", extracted.alias("extracted"), evidence.alias("evidence"))
 
 
-def run_statistics(reconciled: DataFrame, key: str = "chair_id") -> DataFrame:
-    """How many listings each run created, updated and left unchanged."""
-    counts = [F.count_if(F.col("action") == a).alias(a) for a in ("created", "updated", "unchanged", "missed", "archived")]
-    return reconciled.groupBy(key).agg(F.count_if(F.col("action").isin("created", "updated", "unchanged")).alias("candidates"), *counts)
+def run_statistics(reconciled: DataFrame, key: str = "chair_id", runs: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:
+    """How many listings each run created, updated and left unchanged.
+
+    With runs (key, run_status, failures) there is a row for each of them, with its status and list of failures, and zeros where it saw
+    nothing; with artifacts (key, artifacts) also how many pages it brought.
+    """
+    names = ("created", "updated", "unchanged", "missed", "archived")
+    counts = [F.count_if(F.col("action") == a).alias(a) for a in names]
+    found = reconciled.groupBy(key).agg(F.count_if(F.col("action").isin("created", "updated", "unchanged")).alias("candidates"), *counts)
+    if artifacts is not None:
+        found = found.join(artifacts, key, "full_outer")
+    if runs is not None:
+        found = runs.select(key, "run_status", "failures").join(found, key, "left")
+    return found.na.fill(0, [c for c in ("candidates", *names, "artifacts") if c in found.columns])
 
 
 def overrides(log: DataFrame, listing: str = "listing_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import alerts, catalog, classify, html, policy, quality, reconcile, runs
+from ..operators import alerts, catalog, classify, html, ingest, policy, quality, reconcile, runs
 from ..sources import inventory, storage, textindex
 from ..sources.commits import CommittedTable
 from ..sources.storage import checkpointed, remove, shared_folder
@@ -268,10 +268,10 @@ def a5_a7_run_statistics(spark, d):
     return reconcile.run_statistics(_reconciled(spark, d))
 
 
-@query(_M1 + " SELECT chair_id || '-' || substr(stable_source_key, 1, 10) AS listing, '{\"source_url\":\"u\",\"excerpt\":\"' || title || '\"}' AS evidence FROM m1 WHERE action IN ('created', 'updated')")
+@query(_M1 + """ SELECT chair_id || '-' || substr(stable_source_key, 1, 10) AS listing, '{"source_url":"u","excerpt":"' || title || '"}' AS evidence, '{"title":"' || title || '","summary":"s","last_seen_at":null}' AS extracted FROM m1 WHERE action IN ('created', 'updated')""")
 def m2_versions(spark, d):
-    rows = _reconciled(spark, d).withColumns({"source_url": F.lit("u"), "source_text": F.col("title"), "chair": F.col("chair_id").cast("string")})
-    return reconcile.versions(rows, "chair").drop("content_hash")
+    rows = _reconciled(spark, d).withColumns({"source_url": F.lit("u"), "source_text": F.col("title"), "chair": F.col("chair_id").cast("string"), "last_seen_at": F.lit(None).cast("string")})
+    return reconcile.versions(rows, "chair", ("last_seen_at",)).drop("content_hash")
 
 
 @query("WITH c AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'idp' ELSE 'ps' END AS prefix, o_orderdate FROM orders) SELECT o_orderkey, prefix || '-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS reference_code FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY o_orderdate, o_orderkey) + CASE prefix WHEN 'ps' THEN (SELECT max(c_custkey) FROM customer) ELSE 0 END AS n FROM c)")
@@ -583,6 +583,57 @@ def h9_discover(spark, d):
     return html.discover(pages, rules).select("page_id", "ordinal", "title", "source_url", "application_url", "stable_source_key")
 
 
+# Two days of crawls of all hosts. The first brings two thirds of the pages; on the second some have changed, some are gone, some are new,
+# and the host's name decides how its crawl went. Titles of every seventh page state a date. Some listings have overridden titles.
+_OUTCOME_OF_HOST = ("fetched", "fetched", "not_modified", "failed")
+_E1 = f"""{_H9.replace("FROM pages)", "FROM dated)")},
+offers AS (SELECT slug AS chair_id, stable_source_key, page_id, regexp_replace(title, '^\\[[0-9.]*\\] ', '') AS title, CASE WHEN starts_with(title, '[03.02.2024]') THEN '2024-02-03' END AS published_at, source_text FROM found),
+one AS (SELECT *, row_number() OVER (ORDER BY chair_id, page_id, stable_source_key) AS number FROM offers WHERE page_id % 3 <> 0),
+two AS (SELECT * REPLACE (CASE WHEN page_id % 10 = 1 THEN source_text || ' zz' ELSE source_text END AS source_text), page_id % 10 = 1 AS changed FROM offers WHERE page_id % 4 <> 0),
+joined AS (SELECT coalesce(one.chair_id, two.chair_id) AS chair_id, coalesce(one.stable_source_key, two.stable_source_key) AS stable_source_key, coalesce(one.page_id, two.page_id) AS page_id, one.number, one.title AS old, two.title AS new,
+  one.published_at AS old_date, two.published_at AS new_date, one.source_text AS old_text, two.source_text AS new_text, one.number IS NOT NULL AS known, two.page_id IS NOT NULL AS observed, changed
+  FROM one FULL JOIN two ON one.chair_id = two.chair_id AND one.stable_source_key = two.stable_source_key),
+run AS (SELECT *, ['success', 'partial', 'not_modified', 'failed'][length(chair_id) % 4 + 1] AS status FROM joined),
+seen AS (SELECT *, observed AND status IN ('success', 'partial') AS taken FROM run),
+e1 AS (SELECT *, CASE WHEN taken AND NOT known THEN 'created' WHEN taken AND changed THEN 'updated' WHEN taken THEN 'unchanged' WHEN status = 'success' THEN 'missed' WHEN status = 'not_modified' THEN 'refreshed' ELSE 'kept' END AS action,
+  (SELECT count(*) FROM one) + row_number() OVER (PARTITION BY taken AND NOT known ORDER BY chair_id, page_id, stable_source_key) AS next FROM seen WHERE known OR taken)"""
+_DATED = f"dated AS (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN replace(html, '<h1>', '<h1>[03.02.2024] ') ELSE html END AS html FROM pages)"
+
+
+def _two_days(spark, d) -> ingest.Ingested:
+    dated = F.when(F.col("page_id") % 7 == 0, F.replace("html", F.lit("<h1>"), F.lit("<h1>[03.02.2024] "))).otherwise(F.col("html"))
+    pages = _hosts(spark, d).select("page_id", "url", "slug", F.col("page_id").alias("position"), dated.alias("html"))
+    rules = _rules(pages, candidate_selectors=["article", "li"], active_markers=["the", "de", "und"], archive_markers=["garbage"], excluded_markers=["disgusting"], excluded_titles=[])
+    hosts = pages.select("slug").distinct()
+    nothing = lambda schema: spark.createDataFrame([], schema)
+    day = lambda n: F.lit(f"2024-03-0{n} 03:00:00").cast("timestamp").alias("now")
+    failures, artifacts, log = "slug string, url string, error string", "source_id string, content_hash string", "listing_id string, field string, value string, created_at long, id long"
+    first = ingest.ingest(pages.where("page_id % 3 <> 0"), hosts.select("slug", F.lit("fetched").alias("outcome"), day(1)), nothing(failures), rules, nothing(ingest.LISTINGS), nothing(artifacts), nothing(log))
+    changed = F.when(F.col("page_id") % 10 == 1, F.replace("html", F.lit("</article>"), F.lit(" zz</article>"))).otherwise(F.col("html"))
+    outcome = F.element_at(F.array(*map(F.lit, _OUTCOME_OF_HOST)), (F.length("slug") % 4 + 1).cast("int"))
+    broken = hosts.where("length(slug) % 4 = 1").select("slug", F.concat(F.lit("http://"), "slug", F.lit("/x")).alias("url"), F.lit("gone").alias("error"))
+    key = F.col("stable_source_key")
+    kept = first.listings.where(F.substring(key, 1, 1) < "4").select(T.listing_slug(F.col("chair_id"), key).alias("listing_id"), F.lit("title").alias("field"), F.to_json(F.struct(F.concat(F.lit("Kept "), F.substring(key, 1, 4)).alias("value"))).alias("value"), F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("id"))
+    stored = first.artifacts.select("source_id", "content_hash")
+    return ingest.ingest(pages.where("page_id % 4 <> 0").withColumn("html", changed), hosts.select("slug", outcome.alias("outcome"), day(2)), broken, rules, first.listings.drop("action"), stored, kept)
+
+
+@query(f"""WITH {_DATED}, {_E1} SELECT chair_id, stable_source_key, CASE WHEN taken AND known AND substr(stable_source_key, 1, 1) < '4' THEN 'Kept ' || substr(stable_source_key, 1, 4) WHEN taken THEN new ELSE old END AS title,
+  sha256(regexp_replace(substr(CASE WHEN taken THEN new_text ELSE old_text END, 1, 3000), '^\\[03[.]02[.]2024\\] ', '')) AS summary, CASE WHEN taken THEN new_date ELSE old_date END AS published_at, 'active' AS status, (CASE WHEN action = 'missed' THEN 1 ELSE 0 END)::INTEGER AS consecutive_misses,
+  'idp-' || CASE WHEN coalesce(number, next) < 1000 THEN lpad(coalesce(number, next)::VARCHAR, 3, '0') ELSE coalesce(number, next)::VARCHAR END AS reference_code, action FROM e1""")
+def e1_ingestion(spark, d):
+    found = _two_days(spark, d).listings
+    return found.select("chair_id", "stable_source_key", "title", F.sha2("summary", 256).alias("summary"), F.col("published_at").cast("string").alias("published_at"), "status", "consecutive_misses", "reference_code", "action")
+
+
+@query(f"""WITH {_DATED}, {_E1}, hosts AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS chair_id FROM pages), bodies AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS chair_id, count(*) AS n FROM pages WHERE page_id % 4 <> 0 GROUP BY 1),
+counts AS (SELECT chair_id, {", ".join(f"count(*) FILTER (WHERE action = '{a}') AS {a}" for a in ("created", "updated", "unchanged", "missed", "archived"))} FROM e1 GROUP BY chair_id)
+SELECT chair_id, ['success', 'partial', 'not_modified', 'failed'][length(chair_id) % 4 + 1] AS run_status, coalesce(created + updated + unchanged, 0) AS candidates, {", ".join(f"coalesce({a}, 0) AS {a}" for a in ("created", "updated", "unchanged", "missed", "archived"))},
+  CASE WHEN length(chair_id) % 4 < 2 THEN coalesce(n, 0) ELSE 0 END AS artifacts, CASE WHEN length(chair_id) % 4 = 1 THEN '[{{"url":"http://' || chair_id || '/x","error":"gone"}}]' ELSE '[]' END AS failures FROM hosts LEFT JOIN counts USING (chair_id) LEFT JOIN bodies USING (chair_id)""")
+def e1_a5_statistics(spark, d):
+    return _two_days(spark, d).statistics.withColumn("failures", F.to_json("failures"))
+
+
 # Odd hosts name selectors, of which the title is all of the first bold text and the link the first one of the menu; even ones do not.
 _ODD = "length(slug) % 2 = 1"
 
@@ -785,7 +836,8 @@ def j9_every_word(spark, d):
 def o3_deep_pages(spark, d):
     """A page in the middle of all, and the page behind its last row."""
     pages = catalog.Pages(_catalog(spark, d), "title")
-    first = [r["slug"] for r in (middle := pages.page(pages.total // 200 + 1, 100)).collect()]
+    middle = pages.page(pages.total // 200 + 1, 100)
+    first = [r["slug"] for r in middle.collect()]
     both = middle.unionByName(pages.after(first[-1], 100))
     return both.select("slug", "title", F.row_number().over(Window.orderBy(F.lower("title"), "slug")).cast("long").alias("place"))  # 200 rows
 
