@@ -14,11 +14,12 @@ from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import case_folded, contains_any, normal_title, stable_key
 from ..functions.urls import media_type, resolve
+from ..sources.commits import CommittedTable
 from ..sources.storage import checkpointed, shared_folder
 from .classify import DETAIL_MARKERS, classification, is_noise_title
 from .reconcile import dedup_titles
@@ -30,7 +31,7 @@ DROP_FOR_DISCOVERY = ("script", "style", "nav", "footer", "noscript")
 DROP_FOR_TEXT = ("script", "style", "noscript")
 HEADINGS = ("h1", "h2", "h3", "h4")
 
-_ITEMS = "page_id long, start long, end long, depth int, tag string, classes array<string>, attrs map<string, string>, text string"
+_ITEMS = "start long, end long, depth int, tag string, classes array<string>, attrs map<string, string>, text string"
 
 
 class _Reader(HTMLParser):
@@ -95,7 +96,39 @@ def explode_nodes(pages: DataFrame, drop: Sequence[str] = (), page_id: str = "pa
             out["attrs"] = out["attrs"].map(lambda a: None if a is None else dict(a))
             yield out
 
-    return pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).mapInPandas(run, _ITEMS)
+    named = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
+    return named.mapInPandas(run, f"page_id {named.schema['page_id'].dataType.simpleString()}, {_ITEMS}")
+
+
+class NodeTable:
+    """The nodes and texts of page bodies, parsed once for each body, however many pages and crawls hold it.
+
+    The table is kept by the digests of bodies; a page's items are found by its body's. Two writers that meet the same new body leave it once.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, drop: Sequence[str] = ()):
+        self.table, self.drop = CommittedTable(spark, root), tuple(drop)
+
+    def add(self, pages: DataFrame, html: str = "html") -> int:
+        """Parses the bodies that are not held yet, and returns how many they were. Null bodies are none."""
+        bodies = pages.where(F.col(html).isNotNull()).select(F.sha2(html, 256).alias("body"), F.col(html).alias("html"))
+        held = self.table.read(empty=f"body string, {_ITEMS}")
+        known = held.where("start = 0").select("body")
+        new = bodies.join(known, "body", "left_anti").dropDuplicates(["body"])
+        # A row at 0, where no node stands, says that a body has been parsed, also one without nodes.
+        items = explode_nodes(new, self.drop, "body").withColumnRenamed("page_id", "body")
+        marks = new.select("body", F.lit(0).cast("long").alias("start"), *(F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ", 1) for x in _ITEMS.replace("<string, string>", "<string,string>").split(", ")[1:])))
+        folder = checkpointed(items.unionByName(marks).repartition("body").sortWithinPartitions("body", "start"))
+        count = folder.where("start = 0").count()
+        if count:
+            self.table.append_new(folder, ["body"], together=True)
+        return count
+
+    def items(self, pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+        """explode_nodes() of pages, from the table; bodies that it does not hold are added."""
+        self.add(pages, html)
+        named = pages.select(F.col(page_id).alias("page_id"), F.sha2(html, 256).alias("body"))
+        return named.join(self.table.read(empty=f"body string, {_ITEMS}").where("start > 0"), "body").drop("body")
 
 
 def nodes_of(items: DataFrame) -> DataFrame:
@@ -193,18 +226,21 @@ def rank_blocks(matched: DataFrame, of_page: DataFrame, wanted: str) -> DataFram
 _RULE = ("candidate_selectors", "active_markers", "archive_markers", "excluded_markers", "excluded_titles", "opportunity_type", "source_implies_active_type", "classify_link_targets", "title_selector", "offer_link_selector")
 
 
-def discover(pages: DataFrame, rules: DataFrame, slug: str = "slug") -> DataFrame:
+def discover(pages: DataFrame, rules: DataFrame, slug: str = "slug", held: NodeTable | None = None) -> DataFrame:
     """Candidates of pages (page_id, url, slug, html) by the rule of each page's source; rules: as build_rules() makes them, one for each slug.
 
     The heading of a block is the first node of its title selector, or its first h1 to h5; with a title selector the
     markers are looked for in the whole block instead of the title. The offer's link is the first node of its link
     selector, or the first link with an active marker, or any if the source implies them. Pages without a rule have no candidate.
+    held: a table of nodes, from which bodies that were parsed before are taken.
     """
     asked = rules.select(F.col(slug).alias("__slug"), *_RULE)
     known = asked.select(F.explode(F.concat("candidate_selectors", F.array_compact(F.array("title_selector", "offer_link_selector")))).alias("selector"))
     ruled = pages.select("page_id", "url", F.col(slug).alias("slug"), "html").join(asked, F.col("slug") == F.col("__slug")).drop("__slug")
     of_page = ruled.select("page_id", "url", "slug", *_RULE, F.array_compact(F.array("title_selector")).alias("__title"), F.array_compact(F.array("offer_link_selector")).alias("__link"))
-    items = checkpointed(explode_nodes(ruled, DROP_FOR_DISCOVERY))  # pages are parsed once
+    if held is not None and set(held.drop) != set(DROP_FOR_DISCOVERY):
+        raise ValueError("a table of nodes without DROP_FOR_DISCOVERY is needed")
+    items = checkpointed(explode_nodes(ruled, DROP_FOR_DISCOVERY) if held is None else held.items(ruled))  # pages are parsed once
     nodes, texts = nodes_of(items), texts_of(items)
     # What a page's rule makes of each node that it matches: a block of some rank, a chosen title, a chosen link.
     index = lambda wanted: F.array_position(wanted, F.col("selector"))

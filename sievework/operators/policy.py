@@ -68,7 +68,20 @@ def admit(urls: DataFrame, origins: DataFrame, rules: DataFrame, agent: str) ->
     return joined.select(*(F.col(c) for c in urls.columns), verdict.alias("admission"))
 
 
-def audit(admitted: DataFrame) -> DataFrame:
-    """(origin, checked, allowed, compliant) of admit()'s rows."""
+def audit(admitted: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """(origin, checked, allowed, compliant) of admit()'s rows; with origins (origin, policy, status) also their policy and status, null where unknown."""
     ok = F.col("admission") == "allowed"
-    return admitted.groupBy(origin_of(F.col("url")).alias("origin")).agg(F.count("*").alias("checked"), F.count_if(ok).alias("allowed"), F.bool_and(ok).alias("compliant"))
+    found = admitted.groupBy(origin_of(F.col("url")).alias("origin")).agg(F.count("*").alias("checked"), F.count_if(ok).alias("allowed"), F.bool_and(ok).alias("compliant"))
+    return found if origins is None else found.join(origins.select("origin", "policy", "status"), "origin", "left")
+
+
+def exceptions(admitted: DataFrame) -> DataFrame:
+    """(url, origin, admission) of the distinct URLs that must not be fetched as things are."""
+    return admitted.where("admission <> 'allowed'").select("url", origin_of(F.col("url")).alias("origin"), "admission").distinct()
+
+
+def deferred(admitted: DataFrame, origins: DataFrame) -> DataFrame:
+    """(origin, policy, urls) of origins whose crawl waits: those that gave no usable answer, or are not known; urls: how many distinct ones wait."""
+    waits = (F.col("policy") == "temporarily_unavailable_defer_crawl") | F.col("policy").isNull()
+    asked = admitted.select(origin_of(F.col("url")).alias("origin"), "url").distinct().groupBy("origin").agg(F.count("*").alias("urls"))
+    return asked.join(origins.select("origin", "policy"), "origin", "left").where(waits).select("origin", "policy", "urls")

@@ -388,13 +388,17 @@ def r7_redirects(spark, d):
     return runs.redirect_chains(hops, part)
 
 
-def _admitted(spark, d):
+def _policies(spark, d):
     urls = table(spark, d, "pages").select("page_id", "url")
     origins = urls.select(U.origin_of(F.col("url")).alias("origin")).distinct()
     status = F.element_at(F.array(*map(F.lit, (200, 200, 404, 403, 503))), (F.length("origin") % 5 + 1).cast("int"))
-    known = origins.where("length(origin) % 7 <> 0").select("origin", policy.origin_policy(status).alias("policy"), (F.length("origin") % 11 != 0).alias("has_body"))
+    known = origins.where("length(origin) % 7 <> 0").select("origin", status.alias("status"), policy.origin_policy(status).alias("policy"), (F.length("origin") % 11 != 0).alias("has_body"))
     bodies = known.select("origin", F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/1\nDisallow: /en # no\nDisallow: /de/*\nDisallow:").alias("body"))
-    return policy.admit(urls, known, policy.parse_rules(bodies), "crawler")
+    return policy.admit(urls, known, policy.parse_rules(bodies), "crawler"), known
+
+
+def _admitted(spark, d):
+    return _policies(spark, d)[0]
 
 
 _R6 = """WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
@@ -412,6 +416,17 @@ def a10_s9_robots_audit(spark, d):
     return policy.audit(_admitted(spark, d))
 
 
+@query(_R6 + """, o AS (SELECT DISTINCT origin, CASE WHEN length(origin) % 7 <> 0 THEN status END AS status FROM r6) SELECT 'exception' AS kind, url AS subject, admission AS reason, 1 AS n FROM (SELECT DISTINCT url, admission FROM admitted JOIN pages USING (page_id)) WHERE admission <> 'allowed'
+  UNION ALL SELECT 'deferred', origin, CASE WHEN status = 503 THEN 'temporarily_unavailable_defer_crawl' ELSE 'unknown' END, (SELECT count(DISTINCT url) FROM u WHERE u.origin = o.origin) FROM o WHERE status IS NULL OR status = 503
+  UNION ALL SELECT 'origin', origin, coalesce(status, 0)::VARCHAR, (SELECT count(*) FROM u WHERE u.origin = o.origin) FROM o""")
+def s9_exceptions(spark, d):
+    """The lists of an audit: URLs that must not be fetched, origins that wait, and each origin's answer."""
+    admitted, known = _policies(spark, d)
+    refused = policy.exceptions(admitted).select(F.lit("exception").alias("kind"), F.col("url").alias("subject"), F.col("admission").alias("reason"), F.lit(1).cast("long").alias("n"))
+    waiting = policy.deferred(admitted, known).select(F.lit("deferred"), "origin", F.coalesce("policy", F.lit("unknown")), "urls")
+    return refused.union(waiting).union(policy.audit(admitted, known).select(F.lit("origin"), "origin", F.coalesce("status", F.lit(0)).cast("string"), "checked"))
+
+
 @query("SELECT count(DISTINCT url) AS total, count(DISTINCT url) FILTER (WHERE least_id % 3 = 0) AS stored, count(DISTINCT url) FILTER (WHERE least_id % 3 = 1) AS failed, count(DISTINCT url) FILTER (WHERE least_id % 3 = 2) AS pending FROM (SELECT url, min(page_id) OVER (PARTITION BY url) AS least_id FROM pages)")
 def r4_a3_a12_j4_backfill(spark, d):
     urls = table(spark, d, "pages").select("page_id", "url")
@@ -508,6 +523,17 @@ def h1_nodes(spark, d):
     return html.nodes_of(_items(spark, d)).groupBy("page_id").agg(F.array_join(tags, " ").alias("tags"), *(F.count_if(F.col("tag") == t).alias(n) for t, n in (("a", "links"), ("p", "paragraphs"))))
 
 
+@query("WITH bodies AS (SELECT html, min(page_id) % 2 AS first, len(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '<\\1>', 'gs'), '<[a-z][a-z0-9]*[^>]*>')) AS nodes FROM pages GROUP BY html) SELECT page_id, nodes, (SELECT count(DISTINCT html) FROM pages WHERE page_id % 2 = 0) AS parsed_first, (SELECT count(DISTINCT html) FROM pages WHERE html NOT IN (SELECT html FROM pages WHERE page_id % 2 = 0)) AS parsed_then, 0 AS parsed_again FROM pages JOIN bodies USING (html)")
+def s4_h1_node_table(spark, d):
+    """A captured snapshot of pages, read and parsed in two crawls; a third one parses nothing."""
+    home = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    table(spark, d, "pages").write.parquet(f"{home}/captured")
+    pages, held = storage.read_pages(spark, f"{home}/captured"), html.NodeTable(spark, f"{home}/nodes")
+    counts = [held.add(p) for p in (pages.where("page_id % 2 = 0"), pages, pages)]
+    found = html.nodes_of(held.items(pages)).groupBy("page_id").agg(F.count("*").alias("nodes"))
+    return found.select("page_id", "nodes", *(F.lit(n).cast("long").alias(name) for n, name in zip(counts, ("parsed_first", "parsed_then", "parsed_again"), strict=True)))
+
+
 @query(f"SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)<', 1), lambda x: trim({_DECODE.format('x')})), '|') AS said, len(regexp_extract_all(html, '<li><a href')) AS n FROM pages WHERE contains(html, '<li><a href')")
 def h2_j7_selectors(spark, d):
     items = _items(spark, d)
