@@ -690,16 +690,20 @@ def h11_j11_expand(spark, d):
 # ---- Streams: the log in several bounded batches, then what the last of them left.
 
 
-def _stream(spark, d, make=None, each=None) -> DataFrame:
-    """Runs a stream over the events, a third of them by time in each batch, and returns all rows that it wrote."""
+def _stream(spark, d, make=None, each=None, mixed=False) -> DataFrame:
+    """Runs a stream over the events, a third of them in each batch, and returns all rows that it wrote.
+
+    The thirds follow each other in time, or else times are mixed, and a last event far behind the others (user -1) lets time go on.
+    """
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = log.select(F.percentile_approx("ts", [1 / 3, 2 / 3])).first()[0] or []
-    third = sum((F.when(F.col("ts") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    third = F.pmod("event_id", F.lit(3)) if mixed else sum((F.when(F.col("ts") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     own = spark.newSession()  # stateful processors need a state store that other queries need not have
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    log.limit(0).write.parquet(f"{home}/in")  # a stream's folder must be there
     events = own.readStream.schema(log.schema).parquet(f"{home}/in")
     if each:
         stream_of, mode, keep = events, "append", each(f"{home}/out")
@@ -707,7 +711,11 @@ def _stream(spark, d, make=None, each=None) -> DataFrame:
         stream_of, mode = make(events)
         keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{home}/out/version={n:012d}")
     for n in range(len(cuts) + 1):  # a batch takes up what has arrived since the one before
-        log.where(third == n).write.mode("append").parquet(f"{home}/in")
+        rows = log.where(third == n)
+        if mixed and n == len(cuts):
+            end = log.agg((F.max("ts") + F.expr("interval 3000 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"))
+            rows = rows.unionByName(end.select(*((F.col(c) if c in end.columns else F.lit(None).cast(kind)).alias(c) for c, kind in log.dtypes)))
+        rows.write.mode("append").parquet(f"{home}/in")
         stream_of.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
     for part in ("in", "state"):
         remove(spark, f"{home}/{part}")
@@ -749,6 +757,22 @@ def t2_streak_stream(spark, d):
     return reconcile.latest_by(rows, "source_id", "batch").select("source_id", "consecutive_failures")
 
 
+@query(_L1.replace("SELECT user_id, status, m::INTEGER", "SELECT user_id::VARCHAR AS source_id, 'k' AS key, status, m::INTEGER"))
+def t1_lifecycle_in_time(spark, d):
+    """Events arrive in any order; what they come to is the replay in the order of their times."""
+    events = lambda e: e.select(F.col("user_id").cast("string").alias("source_id"), F.lit("k").alias("key"), "event_id", "ts", F.expr(_OUTCOMES).alias("outcome"))
+    rows = _stream(spark, d, lambda e: (stream.lifecycle_in_time(events(e), "2000 days"), "update"), mixed=True)
+    kept = rows.where("late_event_id is null and source_id <> '-1'").withColumn("id", F.concat_ws("|", "source_id", "key"))
+    return reconcile.latest_by(kept, "id", "batch").select("source_id", "key", "status", "consecutive_misses")
+
+
+@query(f"WITH {B.RUNS}, {_STREAK} SELECT source_id::VARCHAR AS source_id, consecutive_failures FROM streaks")
+def t2_streaks_in_time(spark, d):
+    status = F.create_map(*(F.lit(x) for kv in B.OUTCOME.items() for x in kv))[F.col("event_type")]
+    rows = _stream(spark, d, lambda e: (stream.streaks_in_time(e.select(F.col("user_id").cast("string").alias("source_id"), "event_id", "ts", status.alias("status")), "2000 days"), "update"), mixed=True)
+    return reconcile.latest_by(rows.where("late_event_id is null and source_id <> '-1'"), "source_id", "batch").select("source_id", "consecutive_failures")
+
+
 @query("SELECT DISTINCT user_id AS source_id, props AS content_hash FROM events")
 def t3_artifact_stream(spark, d):
     return _stream(spark, d, lambda e: (stream.new_artifacts(e.select(F.col("user_id").alias("source_id"), F.col("props").alias("content_hash"), "ts")), "append")).select("source_id", "content_hash")
@@ -850,7 +874,11 @@ def j9_terms(spark, d):
     return classify.with_terms(docs, "said", words).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
-@query("WITH t AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) > 2), found AS (SELECT doc_id, list_sort(list(term)) AS terms FROM documents JOIN t ON contains(lower(text), term) GROUP BY doc_id) SELECT doc_id, coalesce(len(terms), 0) AS n_terms, sha256(coalesce(array_to_string(terms, ','), '')) AS terms FROM documents LEFT JOIN found USING (doc_id)")
+# A term stands in a document if it stands in one of its words, whose parts are looked up.
+@query("""WITH said AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)), words AS (SELECT DISTINCT w FROM said WHERE length(w) > 2),
+parts AS (SELECT DISTINCT w, substr(w, i, n) AS term FROM (SELECT w, i, unnest(range(3, length(w) - i + 2)) AS n FROM (SELECT w, unnest(range(1, length(w) - 1)) AS i FROM words))),
+inside AS (SELECT p.w, term FROM parts p JOIN words ON term = words.w), found AS (SELECT doc_id, list_sort(list(DISTINCT term)) AS terms FROM said JOIN inside USING (w) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(terms), 0) AS n_terms, sha256(coalesce(array_to_string(terms, ','), '')) AS terms FROM documents LEFT JOIN found USING (doc_id)""")
 def j9_every_word(spark, d):
     """Which of all words of all documents each document holds, also inside other words."""
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("said"))

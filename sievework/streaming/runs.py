@@ -80,6 +80,125 @@ def streaks(events: DataFrame) -> DataFrame:
     return events.groupBy("source_id").transformWithStateInPandas(Streak(), STREAKS, "Update", "None")
 
 
+class _InTimeOrder(StatefulProcessor):
+    """Holds a key's events back until the watermark has passed them, and then takes them in the order of (at, event_id).
+
+    So the order of arrival does not matter as long as no event is later than the watermark; one that is comes out aside, with its id.
+    Times are milliseconds.
+    """
+
+    fields, start = "", ()
+
+    def __init__(self, columns: list[str], keep_ms: int | None = None):
+        self.columns, self.keep_ms = columns, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, what string")
+        self.state = handle.getValueState("state", f"{self.fields}, at long")
+
+    def take(self, values: tuple, what: str) -> tuple:
+        raise NotImplementedError
+
+    def shown(self, values: tuple) -> tuple | None:
+        return values
+
+    def is_over(self, values: tuple) -> bool:
+        return False
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.columns)
+        numbers = [isinstance(x, int) for x in (*self.start, 0)]  # the state's values and the late event's id
+        return out.astype({name: "Int64" for name, is_number in zip(self.columns[-len(numbers) :], numbers, strict=True) if is_number})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed, late, times = timerValues.getCurrentWatermarkInMs(), [], set()
+        for pdf in rows:
+            for at, event, what in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["what"].tolist(), strict=True):
+                if at < passed:
+                    late.append((*key, *[None] * len(self.start), event))
+                else:
+                    self.waiting.appendValue((at, event, what))
+                    times.add(at)
+        for at in times:
+            self.handle.registerTimer(at)
+        if late:
+            yield self._rows(late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(x) for x in self.waiting.get())
+        ready = [x for x in held if x[0] <= passed]
+        *values, last = self.state.get() if self.state.exists() else (*self.start, None)
+        values = tuple(values)
+        for at, _, what in ready:
+            values, last = self.take(values, what), at
+        if ready:
+            if len(ready) < len(held):
+                self.waiting.put(held[len(ready) :])
+            else:
+                self.waiting.clear()
+            self.state.update((*values, last))
+            if self.keep_ms is not None:
+                self.handle.registerTimer(last + self.keep_ms)
+            if (shown := self.shown(values)) is not None:
+                yield self._rows([(*key, *shown, None)])
+        elif self.keep_ms is not None and last is not None and last + self.keep_ms <= passed and not held and self.is_over(values):
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedLifecycle(_InTimeOrder):
+    """Keyed by (source_id, key). An archived listing without an event for keep_ms is forgotten: it would start anew when it is seen."""
+
+    fields, start = "status string, misses int", ("", 0)
+
+    def take(self, values, what):
+        status, misses = values
+        return step(status, misses, what) if status or what == "seen" else values
+
+    def shown(self, values):
+        return values if values[0] else None
+
+    def is_over(self, values):
+        return values[0] == "archived"
+
+
+class OrderedStreak(_InTimeOrder):
+    """Keyed by source_id."""
+
+    fields, start = "n long", (0,)
+
+    def take(self, values, what):
+        return (0 if what in CLEAN else values[0] + (what in FAULTY),)
+
+
+def _in_time(events: DataFrame, late: str, ts: str, keys: list[str], what: str) -> DataFrame:
+    # The processor is to see late events too, so it is given the time as a number, which the engine does not filter by.
+    marked = events.withWatermark(ts, late)
+    return marked.select(*keys, F.unix_millis(ts).alias("at"), "event_id", F.col(what).alias("what")).groupBy(*keys)
+
+
+def lifecycle_in_time(events: DataFrame, late: str, keep: str | None = None, ts: str = "ts") -> DataFrame:
+    """lifecycle() for events that arrive in any order, up to `late` behind the newest: an update whenever the watermark passes events of a listing.
+
+    Events that are later than that come out as rows with late_event_id and change nothing. keep: how long after its last event an archived
+    listing is remembered.
+    """
+    keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
+    columns = ["source_id", "key", "status", "consecutive_misses", "late_event_id"]
+    grouped = _in_time(events, late, ts, columns[:2], "outcome")
+    return grouped.transformWithStateInPandas(OrderedLifecycle(columns, keep_ms), f"{LISTINGS}, late_event_id long", "Update", "EventTime")
+
+
+def streaks_in_time(events: DataFrame, late: str, ts: str = "ts") -> DataFrame:
+    """streaks() for events that arrive in any order, as lifecycle_in_time()."""
+    columns = ["source_id", "consecutive_failures", "late_event_id"]
+    return _in_time(events, late, ts, columns[:1], "status").transformWithStateInPandas(OrderedStreak(columns), f"{STREAKS}, late_event_id long", "Update", "EventTime")
+
+
 def new_artifacts(events: DataFrame, watermark: str | None = None, ts: str = "ts") -> DataFrame:
     """Each (source_id, content_hash) once: for ever, with state that grows, or within a watermark, with bounded state."""
     keys = ["source_id", "content_hash"]
