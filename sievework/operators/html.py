@@ -311,14 +311,21 @@ def expand_links(starts: DataFrame, links: DataFrame, snapshot: DataFrame, max_d
     held = snapshot.select(F.col("url").alias("held")).distinct()
     # Only pages that the snapshot holds have links to follow; this is settled once for all hops.
     step = links.select("from_url", F.col("url").alias("to")).distinct().join(held, F.col("from_url") == F.col("held"), "left_semi")
-    step = checkpointed(step.repartition("from_url"))
+    step.write.parquet(f"{home}-links")
+    step = spark.read.parquet(f"{home}-links")
     starts.toDF("url").distinct().select(F.col("url").alias("start"), "url").write.parquet(f"{home}/depth=0")
-    for depth in range(1, max_depth + 1):
+
+    def hop(depth: int) -> tuple[DataFrame, DataFrame]:
+        """What has been reached before, and what this hop adds."""
         seen = spark.read.parquet(home)
         edge = seen.where(F.col("depth") == depth - 1)
         reached = edge.join(step, edge["url"] == step["from_url"]).select("start", F.col("to").alias("url")).distinct()
-        reached.join(seen.select("start", "url"), ["start", "url"], "left_anti").write.parquet(f"{home}/depth={depth}")
-        if spark.read.parquet(f"{home}/depth={depth}").isEmpty():
-            break
+        return seen, reached.join(seen.select("start", "url"), ["start", "url"], "left_anti")
+
+    for depth in range(1, max_depth):
+        hop(depth)[1].write.parquet(f"{home}/depth={depth}")
     seen = spark.read.parquet(home)
+    if max_depth > 0:  # nothing goes on from the last hop, so it need not be written
+        seen, last = hop(max_depth)
+        seen = seen.unionByName(last.withColumn("depth", F.lit(max_depth)))
     return seen.join(held, seen["url"] == held["held"], "left").select("start", "url", F.col("depth").cast("int").alias("depth"), F.col("held").isNotNull().alias("found"))
