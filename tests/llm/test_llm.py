@@ -408,16 +408,30 @@ def test_op5(spark, folder, rows):
     assert sum(g["score"] for g in got.values()) > sum(g["base_score"] for g in got.values())
 
 
-@pytest.mark.parametrize("block", [3000, 1])
-def test_op5_in_many_blocks(spark, folder, monkeypatch, block):
+@pytest.mark.parametrize(("block", "direct"), [(3000, 4096), (1, 4096), (3000, 0), (400, 5)])
+def test_op5_in_many_blocks(spark, folder, monkeypatch, block, direct):
     one = by_id(result(spark, folder, "op5_lm_score"))
     monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "DIRECT", direct)
     many = by_id(result(spark, folder, "op5_lm_score"))
     assert set(one) == set(many)
     for d, r in one.items():
         assert all(math.isclose(r[c], many[d][c], abs_tol=1e-6) if isinstance(r[c], float) else r[c] == many[d][c] for c in r)
 
 
+def test_rows_between_blocks_grow_slower_than_their_square(spark, monkeypatch):
+    monkeypatch.setattr(lm, "DIRECT", 0)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = {}
+    for blocks in (16, 64):
+        dealt = spark.createDataFrame([(b, False, " ".join(rng.choices(words, k=400))) for b in range(blocks)], "block long, held_out boolean, text string")
+        answers, sizes = lm.exchanged(dealt, blocks, 2)
+        rows[blocks] = answers.count()
+        assert sizes.first()["total"] == 401 * blocks
+    assert rows[64] <= 8 * rows[16] <= 8 * 16 * 4 * 2
+
+
 def plain_backoff(texts, order, prior):
     grams = [Counter(tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
     total, distinct = sum(grams[0].values()), len(grams[0])
@@ -430,9 +444,10 @@ def plain_backoff(texts, order, prior):
     return p
 
 
-@pytest.mark.parametrize(("order", "block"), [(1, 16 << 20), (2, 60), (3, 16 << 20), (3, 60), (4, 1)])
-def test_automaton_scores_as_the_recursion_does(spark, monkeypatch, order, block):
+@pytest.mark.parametrize(("order", "block", "direct"), [(1, 16 << 20, 4096), (2, 60, 4096), (3, 16 << 20, 0), (3, 60, 4096), (3, 60, 0), (4, 1, 20)])
+def test_automaton_scores_as_the_recursion_does(spark, monkeypatch, order, block, direct):
     monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "DIRECT", direct)
     rng = random.Random(order)
     texts = [" ".join(rng.choices("abcdefgh", weights=[9, 7, 5, 3, 2, 1, 1, 1], k=rng.randint(0, 25))) for _ in range(30)] + ["unseen", "a once", "A a\x0bB"]
     docs = spark.createDataFrame([(i, t, i % 4 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
