@@ -40,6 +40,8 @@ LEAST_PAGES, LEAST_IN_ARTICLE = 3, 5
 ARTICLE_SHARE, HINT_SHARE = 0.9, 0.5
 #: The share of an article's text that template in it makes up at most.
 TEMPLATE_SHARE = 0.2
+#: Elements that may hold a part of their own, such as a notice. A standing line beside text that varies is the article's: a label, a licence.
+BOXES = {"div", "section", "ul", "ol", "dl", "table", "figure", "details"}
 #: Bytes of wrappers that are sent to all tasks at most; more are joined by a shuffle of the pages.
 MOST_BROADCAST = 8 << 20
 #: Shapes that a task aligns at once.
@@ -351,10 +353,13 @@ def decide(wrapper: list, seen: dict[int, tuple], pages: int) -> str:
     verdicts = [_by_names(path, trusted) for path in slots]
     if "2" in verdicts:
         article = sum(facts[i][1] for i, v in enumerate(verdicts) if v == "2")
+        moving = {at for i, path in enumerate(slots) if facts[i][1] and not facts[i][4] for at, _ in path}
         for i, path in enumerate(slots):
             n, chars, _, _, same = facts[i]
-            if verdicts[i] == "2":
-                if same and contents >= LEAST_IN_ARTICLE <= n and 2 * n >= pages and chars <= TEMPLATE_SHARE * article and not _HEADINGS & set(_names(path)):
+            if verdicts[i] == "2":  # template is a box of its own or links
+                standing = same and contents >= LEAST_IN_ARTICLE <= n and 2 * n >= pages and chars <= TEMPLATE_SHARE * article
+                boxed = any(name in BOXES and at not in moving for (at, _), name in zip(path, _names(path), strict=True))
+                if standing and not _HEADINGS & set(_names(path)) and (boxed or 2 * facts[i][2] > chars):
                     verdicts[i] = "0"
             elif fixed[i]:
                 verdicts[i] = "0"

@@ -346,6 +346,14 @@ def test_template_within_articles_goes_by_evidence(spark):
     assert extracted(spark, pages) == {i: plain(a) for i, (a, _) in enumerate(texts)}
 
 
+def test_standing_lines_of_articles_stay(spark):
+    """A label or a licence line beside text that varies is the article's; a box of its own and links are template."""
+    rng = random.Random(23)
+    texts = [(sentence(rng), sentence(rng), sentence(rng)) for _ in range(9)]
+    pages = [f"<body><article><blockquote>Abstract</blockquote><p>{a}</p><address><a href='/'>Back to all</a></address><div class='zz'><p>Tell your friends</p></div><p>{b}</p><p>{c}</p><address>Free to copy</address></article></body>" for a, b, c in texts]
+    assert extracted(spark, pages) == {i: "\n".join(["Abstract", a, b, c, "Free to copy"]) for i, (a, b, c) in enumerate(texts)}
+
+
 def plain_article(page):
     """What pages of this one template say, read by plain expressions."""
     inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
@@ -526,6 +534,18 @@ def test_many_batches_compact_their_runs(spark):
     assert [len(x) for x in runs.levels] == [0, 1, 1] and sum(r.count() for r in runs.all()) == 6
 
 
+def test_line_runs_leave_the_session_as_it_was(spark):
+    """No table stays in the catalogue, no setting changes, and one text of very many lines is a text like others."""
+    state = lambda: ({t.name for t in spark.catalog.listTables()}, spark.conf.getAll)
+    before = state()
+    rows = [(1, "a line that others hold"), (2, "\n".join(f"line of number {i % 50_000}" for i in range(200_000)) + "\nA line that others hold "), (3, "line of number 7"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in linededup.drop_repeated_lines(docs).collect()}
+    assert state() == before
+    assert found[2][:2] == (200_001, 1) and found[2][2] == rows[1][1].rsplit("\n", 1)[0]
+    assert (found[1], found[3], found[None]) == ((1, 0, rows[0][1]), (1, 1, ""), (1, 0, ""))
+
+
 # ---- 7
 
 
