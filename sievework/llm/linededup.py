@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import remove
-from .common import BLANKS, ascii_lower, columns_of, shared_folder, stored, unused
+from .common import BLANKS, ascii_lower, columns_of, shared_folder, unused
 
 LEAST_CHARS = 10
 _LAST = (1 << 63) - 1
@@ -64,6 +64,14 @@ class Runs:
     def all(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in reversed(self.levels) for name in level]
 
+    def close(self) -> list[str]:
+        """Takes the runs out of the catalogue; their folders, which stay."""
+        names = [name for level in reversed(self.levels) for name in level]
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = []
+        return [self._path(name) for name in names]
+
     def _path(self, name: str) -> str:
         return f"{shared_folder(self.spark)}/{name}"
 
@@ -73,17 +81,26 @@ class Runs:
         return a.join(b.withColumnRenamed("owner", "other"), ["k1", "k2"], "full_outer").select("k1", "k2", F.coalesce("owner", "other").alias("owner"))
 
 
-_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings in which a bucket counts as sorted, since it is one sorted file; others' queries do not see that."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    return own
+
 
+def owners(spark: SparkSession, path: str, n_batches: int = 3, fan_in: int = 2) -> list[DataFrame]:
+    """Runs (k1, k2, owner) that hold every hash of the stored lines (k1, k2, id) once, with the smallest id that holds it.
 
-def owners(lines: DataFrame, n_batches: int = 3, fan_in: int = 2) -> list[DataFrame]:
-    """Runs (k1, k2, owner) that hold every hash of lines (k1, k2, id) once, with the smallest id that holds it."""
-    spark = lines.sparkSession
+    Lines without a second hash are left out. The catalogue holds the runs only while they are made; their files stay, as they are read for the result.
+    """
+    own = _own_session(spark)
+    lines = own.read.parquet(path).where(F.col("k2").isNotNull())
     cuts = lines.select(F.percentile_approx("id", [i / n_batches for i in range(1, n_batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    runs = Runs(spark, fan_in)
-    before = spark.conf.get(_SORTED)
-    spark.conf.set(_SORTED, "true")  # a bucket is one sorted file, which need not be sorted again
+    runs = Runs(own, fan_in)
     try:
         for low, high in zip(edges, edges[1:], strict=False):
             batch = lines
@@ -96,8 +113,8 @@ def owners(lines: DataFrame, n_batches: int = 3, fan_in: int = 2) -> list[DataFr
                 new = new.join(run, ["k1", "k2"], "left_anti")
             runs.add(new)
     finally:
-        spark.conf.set(_SORTED, before)
-    return runs.all()
+        paths = runs.close()
+    return [spark.read.schema("k1 long, k2 long, owner long").parquet(p) for p in paths]
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_batches: int = 3, fan_in: int = 2, kept: str = "kept", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
@@ -119,8 +136,12 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     long = F.char_length("key") >= LEAST_CHARS
     k1, k2 = _two_hashes(F.col("key"))
     # Short lines have no second hash and so no owner; their first one only spreads them.
-    keyed = stored(keyed.select("id", "of", "at", F.when(long, k1).otherwise(F.xxhash64("id", "at")).alias("k1"), F.when(long, k2).alias("k2")))
-    first = reduce(DataFrame.unionByName, owners(keyed.where(F.col("k2").isNotNull()), n_batches, fan_in))
+    keyed = keyed.select("id", "of", "at", F.when(long, k1).otherwise(F.xxhash64("id", "at")).alias("k1"), F.when(long, k2).alias("k2"))
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    keyed.write.parquet(path)
+    keyed = spark.read.schema(keyed.schema).parquet(path)
+    first = reduce(DataFrame.unionByName, owners(spark, path, n_batches, fan_in))
     judged = keyed.join(first, ["k1", "k2"], "left").select("id", "of", "at", F.coalesce(F.col("owner") < F.col("id"), F.lit(False)).alias("drop"))
     flags = judged.groupBy(F.col("id").alias(own_id), F.col("of").alias(own_of)).agg(F.transform(F.sort_array(F.collect_set(F.struct("at", "drop"))), lambda x: x["drop"]).alias(flag))
     named = docs.select("*", ident.alias(own_id), of.alias(own_of))
