@@ -12,8 +12,9 @@ import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from html.parser import HTMLParser
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,10 @@ DROP_FOR_TEXT = ("script", "style", "noscript")
 HEADINGS = ("h1", "h2", "h3", "h4")
 
 _ITEMS = "start long, end long, depth int, tag string, classes array<string>, attrs map<string, string>, text string"
+_NAMES = ["start", "end", "depth", "tag", "classes", "attrs", "text"]
+_ARROW = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string()]
+#: Nodes and texts that are Python objects at a time, whatever the number of pages in a batch that is read.
+ITEMS_A_BATCH = 4096
 
 
 class _Reader(HTMLParser):
@@ -82,6 +87,24 @@ class _Reader(HTMLParser):
         return self.rows
 
 
+def _parsed(parts: Iterator[pa.RecordBatch], dropped: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Items of batches (page_id, html), in batches of their own: one page is taken apart at a time, however many a batch holds."""
+    page_type = pa.null()
+
+    def read():
+        nonlocal page_type
+        for batch in parts:
+            page_type = batch.schema.field("page_id").type
+            for key, page in zip(*batch.columns, strict=True):
+                if page := page.as_py():
+                    of = key.as_py()
+                    yield from ((of, *r) for r in _Reader(dropped).read(page))
+
+    rows = read()
+    while out := list(islice(rows, ITEMS_A_BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [page_type, *_ARROW], strict=True)], ["page_id", *_NAMES])
+
+
 def explode_nodes(pages: DataFrame, drop: Sequence[str] = (), page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, start, end, depth, tag, classes, attrs, text): nodes, and texts, whose tag is null.
 
@@ -89,15 +112,8 @@ def explode_nodes(pages: DataFrame, drop: Sequence[str] = (), page_id: str = "pa
     """
     dropped = frozenset(drop)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [[key, *r] for key, page in zip(pdf["page_id"], pdf["html"], strict=True) if page for r in _Reader(dropped).read(page)]
-            out = pd.DataFrame(rows, columns=["page_id", "start", "end", "depth", "tag", "classes", "attrs", "text"])
-            out["attrs"] = out["attrs"].map(lambda a: None if a is None else dict(a))
-            yield out
-
     named = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
-    return named.mapInPandas(run, f"page_id {named.schema['page_id'].dataType.simpleString()}, {_ITEMS}")
+    return named.mapInArrow(lambda parts: _parsed(parts, dropped), f"page_id {named.schema['page_id'].dataType.simpleString()}, {_ITEMS}")
 
 
 class NodeTable:

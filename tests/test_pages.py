@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,14 @@ def test_prefix_rules_are_met_by_equality(spark):
         path = rest if rest.startswith("/") else "/" + rest
         first = next((allow for o, agent, _, allow, prefix in rows if o == origin and agent == "bot" and path.startswith(prefix)), True)
         assert admission == ("allowed" if first else "disallowed"), url
+
+
+def test_pages_are_taken_apart_one_at_a_time():
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(3000)), "html": ["<p class='a b'>x</p>" * 10] * 3000})
+    found = list(html._parsed(iter([pages]), frozenset()))
+    assert sum(b.num_rows for b in found) == 60_000 and max(b.num_rows for b in found) <= html.ITEMS_A_BATCH
+    read = []
+    html_of = type("Read", (), {"columns": [pages.column(0), pages.column(1)], "schema": pages.schema})
+    lazy = html._parsed((read.append(1) or html_of for _ in range(2)), frozenset())
+    next(lazy)
+    assert len(read) == 1  # the first items come before the next pages are asked for
