@@ -698,7 +698,7 @@ def _stream(spark, d, make=None, each=None, mixed=False) -> DataFrame:
     """
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    cuts = log.select(F.percentile_approx("ts", [1 / 3, 2 / 3])).first()[0] or []
+    cuts = runs.quantiles(log, "ts", (1, 2), 3)
     third = F.pmod("event_id", F.lit(3)) if mixed else sum((F.when(F.col("ts") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     own = spark.newSession()  # stateful processors need a state store that other queries need not have
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
