@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +28,11 @@ def step(status: str, misses: int, outcome: str) -> tuple[str, int]:
     return status, misses
 
 
+def _ordered(rows: Iterator[Row], what: str) -> list[tuple]:
+    """(at, event_id, what) of one key's rows of a batch in order; nulls come last."""
+    return sorted(((r["at"], r["event_id"], r[what]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0))
+
+
 class Lifecycle(StatefulProcessor):
     """Keyed by (source_id, key), so that a source with many listings spreads; events: (ts, outcome).
 
@@ -35,20 +40,20 @@ class Lifecycle(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("listing", "status string, misses int, at timestamp")
+        self.state = handle.getValueState("listing", "status string, misses int, at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        status, misses, at = self.state.get() if self.state.exists() else (None, 0, None)
-        for ts, outcome in zip(events["ts"], events["outcome"], strict=True):
-            if at is not None and pd.Timestamp(ts) < pd.Timestamp(at):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.state.get()
+        status, misses, at = known if known is not None else (None, 0, None)
+        for ts, _, outcome in _ordered(rows, "outcome"):
+            if None not in (ts, at) and ts < at:
                 continue
             if status is not None or outcome == "seen":
                 status, misses = step(status or "", misses, outcome)
-                at = ts
+                at = at if ts is None else ts
         if status is not None:
-            self.state.update((status, misses, pd.Timestamp(at).to_pydatetime()))
-            yield pd.DataFrame({"source_id": [key[0]], "key": [key[1]], "status": [status], "consecutive_misses": [misses]})
+            self.state.update((status, misses, at))
+            yield Row(source_id=key[0], key=key[1], status=status, consecutive_misses=misses)
 
     def close(self) -> None:
         pass
@@ -60,12 +65,13 @@ class Streak(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("streak", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.state.get()[0] if self.state.exists() else 0
-        for status in pd.concat(list(rows)).sort_values(["ts", "event_id"])["status"]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.state.get()
+        n = known[0] if known is not None else 0
+        for _, _, status in _ordered(rows, "status"):
             n = 0 if status in CLEAN else n + (status in FAULTY)
         self.state.update((n,))
-        yield pd.DataFrame({"source_id": [key[0]], "consecutive_failures": [n]})
+        yield Row(source_id=key[0], consecutive_failures=n)
 
     def close(self) -> None:
         pass
@@ -73,11 +79,13 @@ class Streak(StatefulProcessor):
 
 def lifecycle(events: DataFrame) -> DataFrame:
     """An update for each listing in each batch, from (source_id, key, event_id, ts, outcome)."""
-    return events.groupBy("source_id", "key").transformWithStateInPandas(Lifecycle(), LISTINGS, "Update", "None")
+    marked = events.select("source_id", "key", "event_id", F.unix_micros("ts").alias("at"), "outcome")
+    return marked.groupBy("source_id", "key").transformWithState(Lifecycle(), LISTINGS, "Update", "None")
 
 
 def streaks(events: DataFrame) -> DataFrame:
-    return events.groupBy("source_id").transformWithStateInPandas(Streak(), STREAKS, "Update", "None")
+    marked = events.select("source_id", "event_id", F.unix_micros("ts").alias("at"), "status")
+    return marked.groupBy("source_id").transformWithState(Streak(), STREAKS, "Update", "None")
 
 
 class _InTimeOrder(StatefulProcessor):
@@ -90,7 +98,7 @@ class _InTimeOrder(StatefulProcessor):
     fields, start = "", ()
 
     def __init__(self, columns: list[str], keep_ms: int | None = None):
-        self.columns, self.keep_ms = columns, keep_ms
+        self.row, self.keep_ms = Row(*columns), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -106,43 +114,39 @@ class _InTimeOrder(StatefulProcessor):
     def is_over(self, values: tuple) -> bool:
         return False
 
-    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.columns)
-        numbers = [isinstance(x, int) for x in (*self.start, 0)]  # the state's values and the late event's id
-        return out.astype({name: "Int64" for name, is_number in zip(self.columns[-len(numbers) :], numbers, strict=True) if is_number})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed, late, times = timerValues.getCurrentWatermarkInMs(), [], set()
-        for pdf in rows:
-            for at, event, what in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["what"].tolist(), strict=True):
-                if at < passed:
-                    late.append((*key, *[None] * len(self.start), event))
-                else:
-                    self.waiting.appendValue((at, event, what))
-                    times.add(at)
-        for at in times:
-            self.handle.registerTimer(at)
-        if late:
-            yield self._rows(late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        passed, new = timerValues.getCurrentWatermarkInMs(), []
+        for r in rows:
+            at, event, what = r["at"], r["event_id"], r["what"]
+            if at < passed:
+                yield self.row(*key, *[None] * len(self.start), event)
+            else:
+                new.append((at, event, what))
+        if new:
+            # One timer at the first of them is enough: what is still held when it goes off sets the next one.
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         held = sorted(tuple(x) for x in self.waiting.get())
         ready = [x for x in held if x[0] <= passed]
-        *values, last = self.state.get() if self.state.exists() else (*self.start, None)
+        known = self.state.get()
+        *values, last = known if known is not None else (*self.start, None)
         values = tuple(values)
         for at, _, what in ready:
             values, last = self.take(values, what), at
         if ready:
             if len(ready) < len(held):
                 self.waiting.put(held[len(ready) :])
+                self.handle.registerTimer(held[len(ready)][0])
             else:
                 self.waiting.clear()
             self.state.update((*values, last))
             if self.keep_ms is not None:
                 self.handle.registerTimer(last + self.keep_ms)
             if (shown := self.shown(values)) is not None:
-                yield self._rows([(*key, *shown, None)])
+                yield self.row(*key, *shown, None)
         elif self.keep_ms is not None and last is not None and last + self.keep_ms <= passed and not held and self.is_over(values):
             self.state.clear()
 
@@ -190,13 +194,13 @@ def lifecycle_in_time(events: DataFrame, late: str, keep: str | None = None, ts:
     keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
     columns = ["source_id", "key", "status", "consecutive_misses", "late_event_id"]
     grouped = _in_time(events, late, ts, columns[:2], "outcome")
-    return grouped.transformWithStateInPandas(OrderedLifecycle(columns, keep_ms), f"{LISTINGS}, late_event_id long", "Update", "EventTime")
+    return grouped.transformWithState(OrderedLifecycle(columns, keep_ms), f"{LISTINGS}, late_event_id long", "Update", "EventTime")
 
 
 def streaks_in_time(events: DataFrame, late: str, ts: str = "ts") -> DataFrame:
     """streaks() for events that arrive in any order, as lifecycle_in_time()."""
     columns = ["source_id", "consecutive_failures", "late_event_id"]
-    return _in_time(events, late, ts, columns[:1], "status").transformWithStateInPandas(OrderedStreak(columns), f"{STREAKS}, late_event_id long", "Update", "EventTime")
+    return _in_time(events, late, ts, columns[:1], "status").transformWithState(OrderedStreak(columns), f"{STREAKS}, late_event_id long", "Update", "EventTime")
 
 
 def new_artifacts(events: DataFrame, watermark: str | None = None, ts: str = "ts") -> DataFrame:

@@ -54,3 +54,29 @@ def test_an_old_failure_after_a_clean_run_does_not_count(spark, tmp_path):
     batches = [[("a", "k", 1, at(10), "", "success"), ("a", "k", 2, at(20), "", "failed")], [("a", "k", 3, at(5), "", "failed"), ("a", "k", 4, at(30), "", "skipped"), ("a", "k", 5, at(15), "", "partial")], [("end", "k", 6, at(5000), "", "success")]]
     found = run(spark, tmp_path, batches, lambda e: stream.streaks_in_time(e, "1 day"))
     assert [r["consecutive_failures"] for r in found.where("source_id = 'a'").orderBy("batch").collect()][-1] == 2
+
+
+def test_a_key_has_one_timer_for_what_it_holds():
+    class Handle:
+        timers, values, held = [], None, []
+        registerTimer = timers.append
+        getListState = lambda self, *_: self
+        getValueState = lambda self, *_: type("V", (), {"get": lambda s: None, "update": lambda s, v: None})()
+        appendList = held.extend
+
+    row, handle = stream.Row("at", "event_id", "what"), Handle()
+    state = stream.OrderedStreak(["source_id", "consecutive_failures", "late_event_id"])
+    state.init(handle)
+    passed = type("T", (), {"getCurrentWatermarkInMs": lambda s: 0})()
+    assert list(state.handleInputRows(("a",), iter([row(at, at, "failed") for at in range(500, 5, -1)]), passed)) == []
+    assert handle.timers == [6] and len(handle.held) == 495
+
+
+def test_quantiles_are_exact(spark):
+    from sievework.operators.runs import quantiles
+
+    values = [(i * 7919) % 100_003 for i in range(100_003)] * 2
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    assert quantiles(rows, "v", (1, 2), 3) == [sorted(values)[-(-len(values) * p // 3) - 1] for p in (1, 2)]
+    assert quantiles(rows.where("v is null"), "v", (1, 2), 3) == []
+    assert quantiles(rows.where("v = 5"), "v", (1, 2), 3) == [5, 5]
