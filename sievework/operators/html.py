@@ -7,6 +7,7 @@ between start and end. Everything after that is relational.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator, Sequence
@@ -315,33 +316,65 @@ def extract_text(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "media", text.alias("text"), F.when(text.isNull(), F.concat(F.lit("unsupported media type: "), F.col("media"))).alias("error"))
 
 
+#: Links of a page that stand in one row, about; pairs of a start and a page that one task tells apart, about; lots so many times larger are told by pairs.
+ROW_LINKS, LOT_PAIRS, HEAVY = 65_536, 1_000_000, 8
+
+
 def expand_links(starts: DataFrame, links: DataFrame, snapshot: DataFrame, max_depth: int = 2) -> DataFrame:
     """(start, url, depth, found): pages reached from each start within max_depth links (from_url, url).
 
     A page is reached once, at its least depth. found tells whether snapshot (url) holds it; only
-    pages that it holds are gone through. Each hop reads what the one before has written and adds its own to one
-    folder, by depth: a hop's work is in proportion to its pages, and its plan is the same at any depth.
+    pages that it holds are gone through; a link without an address is none. Each hop reads what the ones before have
+    written and adds its own to one folder, by depth, so that its plan is the same at any depth.
+
+    Starts are dealt into lots by ranges. A lot gets the list of links of each page that its starts have reached once, and
+    makes and tells apart its pairs of starts and pages where they are: what a hop moves is lists, not the pairs that it makes.
     """
     spark = starts.sparkSession
     home = f"{shared_folder(spark)}/reached-{uuid.uuid4().hex}"
     held = snapshot.select(F.col("url").alias("held")).distinct()
-    # Only pages that the snapshot holds have links to follow; this is settled once for all hops.
-    step = links.select("from_url", F.col("url").alias("to")).distinct().join(held, F.col("from_url") == F.col("held"), "left_semi")
-    step.write.parquet(f"{home}-links")
-    step = spark.read.parquet(f"{home}-links")
-    starts.toDF("url").distinct().select(F.col("url").alias("start"), "url").write.parquet(f"{home}/depth=0")
-
-    def hop(depth: int) -> tuple[DataFrame, DataFrame]:
-        """What has been reached before, and what this hop adds."""
+
+    def with_found(df: DataFrame) -> DataFrame:
+        return df.join(held, df["url"] == held["held"], "left").withColumn("found", F.col("held").isNotNull()).drop("held")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{home}-{name}")
+        return spark.read.parquet(f"{home}-{name}")
+
+    with_found(starts.toDF("url").distinct()).select(F.col("url").alias("start"), "url", "found").write.parquet(f"{home}/depth=0")
+    given = links.select("from_url", "url").where("from_url IS NOT NULL AND url IS NOT NULL")
+    hubs = given.groupBy(F.col("from_url").alias("hub")).agg(F.ceil(F.count("*") / ROW_LINKS).alias("rows")).where("rows > 1")
+    row = F.pmod(F.xxhash64("url"), F.coalesce("rows", F.lit(1))).alias("row")
+    listed = with_found(given).join(F.broadcast(hubs), F.col("from_url") == F.col("hub"), "left")  # a hub for each ROW_LINKS links at most
+    lists = stored(listed.groupBy("from_url", F.col("found").alias("to_found"), row).agg(F.collect_set("url").alias("to")), "links")
+    of_page = 2 * (lists.agg(F.avg(F.size("to"))).first()[0] or 0)  # those that the snapshot holds and the others are rows of their own
+
+    def hop(depth: int) -> DataFrame:
+        """What this hop adds."""
         seen = spark.read.parquet(home)
-        edge = seen.where(F.col("depth") == depth - 1)
-        reached = edge.join(step, edge["url"] == step["from_url"]).select("start", F.col("to").alias("url")).distinct()
-        return seen, reached.join(seen.select("start", "url"), ["start", "url"], "left_anti")
+        edge = F.col("found") & (F.col("depth") == depth - 1)
+        every, edges = seen.agg(F.count("*"), F.count_if(edge)).first()
+        lots = max(1, math.ceil((every + edges * of_page) / LOT_PAIRS))
+        ranged = seen.repartitionByRange(lots, "start").withColumn("lot", F.spark_partition_id())
+        groups = stored(ranged.groupBy("lot", "url", "found", "depth").agg(F.collect_list("start").alias("starts")), f"groups-{depth}")
+        before = groups.select("lot", "starts", F.array("url").alias("urls"), "found", "depth")
+        after = groups.where(edge).join(lists, F.col("url") == F.col("from_url"))
+        dealt = stored(before.unionByName(after.select("lot", "starts", F.col("to").alias("urls"), F.col("to_found").alias("found"), F.lit(depth).alias("depth"))), f"lots-{depth}")
+        size = F.sum(F.size("starts").cast("long") * F.size("urls"))
+        heavy = F.broadcast(dealt.groupBy("lot").agg(size.alias("pairs")).where(F.col("pairs") > HEAVY * LOT_PAIRS).select("lot"))  # a row for each lot at most
+
+        def told(lists: DataFrame, *lot: str) -> DataFrame:
+            rows = lists.select(*lot, F.explode("starts").alias("start"), "urls", "found", "depth")
+            rows = rows.select(*lot, "start", F.explode("urls").alias("url"), "found", "depth")
+            return rows.groupBy(*lot, "start", "url", "found").agg(F.min("depth").alias("least")).where(F.col("least") == depth).select("start", "url", "found")
+
+        # A lot's rows meet in one task, and its pairs stay there. A start that reaches so many pages that its lot is heavy spreads over tasks.
+        own = told(dealt.join(heavy, "lot", "left_anti").repartitionById(lots, F.col("lot")), "lot")
+        return own.unionByName(told(dealt.join(heavy, "lot", "left_semi")))
 
     for depth in range(1, max_depth):
-        hop(depth)[1].write.parquet(f"{home}/depth={depth}")
+        hop(depth).write.parquet(f"{home}/depth={depth}")
     seen = spark.read.parquet(home)
     if max_depth > 0:  # nothing goes on from the last hop, so it need not be written
-        seen, last = hop(max_depth)
-        seen = seen.unionByName(last.withColumn("depth", F.lit(max_depth)))
-    return seen.join(held, seen["url"] == held["held"], "left").select("start", "url", F.col("depth").cast("int").alias("depth"), F.col("held").isNotNull().alias("found"))
+        seen = seen.unionByName(hop(max_depth).withColumn("depth", F.lit(max_depth)))
+    return seen.select("start", "url", F.col("depth").cast("int").alias("depth"), "found")

@@ -1,6 +1,7 @@
 """Structural joins against a tree that is walked by hand, pages of a sorted table, hops and prefix rules."""
 
 import random
+import re
 import time
 
 import pyarrow as pa
@@ -170,3 +171,25 @@ def test_pages_are_taken_apart_one_at_a_time():
     lazy = html._parsed((read.append(1) or html_of for _ in range(2)), frozenset())
     next(lazy)
     assert len(read) == 1  # the first items come before the next pages are asked for
+
+
+@pytest.mark.parametrize("lot, heavy, row", [(40, 8, 5), (40, 0, 2), (10**6, 8, 10**6)])
+def test_hops_tell_their_pairs_apart_by_lots(spark, monkeypatch, lot, heavy, row):
+    """Many lots, lots told by pairs, and lists of links in several rows: the same pages at the same depths; and no exchange of a lot's pairs."""
+    for name, value in (("ROW_LINKS", row), ("LOT_PAIRS", lot), ("HEAVY", heavy)):
+        monkeypatch.setattr(html, name, value)
+    links = [(a, b) for a in range(30) for b in range(30, 60) if (a * b) % 4] + [(b, (b * 7) % 90) for b in range(30, 60)] + [(3, None), (None, 4)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    held = [n for n in range(90) if n % 3]
+    made = html.expand_links(frame([(n,) for n in range(30)], "url int"), frame(links, "from_url int, url int"), frame([(n,) for n in held], "url int"))
+    got = sorted((r["start"], r["url"], r["depth"], r["found"]) for r in made.collect())
+    want = []
+    for start in range(30):
+        at, edge = {start: 0}, [start]
+        for d in (1, 2):
+            edge = sorted({b for a in edge if a in held for x, b in links if x == a and b is not None} - at.keys())
+            at |= dict.fromkeys(edge, d)
+        want += [(start, u, d, u in held) for u, d in at.items()]
+    assert got == sorted(want)
+    plan = made._jdf.queryExecution().executedPlan().toString().partition("Final Plan")[2].partition("Initial Plan")[0]
+    assert any("start" in x for x in re.findall(r"Exchange (?:hash|range)partitioning\((.*)", plan)) == (not heavy)
