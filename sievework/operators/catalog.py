@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,18 +91,21 @@ def page(df: DataFrame, sort: str, number: int = 1, size: int = 20) -> DataFrame
 class Pages:
     """A sorted table of which any page is read from the one or two ranges that hold it.
 
-    Rows are dealt out once by ranges of the sort's keys and stored range by range; how many each holds tells where
-    a page is. To read one, only its ranges are read and sorted, wherever it stands. after() reads the page behind a row that
-    was seen, by the same ranges, and is not moved by rows that came or went before it.
+    Rows are dealt out once by ranges of the sort's keys and stored range by range, sorted, each with its place in its
+    range; how many each holds tells where a page is. To read one, only its rows are taken from its ranges, wherever it
+    stands. after() reads the page behind a row that was seen, by the same ranges, and is not moved by rows that came or
+    went before it.
     """
 
     def __init__(self, df: DataFrame, sort: str):
         spark = df.sparkSession
-        self.sort, self._part = sort, unused(df, "page_range")
+        self.sort, self._part, self._place = sort, unused(df, "page_range"), unused(df, "page_place")
         home = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-        ranged = df.repartitionByRange(*SORTS.get(sort, list)(), "slug").withColumn(self._part, F.spark_partition_id())
-        ranged.write.partitionBy(self._part).parquet(home)
-        self._stored = spark.read.schema(ranged.schema).parquet(home)
+        order = (*SORTS.get(sort, list)(), "slug")
+        ranged = df.repartitionByRange(*order).withColumn(self._part, F.spark_partition_id()).sortWithinPartitions(self._part, *order)
+        placed = ranged.withColumn(self._place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))  # counted from 0 in each partition
+        placed.write.partitionBy(self._part).parquet(home)
+        self._stored = spark.read.schema(placed.schema).parquet(home)
         sizes = dict(self._stored.groupBy(self._part).count().collect())  # a row for each range
         self._starts, self.total = {}, 0
         for part in sorted(sizes):
@@ -112,9 +117,11 @@ class Pages:
         """So many rows from a place on, counted from 0."""
         within = [p for p in self._starts if self._starts[p] < start + count and self._ends[p] > start]
         if not within:
-            return self._stored.drop(self._part).limit(0)
+            return self._stored.drop(self._part, self._place).limit(0)
         found = self._stored.where(F.col(self._part).isin(*within))
-        return sorted_by(found, self.sort).offset(start - self._starts[within[0]]).limit(count).drop(self._part)
+        # Rows are told by their places, so that a task gives away no more than the asked ones.
+        asked = reduce(or_, ((F.col(self._part) == p) & F.col(self._place).between(start - self._starts[p], start + count - 1 - self._starts[p]) for p in within))
+        return sorted_by(found.where(asked), self.sort).limit(count).drop(self._part, self._place)
 
     def page(self, number: int = 1, size: int = 20) -> DataFrame:
         _checked(number, size)
@@ -127,12 +134,10 @@ class Pages:
     def after(self, slug: str, size: int = 20) -> DataFrame:
         """The page behind the row of a slug; an unknown slug is an error."""
         _checked(1, size)
-        place = self._stored.where(F.col("slug") == slug).select(self._part).first()
+        place = self._stored.where(F.col("slug") == slug).select(self._part, self._place).first()
         if place is None:
             raise ValueError(f"unknown slug: {slug}")
-        own = self._stored.where(F.col(self._part) == place[0])
-        nth = own.withColumn("nth", F.row_number().over(Window.partitionBy(self._part).orderBy(*SORTS.get(self.sort, list)(), "slug"))).where(F.col("slug") == slug).first()["nth"]
-        return self.rows(self._starts[place[0]] + nth, size)
+        return self.rows(self._starts[place[0]] + place[1] + 1, size)
 
 
 def page_or_last(df: DataFrame, sort: str, number: int = 1, size: int = 20) -> DataFrame:

@@ -125,6 +125,15 @@ def test_pages_of_nothing(spark):
     assert empty.total == 0 and empty.page(1).collect() == empty.page_or_last(5).collect() == []
 
 
+def test_deep_pages_send_no_more_than_themselves(spark):
+    """A page deep in a range of many rows comes without the rows of the range before it."""
+    frame = spark.range(60_000).select(F.format_string("s%06d", F.pmod(F.col("id") * 7919, F.lit(60_000))).alias("slug"), F.lit("same").alias("title")).coalesce(3)
+    pages = catalog.Pages(frame, "title")
+    for page, first in ((pages.page(555, 100), 55_400), (pages.after("s031399", 100), 31_400)):
+        assert [r["slug"] for r in page.collect()] == [f"s{i:06d}" for i in range(first, first + 100)]
+        assert "limit=100," in page._jdf.queryExecution().executedPlan().toString() and "offset" not in page._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 # ---- Hops and prefix rules.
 
 
